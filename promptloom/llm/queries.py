@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .packing import pack_documents
 from .simhash import simhash_components
+from .toxicity import train_and_score
 
 
 def public_tokenizer() -> str:
@@ -23,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select(
