@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack_documents
+from .pii import KINDS, LEARNED, as_text, spans
 from .simhash import simhash_components
 from .toxicity import train_and_score
 
@@ -24,6 +25,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(as_text(KINDS).cast("binary"), 256).alias("base_sha256"),
+        as_text((*KINDS, LEARNED)).alias("spans"),
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
