@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import curriculum, word_count
 from .packing import pack_documents
 from .pii import KINDS, LEARNED, as_text, spans
+from .quality import judged
 from .simhash import simhash_components
 from .toxicity import train_and_score
 
@@ -21,10 +23,34 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    placed = curriculum(docs, size=F.col("size")).select("doc_id", "mix")
+    return (
+        placed.repartitionByRange(F.get("mix.due", F.lit(0)))
+        .sortWithinPartitions(F.get("mix.due", F.lit(0)))
+        .select(
+            "doc_id",
+            "mix.size",
+            "mix.source_size",
+            "mix.target",
+            (F.col("mix.size") * F.size("mix.due")).alias("taken"),
+            F.round(F.get("mix.due", F.lit(0)), 6).alias("first_due"),
+        )
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
     return found.select(
@@ -53,5 +79,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+OP5_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR)) AS spot,
+         CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
+  FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CASE turn WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight,
+         2 * source_size AS cap
+  FROM sources
+), leveled AS (
+  SELECT *, cap / weight AS ratio,
+         (1.5::DOUBLE * sum(source_size) OVER () - COALESCE(sum(cap) OVER earlier, 0))
+         / (sum(weight) OVER () - COALESCE(sum(weight) OVER earlier, 0)) AS level
+  FROM weighted
+  WINDOW earlier AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size, turn,
+         least(CAST(cap AS DOUBLE), (SELECT arg_min(level, ratio) FROM leveled WHERE level <= ratio) * weight) AS target
+  FROM leveled
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.turn,
+         CAST(COALESCE(sum(d.size) OVER (
+           PARTITION BY d.source ORDER BY d.spot, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), demanded AS (
+  SELECT *, CAST(ahead < target AS INT) + CAST(ahead + source_size < target AS INT) AS copies,
+         (ahead + size / 2) / target AS part
+  FROM placed
+)
+SELECT doc_id, size, source_size, target, size * copies AS taken,
+       CASE WHEN copies > 0 THEN round(least(CASE turn
+         WHEN 0 THEN 2 * (part * 3) / (sqrt(greatest(16 + 2 * (-2.0::DOUBLE) * (part * 3), 0)) + 4)
+         WHEN 1 THEN part
+         ELSE 2 * (part * 2) / (sqrt(greatest(1 + 2 * 2.0::DOUBLE * (part * 2), 0)) + 1) END, 1.0), 6) END AS first_due
+FROM demanded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": OP5_SQL}
