@@ -14,6 +14,8 @@ from .pii import KINDS, LEARNED, as_text, spans
 from .quality import judged
 from .simhash import simhash_components
 from .toxicity import train_and_score
+from .urls import filter_urls
+from .warc import read_archives, write_archives
 
 
 def public_tokenizer() -> str:
@@ -23,6 +25,10 @@ def public_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
@@ -51,6 +57,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_archives(spark, write_archives(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
     return found.select(
