@@ -96,7 +96,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, file_bytes: int
                     where.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     path, size, records = f"{folder}/{name}", 0, 0
-                    out = where.open_output_stream(f"{base}/{name}")
+                    # The members are compressed already.
+                    out = where.open_output_stream(f"{base}/{name}", compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 member = record(page_id, url, payload or b"", digest, length, refers)
                 out.write(member)
