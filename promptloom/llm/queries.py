@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import curriculum, word_count
+from .neighbours import near_duplicates
 from .packing import pack_documents
 from .pii import KINDS, LEARNED, as_text, spans
 from .quality import judged
@@ -40,6 +41,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizer())
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     placed = curriculum(docs, size=F.col("size")).select("doc_id", "mix")
