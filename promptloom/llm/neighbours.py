@@ -156,7 +156,23 @@ def build(x: np.ndarray) -> np.ndarray:
         return np.full((len(x), DEGREE), -1)
     near = np.argpartition(-like, k - 1, axis=1)[:, :k]
     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(like, near, 1), axis=1), 1)
-    return robust_prune(like, near)
+    return both_ways(like, robust_prune(like, near))
+
+
+def both_ways(like: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Lists that also hold the edges pointing here, the nearest ``2 * DEGREE`` of them all."""
+    n = len(kept)
+    a, b = np.repeat(np.arange(n), kept.shape[1]), kept.ravel()
+    a, b = a[b >= 0], b[b >= 0]
+    code = np.unique(np.concatenate([a * n + b, b * n + a]))
+    a, b = code // n, code % n
+    order = np.lexsort((-like[a, b], a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    lists = np.full((n, 2 * DEGREE), -1)
+    near = place < 2 * DEGREE
+    lists[a[near], place[near]] = b[near]
+    return lists
 
 
 def search(like: np.ndarray, lists: np.ndarray, reach: float) -> np.ndarray:
@@ -235,7 +251,7 @@ def _linked_frame(cosine: float):
         # A pair counts where its first common shard is, and there in its own two blocks.
         here = int(frame["shard"].iloc[0]), int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
         lists_of, block = frame["shards"].tolist(), frame["block"].to_numpy()
-        if len({tuple(s) for s in lists_of}) > 1 or here[1] != here[2]:
+        if max(map(len, lists_of)) > 1 or here[1] != here[2]:
             common = [min(set(lists_of[i]) & set(lists_of[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             mine = np.array(common, dtype=np.int64) == here[0]
             mine &= (np.minimum(block[a], block[b]) == here[1]) & (np.maximum(block[a], block[b]) == here[2])
