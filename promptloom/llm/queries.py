@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import scan
 from .mixing import curriculum, word_count
 from .neighbours import near_duplicates
 from .packing import pack_documents
@@ -80,6 +81,21 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    every = F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda x: x["label"]))))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join(every, ",").alias("labels"),
+        "score",
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
