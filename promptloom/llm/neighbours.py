@@ -5,8 +5,8 @@ to the ``overlap`` nearest of its pivots, so that shards overlap; pivots are a
 hashed sample of bounded size. A shard builds its graph: nearest candidates,
 robustly pruned, so that a neighbour hides what lies closer to it than to the
 vertex. The lists that a vertex has from its shards are united and go back to
-each of them. There every vertex is searched for: a beam search from the medoid,
-then an expansion along edges through all that is within reach of the range.
+each of them. There every vertex is searched for: a beam search from the medoid
+and from its own place, then an expansion along edges through all that is within reach of the range.
 What it finds is verified by cosine in double precision.
 
 A pair that shares several shards counts in the first of them only, so shards
@@ -37,12 +37,12 @@ from .components import connected_components
 
 COSINE = 0.93
 # Vectors of a shard, about, and at most before it is cut into blocks.
-SHARD, FULL = 1024, 4096
+SHARD, FULL = 640, 4096
 PIVOTS = 16_384
 OVERLAP, MOST_OVERLAP = 3, 9
 # Candidates of a vertex, its neighbours after pruning, and the pruning's stretch.
 CANDIDATES, DEGREE, STRETCH = 64, 24, 1.2
-BEAM = 16
+BEAM = 10
 # How far under the range the expansion still walks.
 SLACK = 0.06
 AUDIT, RECALL = 256, 0.97
@@ -182,9 +182,11 @@ def search(like: np.ndarray, lists: np.ndarray, reach: float) -> np.ndarray:
     seen = np.zeros((n, n), dtype=bool)
     rows = np.arange(n)
     beam = np.full((n, BEAM), -1)
-    beam[:, 0] = medoid
+    # A vertex that is itself the query is an entry too.
+    beam[:, 0], beam[:, 1] = medoid, np.where(rows == medoid, -1, rows)
     opened = np.zeros((n, n), dtype=bool)
     seen[:, medoid] = True
+    seen[rows, rows] = True
     for _ in range(4 * BEAM):
         value = np.where(beam >= 0, like[rows[:, None], np.maximum(beam, 0)], -3)
         closed = np.where(opened[rows[:, None], np.maximum(beam, 0)], -3, value)
