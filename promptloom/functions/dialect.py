@@ -12,11 +12,12 @@ import regex
 
 WHITE = r"\t\n\x0b\f\r \xa0  -     　﻿"
 WHITE_IN_LINE = WHITE.replace(r"\n", "", 1)
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 LINE_ENDS = r"\n\r  "
 
 
 def _spell(pattern: str, multiline: bool) -> str:
-    """The pattern with white space and line anchors spelled out."""
+    """The pattern with its classes, word edges and line anchors spelled out."""
     out, inside, at = [], False, 0
     while at < len(pattern):
         two = pattern[at : at + 2]
@@ -32,6 +33,13 @@ def _spell(pattern: str, multiline: bool) -> str:
         elif two == r"\S":
             out.append(f"[^{WHITE}]")
             at += 2
+        elif two == r"\b" and not inside:
+            out.append(EDGE)
+            at += 2
+        elif two in (r"\w", r"\d"):
+            own = "A-Za-z0-9_" if two == r"\w" else "0-9"
+            out.append(own if inside else f"[{own}]")
+            at += 2
         elif two[:1] == "\\":
             out.append(two)
             at += 2
@@ -55,12 +63,10 @@ def _spell(pattern: str, multiline: bool) -> str:
 @cache
 def compiled(pattern: str, flags: str = "") -> regex.Pattern:
     """For Python."""
-    bits = regex.ASCII | regex.V0 | (regex.IGNORECASE if "i" in flags else 0)
-    return regex.compile(_spell(pattern, "m" in flags), bits)
+    return regex.compile(_spell(pattern, "m" in flags), regex.V0 | (regex.IGNORECASE if "i" in flags else 0))
 
 
 def for_java(pattern: str, flags: str = "") -> str:
     """For Spark's regular expression functions."""
     spelled = _spell(pattern, "m" in flags).replace(r"\Z", r"\z").replace(r"﻿", r"\x{feff}")
-    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-    return ("(?i)" if "i" in flags else "") + regex.sub(r"(?<!\\)\\b", lambda _: edge, spelled)
+    return ("(?i)" if "i" in flags else "") + spelled
