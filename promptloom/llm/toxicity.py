@@ -288,10 +288,10 @@ def train(rows: Iterable[tuple[int, str]], toxic_landmarks: int = TOXIC_LANDMARK
 
 
 def _logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, classes weighted alike, targets smoothed."""
+    """Slope and shift of a logistic curve, targets smoothed."""
     n1, n0 = label.sum(), len(label) - label.sum()
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(label == 1, 0.5 / max(n1, 1), 0.5 / max(n0, 1))
+    weight = np.full(len(label), 1 / max(len(label), 1))
     x = np.stack([value, np.ones_like(value)], 1)
     at = np.zeros(2)
     for _ in range(50):
