@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import give_back, stage
 
 ALPHA = 0.04
 DELTA = 0.05
@@ -94,6 +94,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             found = np.array(rows, dtype=np.int64).reshape(-1, len(COUNTS))
             columns = [batch.column(i) for i in range(3)] + [pa.array(found[:, i]) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "stratum", *COUNTS])
+        give_back()
 
     text = F.col(text_col).cast("string")
     narrow = docs.select(

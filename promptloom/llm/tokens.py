@@ -15,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ CUT = re.compile(r"('(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+|[\d²³¹¼½¾])")
 # What only the tokenizer itself can normalise: beyond Latin letters, İ, and marks of special tokens.
 ODD = r"[^\x09-\x0D\x20-\x7E\x{A1}-\x{12F}\x{131}-\x{24F}]|<\|"
 # Parts kept in each of the two generations of the cache.
-PARTS = 200_000
+PARTS = 150_000
 # Bytes of text that are cut together.
-BLOCK = 6_000_000
+BLOCK = 3_000_000
 
 
 def _byte_table() -> dict[int, int]:
@@ -47,7 +48,7 @@ class PartTokenizer:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
@@ -58,6 +59,13 @@ class PartTokenizer:
         self.now: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is; loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def exact(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -105,11 +113,10 @@ class PartTokenizer:
 
     def ids(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text; null is empty."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
             done = sizes[at - 1] if at else 0
             end = max(at + 1, int(np.searchsorted(sizes, done + BLOCK)))
-            yield from self._block(texts.slice(at, end - at))
+            yield from self._block(pc.fill_null(texts.slice(at, end - at), "").cast(pa.large_string()))
             at = end
