@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows over all cores where a scan has fewer tasks, as with a file of one row group."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, text): a prompt with a request frame, a limit, a date, and a JSON region for each event."""
     day = F.date_format("ts", "yyyy-MM-dd")
@@ -27,7 +33,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(".\n\nUser: what about {{topic}}?\nProps: "),
         F.col("props"),
     )
-    return table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts", text.alias("text"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", "event_type", "user_id", "ts", text.alias("text"))
 
 
 PROMPTS = """prompts AS (
