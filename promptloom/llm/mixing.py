@@ -31,7 +31,9 @@ SCHEDULES = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1
 BUDGET = 1.5
 MOST = 2
 # Documents of a slice of a source, about.
-SLICE = 20_000
+SLICE = 2_000
+# Sources up to which their table is broadcast; more are joined by a shuffle.
+FEW_SOURCES = 10_000
 
 Schedule = tuple[tuple[float, float], ...]
 
@@ -120,8 +122,11 @@ def curriculum(
     slices = F.ceil(F.col("n_docs") / slice_rows)
     place = F.conv(F.substring("spot", 1, 8), 16, 10).cast("long")
     cut = F.floor(place * slices / F.lit(1 << 32))
-    # Sources are few; adaptive execution broadcasts them where their size allows.
-    with_slice = sized.join(targets, key).withColumn("cut", cut)
+    few = targets.count() <= FEW_SOURCES
+    with_slice = sized.join(F.broadcast(targets) if few else targets, key).withColumn("cut", cut)
+    if not few:
+        # Else what follows stays where the join put it, all rows of a source in one task.
+        with_slice = with_slice.repartition(*key, "cut")
     in_order = Window.partitionBy("no_source", "name").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     sums = with_slice.groupBy(*key, "cut").agg(F.sum("size").alias("inside"))
     sums = sums.select(*key, "cut", F.coalesce(F.sum("inside").over(in_order), F.lit(0)).alias("ahead"))
