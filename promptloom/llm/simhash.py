@@ -159,6 +159,8 @@ def simhash_components(
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(least, "root").select("fp", "component_id")
     named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Staged, so that both sides of the last join are shuffled and a hot fingerprint can be split.
+    named = stage(named, "named")
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
