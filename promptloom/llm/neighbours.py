@@ -2,9 +2,10 @@
 
 Equal vectors of one label are one row with a count. A label's vectors are dealt
 to the ``overlap`` nearest of its pivots, so that shards overlap; pivots are a
-hashed sample of bounded size. A shard builds its graph: nearest candidates,
-robustly pruned, so that a neighbour hides what lies closer to it than to the
-vertex. The lists that a vertex has from its shards are united and go back to
+hashed sample of bounded size, and pivots within reach of each other, directly or
+over others, are one shard, so that a dense group stays together. A shard builds
+its graph: nearest candidates, robustly pruned, so that a neighbour hides what
+lies closer to it than to the vertex. The lists that a vertex has from its shards are united and go back to
 each of them. There every vertex is searched for: a beam search from the medoid
 and from its own place, then an expansion along edges through all that is within reach of the range.
 What it finds is verified by cosine in double precision.
@@ -12,9 +13,11 @@ What it finds is verified by cosine in double precision.
 A pair that shares several shards counts in the first of them only, so shards
 give counts per vector and a spanning forest of their links, never pairs. A
 shard that is too full is cut into blocks, and every two blocks are a task, so
-no pair of it is lost and a task's memory stays bounded. Recall is audited on a
-bounded sample of vectors against all vectors of their label; below the target
-the search runs again with more overlap.
+no pair of it is lost and a task's memory stays bounded. Recall is audited after
+every pass, on a bounded sample of vectors against all vectors of their label.
+Labels below the target, or all of them if the whole sample is, run again with
+more overlap; where that isn't enough they are compared whole, every two blocks,
+without a graph, which is exact and takes time with the square of the label.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and vectors of a null label or id, link with nothing and are kept;
@@ -25,6 +28,7 @@ own; an empty table gives an empty one; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -98,24 +102,41 @@ def pivots(classes: DataFrame, shard: int = SHARD, most: int = PIVOTS) -> dict[s
     return {s: _normed(np.array(sorted(v))) for s, v in found.items()}
 
 
-def dealt(classes: DataFrame, centres: dict[str, np.ndarray], overlap: int) -> DataFrame:
+def reached(x: np.ndarray, cosine: float) -> np.ndarray:
+    """For each unit vector the least row that steps of ``cosine`` or above lead to."""
+    n, x = len(x), x.astype(np.float32)
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        for i in range(0, n, 1024):
+            low = np.where(x[i : i + 1024] @ x.T >= cosine, label.astype(np.int32), n).min(1)
+            new[i : i + 1024] = np.minimum(new[i : i + 1024], low)
+        np.minimum.at(new, label, new.copy())
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def dealt(classes: DataFrame, centres: dict[str, np.ndarray], overlap: int, cosine: float = COSINE) -> DataFrame:
     """``classes`` with the sorted list ``shards`` of each vector."""
-    shared = classes.sparkSession.sparkContext.broadcast(centres)
+    shared = classes.sparkSession.sparkContext.broadcast({s: (x, reached(x, cosine)) for s, x in centres.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spaces = np.array(batch.column(0).to_pylist(), dtype=object)
             shards: list[list[int]] = [[0]] * len(spaces)
             for space in set(spaces.tolist()):
-                near = shared.value.get(space)
-                if near is None:
+                if space not in shared.value:
                     continue
+                near, group = shared.value[space]
                 rows = np.flatnonzero(spaces == space)
                 like = _unit(batch.column(3).take(pa.array(rows))) @ near.T
                 k = min(overlap, near.shape[0])
-                top = np.sort(np.argpartition(-like, k - 1, axis=1)[:, :k], axis=1)
+                top = group[np.argpartition(-like, k - 1, axis=1)[:, :k]]
                 for i, t in zip(rows.tolist(), top.tolist(), strict=True):
-                    shards[i] = t
+                    shards[i] = sorted(set(t))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(shards, pa.list_(pa.int64()))], names=[*batch.schema.names, "shards"]
             )
@@ -231,21 +252,41 @@ def _lists_frame(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "near": [ids[r[r >= 0]].tolist() for r in lists]})
 
 
-def _linked_frame(cosine: float):
+def _on_graph(frame: pd.DataFrame, like: np.ndarray, reach: float) -> np.ndarray:
+    """Pairs that the search finds on the lists ``near``."""
+    ids, n = frame["id"].to_numpy(), len(frame)
+    near = [np.searchsorted(ids, r) for r in frame["near"]]
+    near = [p[(p < n) & (ids[np.minimum(p, n - 1)] == r)] for p, r in zip(near, frame["near"], strict=True)]
+    lists = np.full((n, max(1, max(map(len, near)))), -1)
+    for i, r in enumerate(near):
+        lists[i, : len(r)] = r
+    found = search(like, lists, reach)
+    return found | found.T
+
+
+def _first_common(lists: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least element that the sorted lists of two vectors share."""
+    held = np.full((len(lists), max(map(len, lists))), -1)
+    for i, r in enumerate(lists):
+        held[i, : len(r)] = r
+    first = np.full(len(a), -1)
+    for i in range(0, len(a), 65536):
+        x, y = held[a[i : i + 65536]], held[b[i : i + 65536]]
+        for k in reversed(range(held.shape[1])):
+            both = (x[:, k] >= 0) & (x[:, k, None] == y).any(1)
+            first[i : i + 65536][both] = x[both, k]
+    return first
+
+
+def _linked_frame(cosine: float, whole: bool = False):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("id").sort_values("id", ignore_index=True)
         ids = frame["id"].to_numpy()
         x = _normed(np.stack(frame["vector"].to_numpy()))
         n = len(ids)
-        near = [np.searchsorted(ids, r) for r in frame["near"]]
-        near = [p[(p < n) & (ids[np.minimum(p, n - 1)] == r)] for p, r in zip(near, frame["near"], strict=True)]
-        lists = np.full((n, max(1, max(map(len, near)))), -1)
-        for i, r in enumerate(near):
-            lists[i, : len(r)] = r
         like = (x @ x.T).astype(np.float32)
-        found = search(like, lists, cosine - SLACK)
-        found |= found.T
-        a, b = np.nonzero(np.triu(found & (like >= cosine - 1e-4), 1))
+        close = like >= cosine - 1e-4
+        a, b = np.nonzero(np.triu(close if whole else close & _on_graph(frame, like, cosine - SLACK), 1))
         exact = np.concatenate(
             [np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]
         )
@@ -254,13 +295,13 @@ def _linked_frame(cosine: float):
         here = int(frame["shard"].iloc[0]), int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
         lists_of, block = frame["shards"].tolist(), frame["block"].to_numpy()
         if max(map(len, lists_of)) > 1 or here[1] != here[2]:
-            common = [min(set(lists_of[i]) & set(lists_of[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            mine = np.array(common, dtype=np.int64) == here[0]
+            mine = _first_common(lists_of, a, b) == here[0]
             mine &= (np.minimum(block[a], block[b]) == here[1]) & (np.maximum(block[a], block[b]) == here[2])
             a, b = a[mine], b[mine]
         weight = frame["n"].to_numpy()
         links = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
-        return pd.DataFrame({"id": ids, "links": links.astype(np.int64), "to": _forest(n, a, b, ids)})
+        to = _forest(n, a, b, ids)
+        return pd.DataFrame({"space": frame["space"], "id": ids, "links": links.astype(np.int64), "to": to})
 
     return run
 
@@ -280,8 +321,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray
     return ids[root]
 
 
-def linked(deal: DataFrame, cosine: float, full: int = FULL) -> DataFrame:
-    """(id, links, to): partial counts of a vector and its least reached id, a row per shard and block pair."""
+def linked(deal: DataFrame, cosine: float, full: int = FULL, whole: bool = False) -> DataFrame:
+    """(space, id, links, to): partial counts of a vector and its least reached id, a row per shard and block pair.
+
+    ``whole`` compares all pairs of a shard instead of searching its graph.
+    """
     spread = deal.select("*", F.explode("shards").alias("shard"))
     fill = spread.groupBy("space", "shard").agg(F.count(F.lit(1)).alias("rows"))
     blocks = fill.select("space", "shard", F.ceil(F.col("rows") * 2 / full).cast("int").alias("blocks"))
@@ -302,14 +346,17 @@ def linked(deal: DataFrame, cosine: float, full: int = FULL) -> DataFrame:
         "shards",
     )
     task = ["space", "shard", "low", "high"]
+    out = "space string, id long, links long, to long"
+    if whole:
+        return paired.groupBy(*task).applyInPandas(_linked_frame(cosine, whole), out)
     lists = paired.groupBy(*task).applyInPandas(_lists_frame, "id long, near array<long>")
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     united = stage(united, "graph")
-    return paired.join(united, "id").groupBy(*task).applyInPandas(_linked_frame(cosine), "id long, links long, to long")
+    return paired.join(united, "id").groupBy(*task).applyInPandas(_linked_frame(cosine), out)
 
 
-def audit(classes: DataFrame, counted: DataFrame, cosine: float, sample: int = AUDIT) -> float:
-    """Share of the links of a hashed sample of vectors that ``counted`` (id, links) has."""
+def audit(classes: DataFrame, counted: DataFrame, cosine: float, sample: int = AUDIT) -> dict[str, tuple[int, int]]:
+    """By space, how many links of a hashed sample of vectors ``counted`` (id, links) has, and how many there are."""
     queries = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("space", "id", "vector").collect()
     by_space: dict[str, tuple[list[int], np.ndarray]] = {}
     for space in {q["space"] for q in queries}:
@@ -333,8 +380,10 @@ def audit(classes: DataFrame, counted: DataFrame, cosine: float, sample: int = A
 
     all_links = classes.select("space", "id", "n", "vector").mapInArrow(run, "id long, links long")
     exact = all_links.groupBy("id").agg(F.sum("links").alias("exact"))
-    row = exact.join(counted, "id", "left").agg(F.sum("exact"), F.sum(F.least("exact", F.coalesce("links", F.lit(0))))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    rows = exact.join(counted, "id", "left").select("id", "exact", F.least("exact", F.coalesce("links", F.lit(0))).alias("got"))
+    held = {r["id"]: (r["got"], r["exact"]) for r in rows.collect()}
+    of = {s: [held[i] for i in set(names) if i in held] for s, (names, _) in by_space.items()}
+    return {s: (sum(g for g, _ in v), sum(e for _, e in v)) for s, v in of.items()}
 
 
 def near_duplicates(
@@ -348,14 +397,31 @@ def near_duplicates(
     """(id, n_links, component_id) of every row."""
     classes = stage(valid(vectors, id_col, vector_col, label_col), "vectors")
     centres = pivots(classes)
-    overlap, most = OVERLAP, max((len(c) for c in centres.values()), default=1)
+    todo, parts, overlap = classes, [], OVERLAP
     while True:
-        deal = stage(dealt(classes, centres, overlap), "dealt")
-        found = stage(linked(deal, cosine), "links")
-        counted = stage(found.groupBy("id").agg(F.sum("links").alias("links")), "counted")
-        if overlap >= min(most, MOST_OVERLAP) or audit(classes, counted, cosine) >= recall:
+        deal = stage(dealt(todo, centres, overlap, cosine), "dealt")
+        found = stage(linked(deal, cosine, whole=overlap == 0), "links")
+        if overlap == 0:
+            parts.append(found)
             break
-        overlap = min(overlap * 2 - 1, MOST_OVERLAP)
+        checked = audit(todo, found.groupBy("id").agg(F.sum("links").alias("links")), cosine)
+        got, exact = (sum(v[k] for v in checked.values()) for k in (0, 1))
+        if got < recall * exact:
+            short = F.lit(True)
+            shards = max((len(c) for c in centres.values()), default=1)
+        else:
+            low = [s for s, (g, e) in checked.items() if g < recall * e]
+            short = F.col("space").isin(low)
+            parts.append(found.where(~short))
+            if not low:
+                break
+            shards = max(len(centres.get(s, [0])) for s in low)
+        todo = stage(todo.where(short), "short")
+        overlap = min(overlap * 2 - 1, MOST_OVERLAP) if overlap < min(shards, MOST_OVERLAP) else 0
+        if overlap == 0:
+            centres = {}
+    found = reduce(DataFrame.unionByName, parts)
+    counted = stage(found.groupBy("id").agg(F.sum("links").alias("links")), "counted")
     components = connected_components(found.select(F.col("id").alias("src"), F.col("to").alias("dst")))
     named = (
         classes.join(counted, "id", "left")

@@ -244,6 +244,34 @@ def test_full_shards_are_cut_into_blocks(spark):
     assert sum(got.values()) >= 0.97 * sum(want.values()) and all(n <= want[i] for i, n in got.items())
 
 
+def test_whole_shards_are_exact_across_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.3).tolist(), 1) for i in range(150)]
+    classes = neighbours.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label")
+    found = neighbours.linked(classes.withColumn("shards", F.array(F.lit(0).cast("long"))), 0.93, full=60, whole=True)
+    got = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("links").alias("n")).collect() if r["n"]}
+    assert got == Counter(i for p in brute_links(rows) for i in p)
+
+
+@pytest.mark.parametrize("merge", [True, False])
+def test_dense_groups_are_compared_whole(spark, monkeypatch, merge):
+    # The bound default of ``shard``: about 80 pivots, far more than any overlap.
+    monkeypatch.setattr(neighbours.pivots, "__defaults__", (5, 16_384))
+    if not merge:
+        # As where pivots of a group are out of each other's reach.
+        monkeypatch.setattr(neighbours, "reached", lambda x, _: np.arange(len(x)), raising=False)
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.ones(48) + rng.normal(size=48) * 0.2).tolist(), 1) for i in range(300)]
+    rows += [(300 + i, rng.normal(size=48).tolist(), 1) for i in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["id"]: r for r in neighbours.near_duplicates(frame).collect()}
+    pairs = brute_links(rows)
+    want = Counter(i for p in pairs for i in p)
+    assert len(pairs) > 40_000 and sum(r["n_links"] for r in got.values()) >= 0.999 * sum(want.values())
+    assert all(r["n_links"] <= want[i] for i, r in got.items())
+    assert {i: r["component_id"] for i, r in got.items()} == groups(pairs, [r[0] for r in rows])
+
+
 def test_empty_embeddings(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
