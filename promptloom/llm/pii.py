@@ -1,13 +1,16 @@
 """Personal data: fixed formats, and identifiers found by bootstrapped contexts.
 
-The base kinds are regular expressions with a check of each match. Their matches
-are the seeds of the bootstrap. Every word with a digit is an instance; the word
-before it, the word after it, or both, each with the instance's shape, are its
-patterns. Over the graph of distinct patterns and instances, each round scores a
-pattern by the mean confidence of its instances and an instance outside the
-seeds by the mean of its patterns, so trust spreads from the seeds. A pattern
-with a high score, enough instances and enough seeds marks its other instances
-as ``other`` spans.
+The base kinds are regular expressions with a check of each match. Their matches are the
+seeds of the bootstrap, whole, with the spaces inside them. Every word with a digit or
+an at sign that no seed covers is an instance too. The word before an instance, the word
+after it, or both are its contexts; a context is a pattern with the instance's shape,
+with its classes of characters, and, if it has both words, with anything (marks without
+a letter only with the shape), so that formats no seed has are found where seeds stand.
+Over the graph of distinct patterns and instances, each round scores a pattern by the
+mean confidence of its instances and an instance outside the seeds by the mean of its
+contexts, each by its best pattern, so trust spreads from the seeds. A pattern with a
+high score, enough instances and enough seeds marks its other instances as ``other``
+spans.
 
 All of it is DataFrame functions. Offsets come from the matches and from the
 gaps between them, in code points, ends exclusive. Every pass over a text is
@@ -39,8 +42,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-# A word with a digit.
-INSTANCE = rf"(?<![^{SPACE}])[^{SPACE}]*[0-9][^{SPACE}]*+"
+# A word with a digit or an at sign.
+INSTANCE = rf"(?<![^{SPACE}])[^{SPACE}]*[0-9@][^{SPACE}]*+"
 EDGE = "\"'.,;:!?()[]{}<>|*#$%&"
 # Characters of a gap that may hold the word next to an instance.
 NEAR = 80
@@ -51,6 +54,7 @@ INSTANCES = 5
 SEEDS = 3
 
 SPANS = "array<struct<start:int,end:int,m:string>>"
+INSTANCES_OF = "array<struct<start:int,end:int,core:string,left:string,right:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -97,14 +101,14 @@ def _holds(kind: str, m: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    """Array of (start, end) of one base kind."""
+    """Array of (start, end, m) of one base kind."""
     all_of = F.filter(matches(text, PATTERNS[kind]), lambda x: _holds(kind, x["m"]))
-    some = F.transform(all_of, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return F.when(text.rlike(HINTS[kind]), some).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    some = F.transform(all_of, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "m")]))
+    return F.when(text.rlike(HINTS[kind]), some).otherwise(F.array().cast(SPANS))
 
 
-def _instances(text: Column) -> Column:
-    """Array of (start, end, core, left, right) of words with a digit, without the marks around them."""
+def _words(text: Column) -> Column:
+    """Array of (start, end, core, left, right) of words with a digit or an at sign, without the marks around them."""
     found = matches(text, INSTANCE)
     last = F.element_at(F.split(text, INSTANCE, -1), -1)
     after = F.concat(F.transform(F.slice(found, 2, F.size(found)), lambda x: x["gap"]), F.array(last))
@@ -124,8 +128,35 @@ def _instances(text: Column) -> Column:
         )
 
     some = F.zip_with(found, after, one)
-    empty = F.array().cast("array<struct<start:int,end:int,core:string,left:string,right:string>>")
-    return F.when(text.rlike("[0-9]"), F.filter(some, lambda x: F.length(x["core"]) >= 4)).otherwise(empty)
+    return F.when(text.rlike("[0-9@]"), some).otherwise(F.array().cast(INSTANCES_OF))
+
+
+def _instances(words: Column, base: Column) -> Column:
+    """Array of (start, end, core, left, right, seed): base spans, and the words of four characters or more beside them."""
+
+    def meets(x: Column, b: Column) -> Column:
+        return (b["start"] < x["end"]) & (x["start"] < b["end"])
+
+    def build(both: Column) -> Column:
+        def whole(b: Column) -> Column:
+            under = F.filter(both["words"], lambda x: meets(x, b))
+            return F.struct(
+                b["start"].alias("start"),
+                b["end"].alias("end"),
+                F.lower(b["m"]).alias("core"),
+                F.coalesce(F.get(under, F.lit(0))["left"], F.lit("")).alias("left"),
+                F.coalesce(F.get(under, F.size(under) - 1)["right"], F.lit("")).alias("right"),
+                F.lit(True).alias("seed"),
+            )
+
+        fresh = F.filter(both["words"], lambda x: (F.length(x["core"]) >= 4) & ~F.exists(both["base"], lambda b: meets(x, b)))
+        kept = F.transform(
+            fresh, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "core", "left", "right")], F.lit(False).alias("seed"))
+        )
+        return F.concat(F.transform(both["base"], whole), kept)
+
+    # An array of one, so that both are evaluated once and not for each element.
+    return F.transform(F.array(F.struct(words.alias("words"), base.alias("base"))), build)[0]
 
 
 def shape(core: Column) -> Column:
@@ -133,38 +164,62 @@ def shape(core: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(core, "[0-9]+", "9"), r"\p{L}+", "a")
 
 
+def classes(core: Column) -> Column:
+    """Which of letters (a), digits (9) and marks (-) there are."""
+    return F.concat(
+        F.when(core.rlike(r"\p{L}"), "a").otherwise(""),
+        F.when(core.rlike("[0-9]"), "9").otherwise(""),
+        F.when(core.rlike(r"[^\p{L}0-9]"), "-").otherwise(""),
+    )
+
+
 def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged (doc_id, text_hash, email, ip, card, phone, instances): what later steps need of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    found = base.select(
+    matched = base.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         *[base_spans(F.col("text"), k).alias(k) for k in KINDS],
-        _instances(F.col("text")).alias("instances"),
+        _words(F.col("text")).alias("words"),
+    )
+    found = matched.select(
+        "doc_id",
+        "text_hash",
+        *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS],
+        _instances(F.col("words"), F.concat(*KINDS)).alias("instances"),
     )
     return stage(found, "pii")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """One row per instance in a text, with its patterns and whether a seed covers it."""
+    """One row per instance in a text, with its (context, pattern) and whether it is a seed."""
     x = F.col("x")
-    one = found.select("doc_id", "text_hash", F.concat(*KINDS).alias("base"), F.explode("instances").alias("x"))
-    overlap = F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))
-    form = shape(x["core"])
-    patterns = F.array(
-        F.when(x["left"] != "", F.concat_ws(" ", F.lit("L"), x["left"], form)),
-        F.when(x["right"] != "", F.concat_ws(" ", F.lit("R"), form, x["right"])),
-        F.when((x["left"] != "") & (x["right"] != ""), F.concat_ws(" ", F.lit("B"), x["left"], form, x["right"])),
-    )
+    one = found.select("doc_id", "text_hash", F.explode("instances").alias("x"))
+    sides = {
+        "L": (x["left"] != "", [x["left"]]),
+        "R": (x["right"] != "", [x["right"]]),
+        "B": ((x["left"] != "") & (x["right"] != ""), [x["left"], x["right"]]),
+    }
+    patterns = []
+    for side, (there, words) in sides.items():
+        context = F.concat_ws(" ", F.lit(side), *words)
+        # Marks alone, as between cells of a table, say nothing of other formats.
+        spoken = there
+        for word in words:
+            spoken = spoken & word.rlike(r"\p{L}")
+        levels = [("shape", shape(x["core"]), there), ("class", classes(x["core"]), spoken)]
+        for level, form, ok in [*levels, ("any", F.lit(""), spoken)] if side == "B" else levels:
+            pattern = F.concat_ws(" ", context, F.lit(level), form)
+            patterns.append(F.when(ok, F.struct(context.alias("context"), pattern.alias("pattern"))))
     return one.select(
         "doc_id",
         "text_hash",
         x["start"].alias("start"),
         x["end"].alias("end"),
         x["core"].alias("core"),
-        F.array_compact(patterns).alias("patterns"),
-        overlap.alias("seed"),
+        F.array_compact(F.array(*patterns)).alias("patterns"),
+        x["seed"].alias("seed"),
     )
 
 
@@ -177,8 +232,8 @@ def trusted_patterns(
 ) -> DataFrame:
     """(pattern) that passes after ``rounds`` of scoring the pattern-instance graph."""
     edges = stage(
-        occurred.select("core", "seed", F.explode("patterns").alias("pattern"))
-        .groupBy("pattern", "core")
+        occurred.select("core", "seed", F.inline("patterns"))
+        .groupBy("context", "pattern", "core")
         .agg(F.max("seed").alias("seed")),
         "graph",
     )
@@ -199,7 +254,12 @@ def trusted_patterns(
             edges.groupBy("core")
             .agg(F.max("seed").alias("is_seed"))
             .join(
-                edges.select("pattern", "core").join(scored, "pattern").groupBy("core").agg(F.avg("score").alias("mean")),
+                edges.select("context", "pattern", "core")
+                .join(scored, "pattern")
+                .groupBy("core", "context")
+                .agg(F.max("score").alias("best"))
+                .groupBy("core")
+                .agg(F.avg("best").alias("mean")),
                 "core",
             )
             .select("core", "is_seed", F.when(F.col("is_seed"), 1.0).otherwise(F.col("mean")).alias("trust"))
@@ -216,7 +276,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bou
     patterns = trusted_patterns(occurred, **bounds)
     new = (
         occurred.where(~F.col("seed"))
-        .select("doc_id", "text_hash", F.struct("start", "end").alias("span"), F.explode("patterns").alias("pattern"))
+        .select("doc_id", "text_hash", F.struct("start", "end").alias("span"), F.explode("patterns.pattern").alias("pattern"))
         .join(patterns, "pattern", "left_semi")
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set("span")).alias(LEARNED))

@@ -402,6 +402,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert text[slice(*got[400]["other"][0])] == "10.0.0.999"
 
 
+def test_contexts_discover_other_formats(spark):
+    rows = [(i, f"text {i}. Reach me under +1 (555) 010-{1000 + i} today.") for i in range(30)]
+    rows += [(50 + i, f"Write to {'abcdefghijklmnopqrstuvwxyz'[i]}.who@mail.org or call.") for i in range(26)]
+    new = {100 + i: ("Reach me under {} today.", f"555-01-{100 + i}") for i in range(4)}
+    new |= {110: ("Reach me under {} today.", "AB77345"), 111: ("Write to {} or call.", "@who77"), 112: ("Reach me under {} soon", "555.01.100")}
+    rows += [(i, t.format(m)) for i, (t, m) in new.items()]
+    plain = [(200 + i, f"It took {i + 1000} steps in all, under {i + 3000} today and to {i + 5000} more.") for i in range(30)]
+    got = {r["doc_id"]: r for r in pii.spans(spark.createDataFrame(rows + plain, "doc_id long, text string")).collect()}
+    found = {i: [t.format(m)[slice(*s)] for s in got[i]["other"]] for i, (t, m) in new.items()}
+    assert found == {i: [m] for i, (_, m) in new.items()}
+    assert not any(got[i]["other"] for i, _ in rows if i < 100) and not any(got[i]["other"] for i, _ in plain)
+
+
 def test_redaction(spark, odd):
     docs = spark.createDataFrame([(1, "mail a@b.org or 10.0.0.1 é", 5), (2, None, 6), (3, "clean", 7), (3, "x@y.org", 8), (None, "c@d.org", 9)], "doc_id long, text string, start int")
     got = sorted((r["start"], r["text"]) for r in pii.redact(docs).collect())
