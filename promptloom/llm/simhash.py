@@ -62,16 +62,18 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """(id, fp: long, the fingerprint's bits) for every row."""
+    """(id, fp: long, the fingerprint's bits, text_hash) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), k) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+            columns = [batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "text_hash"])
         give_back()
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return narrow.mapInArrow(run, "id long, fp long, text_hash long")
 
 
 def segment_counts(fp: Column) -> Column:
@@ -147,35 +149,41 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, cell: int = CELL) -> D
     return near.union(stars)
 
 
+def _firsts(prints: DataFrame, radius: int) -> DataFrame:
+    """Staged (fp, first): the component's least (id, text_hash), for each fingerprint."""
+    row = F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))
+    classes = stage(prints.groupBy("fp").agg(F.min(row).alias("least")), "classes")
+    found = connected_components(fingerprint_links(classes.select("fp"), radius))
+    # The least document of a component, over the least of each of its fingerprints.
+    linked = found.withColumnsRenamed({"id": "fp", "component_id": "root"}).join(classes, "fp")
+    least = linked.groupBy("root").agg(F.min("least").alias("first"))
+    moved = linked.join(least, "root").select("fp", "first")
+    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    # Staged, so that both sides of a later join are shuffled and a hot fingerprint can be split.
+    return stage(named, "named")
+
+
 def simhash_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2
 ) -> DataFrame:
     """(id, fp, component_id): one row per row of ``docs``."""
     prints = stage(fingerprints(docs, id_col, text_col, k), "simhash")
-    classes = stage(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    found = connected_components(fingerprint_links(classes.select("fp"), radius))
-    # The least document of a component, over the least of each of its fingerprints.
-    linked = found.withColumnsRenamed({"id": "fp", "component_id": "root"}).join(classes, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(least, "root").select("fp", "component_id")
-    named = classes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    # Staged, so that both sides of the last join are shuffled and a hot fingerprint can be split.
-    named = stage(named, "named")
+    named = _firsts(prints, radius).select("fp", F.col("first.id").alias("component_id"))
     return prints.join(named, "fp").select("id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
-    """The row with the least id of each component, with all columns of ``docs``.
+    """The row with the least (id, hash of the text) of each component, with all columns of ``docs``.
 
-    Repeated rows of one id count once: the first of them in the order of their
-    text's hash stays. Rows whose id is null are kept, for they name no group.
+    Rows of one id whose texts are in different components each stand for their
+    own. Rows repeated with id and text count once: the first in the order of
+    their other columns' hash stays. Rows whose id is null are kept, for they
+    name no group.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    keep = (
-        simhash_components(named, id_col, text_col, k, radius)
-        .where(F.col("id") == F.col("component_id"))
-        .select(F.col("id").alias(id_col))
-        .distinct()
-    )
-    kept = named.join(keep, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    keep = _firsts(stage(fingerprints(named, id_col, text_col, k), "simhash"), radius).select("first").distinct()
+    own = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in (id_col, text_col) and "map<" not in kind]
+    rows = named.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), own.alias("first"), F.xxhash64(F.lit(0), *others).alias("__order"))
+    kept = rows.join(keep, "first", "left_semi").groupBy("first").agg(F.min_by("__row", "__order").alias("__row"))
+    return kept.select("__row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -533,3 +533,17 @@ def test_simhash_components(spark, documents, odd, none):
     assert simhash.simhash_components(odd).count() == len(ODD) and simhash.simhash_components(none).count() == 0
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 4, 5, 6, 8]
+
+
+def test_near_copies_of_one_id_stand_for_their_own_texts(spark):
+    a, b, c = (f"{w} words that say something else about {w} and nothing more of it" for w in ("seven", "lorem", "other"))
+    rows = [(5, a, 1), (5, b, 2), (5, b, 2), (7, a, 3), (9, b, 4), (3, c, 5), (8, c, 6), (8, "a text that no other row has at all, or so it seems", 7)]
+    prints = [simhash.fingerprint(t) for t in (a, b, c, rows[-1][1])]
+    assert all((x ^ y).bit_count() > 2 for x in prints for y in prints if x != y)
+    want = sorted({(5, a, 1), (5, b, 2), (3, c, 5), rows[-1]})
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, "doc_id long, text string, n long").repartition(parts)
+        assert sorted(tuple(r) for r in simhash.drop_near_copies(docs).collect()) == want
+    # The same id in a near copy of a kept document: only the clean text stays.
+    docs = spark.createDataFrame([(3, c, 1), (8, c, 2), (8, a, 3)], "doc_id long, text string, n long")
+    assert sorted(r["n"] for r in simhash.drop_near_copies(docs).collect()) == [1, 3]
