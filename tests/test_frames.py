@@ -1,6 +1,10 @@
-import importlib.util
 import json
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,4 +146,20 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 48
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert ("pipeline" in entry.queries()) == (importlib.util.find_spec("corpus_pipeline") is not None)
+
+
+@pytest.mark.parametrize("left_out", [("promptloom/llm", "corpus_pipeline.py"), ("promptloom/llm",), ("corpus_pipeline.py",)])
+def test_entry_without_the_optional_parts(tmp_path, left_out):
+    root = Path(__file__).resolve().parent.parent
+    for name in ("__spark_entry__.py", "corpus_pipeline.py", "promptloom"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    for name in left_out:
+        if (tmp_path / name).is_dir():
+            shutil.rmtree(tmp_path / name)
+        elif (tmp_path / name).exists():
+            (tmp_path / name).unlink()
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and 'extract_constraints' in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
