@@ -1,29 +1,37 @@
 """Personal data: fixed formats, and identifiers found by bootstrapped contexts.
 
-The base kinds are regular expressions with a check of each match. Their matches are the
-seeds of the bootstrap, whole, with the spaces inside them. Every word with a digit or
-an at sign that no seed covers is an instance too. The word before an instance, the word
-after it, or both are its contexts; a context is a pattern with the instance's shape,
-with its classes of characters, and, if it has both words, with anything (marks without
-a letter only with the shape), so that formats no seed has are found where seeds stand.
-Over the graph of distinct patterns and instances, each round scores a pattern by the
-mean confidence of its instances and an instance outside the seeds by the mean of its
-contexts, each by its best pattern, so trust spreads from the seeds. A pattern with a
-high score, enough instances and enough seeds marks its other instances as ``other``
-spans.
-
-All of it is DataFrame functions. Offsets come from the matches and from the
-gaps between them, in code points, ends exclusive. Every pass over a text is
-linear: patterns start only where an earlier match or another class ends.
+The base kinds are regular expressions with a check of each match. Their matches are
+seeds of the bootstrap, whole, with the spaces inside them; so are long words that mix
+digits and letters, as keys and tokens do (``STRONG`` characters or more). Every other
+word with a digit or an at sign, ``SHORTEST`` characters or more without the marks
+around it, is an instance too. The word before an instance (with the one before that,
+if it has no letter, as in ``token =``), the word after it, or both are its contexts; a
+context is a pattern with the instance's shape, with its classes of characters, and, if
+it has both words, with anything (marks without a letter only with the shape), so that
+formats no seed has are found where seeds stand. Over the graph of distinct patterns
+and instances, each round scores a pattern by the mean confidence of its instances and
+an instance outside the seeds by the mean of its contexts, each by its best pattern, so
+trust spreads from the seeds. A pattern with a high score, enough instances and enough
+seeds discovers its instances outside the base kinds, and what is discovered is an
+``other`` span wherever it stands.
+
+All of it is DataFrame functions. Offsets are running totals over the matches and the
+gaps between them, in code points, ends exclusive. Every pass over a text is linear or
+nearly so: patterns start only where an earlier match or another class ends, and running
+totals go over chunks of chunks.
 
 Defined cases: a null text is an empty one and has no spans; very long texts go
 in whole; equal spans of one kind in repeated rows of one text are one; a
 repeated row gives a row each; matches that fail their check are dropped and not
-retried; an empty table gives an empty one; other columns are ignored.
+retried; ties of patterns don't matter, for every pattern that passes counts; an empty
+table gives an empty one; other columns are ignored by ``spans`` and kept by ``redact``,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,35 +52,91 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 # A word with a digit or an at sign.
 INSTANCE = rf"(?<![^{SPACE}])[^{SPACE}]*[0-9@][^{SPACE}]*+"
+# Marks that don't belong to the word they stand around.
 EDGE = "\"'.,;:!?()[]{}<>|*#$%&"
-# Characters of a gap that may hold the word next to an instance.
-NEAR = 80
+# Characters of the shortest word that may be an identifier, and of a word that is a seed by its form.
+SHORTEST, STRONG = 4, 20
+
+# Characters of a text that masking cuts at a time.
+BLOCK = 4096
 
 ROUNDS = 3
 CONFIDENCE = 0.8
-INSTANCES = 5
-SEEDS = 3
+FEWEST, SEEDS = 5, 3
+
+MATCHES = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
+INSTANCES = "array<struct<start:int,kind:int,end:int,core:string,left:string,right:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running results from ``start`` on; its copies grow with the square of the items, so they must be few."""
+    begin = F.struct(start.cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        at = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    return F.aggregate(items, begin, add)["out"]
+
+
+def running(items: Column, step: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """``step`` over an array<long> up to each element; 0 is where it starts and must change nothing.
 
-SPANS = "array<struct<start:int,end:int,m:string>>"
-INSTANCES_OF = "array<struct<start:int,end:int,core:string,left:string,right:string>>"
+    Chunks are scanned each for itself, from where a run over the chunks' results has
+    come to, so the work grows as the 4/3rd power of the array with three levels.
+    """
+    if levels == 1:
+        return _scan(items, F.lit(0), step)
+
+    def cut(x: Column) -> Column:
+        last = F.ceil(F.size(x["items"]) / x["width"]).cast("int") - 1
+        chunks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(x["items"], i * x["width"] + 1, x["width"]))
+        return let(chunks, lambda low: join(low))
+
+    def join(low: Column) -> Column:
+        whole = F.transform(low, lambda c: F.aggregate(c, F.lit(0).cast("long"), step))
+        ends = running(whole, step, levels - 1)
+        starts = F.concat(F.array(F.lit(0).cast("long")), ends)
+        return F.flatten(F.zip_with(low, F.slice(starts, 1, F.size(low)), lambda c, at: _scan(c, at, step)))
+
+    def body(v: Column) -> Column:
+        width = F.ceil(F.pow(F.size(v).cast("double"), F.lit(1 / levels))).cast("int")
+        return F.when(F.size(v) == 0, F.array().cast("array<long>")).otherwise(let(F.struct(v.alias("items"), width.alias("width")), cut))
+
+    return let(items, body)
+
+
+def _add(x: Column, y: Column) -> Column:
+    return x + y
+
+
+def _most(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern that never matches nothing: array of (start, end, m, gap before it)."""
+    """All matches of a pattern that never matches nothing: array of (start, end, m, before, after), with the gaps around each."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    begin = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string,gap:string>>").alias("out")
-    )
+    parts = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def body(x: Column) -> Column:
+        n = F.size(x["found"])
+        pairs = F.zip_with(F.slice(x["gaps"], 1, n), F.slice(x["gaps"], 2, n), lambda b, a: F.struct(b.alias("before"), a.alias("after")))
+        sizes = F.zip_with(x["found"], pairs, lambda m, g: (F.length(m) + F.length(g["before"])).cast("long"))
+        ends = F.zip_with(x["found"], running(sizes, _add), lambda m, e: F.struct(m.alias("m"), e.cast("int").alias("end")))
+
+        def one(m: Column, g: Column) -> Column:
+            start = m["end"] - F.length(m["m"])
+            return F.struct(start.alias("start"), m["end"].alias("end"), m["m"].alias("m"), g["before"].alias("before"), g["after"].alias("after"))
 
-    return F.aggregate(both, begin, add)["out"]
+        return F.when(n == 0, F.array().cast(MATCHES)).otherwise(F.zip_with(ends, pairs, one))
+
+    return let(parts, body)
 
 
 def _digits(m: Column) -> Column:
@@ -101,62 +165,82 @@ def _holds(kind: str, m: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    """Array of (start, end, m) of one base kind."""
-    all_of = F.filter(matches(text, PATTERNS[kind]), lambda x: _holds(kind, x["m"]))
-    some = F.transform(all_of, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "m")]))
-    return F.when(text.rlike(HINTS[kind]), some).otherwise(F.array().cast(SPANS))
-
-
-def _words(text: Column) -> Column:
-    """Array of (start, end, core, left, right) of words with a digit or an at sign, without the marks around them."""
-    found = matches(text, INSTANCE)
-    last = F.element_at(F.split(text, INSTANCE, -1), -1)
-    after = F.concat(F.transform(F.slice(found, 2, F.size(found)), lambda x: x["gap"]), F.array(last))
-
-    def one(x: Column, gap: Column) -> Column:
-        inner = F.ltrim(x["m"], F.lit(EDGE))
-        core = F.rtrim(inner, F.lit(EDGE))
-        start = x["start"] + F.length(x["m"]) - F.length(inner)
-        left = F.element_at(F.split(F.rtrim(F.regexp_replace(F.right(x["gap"], F.lit(NEAR)), f"[{SPACE}]", " ")), " ", -1), -1)
-        right = F.element_at(F.split(F.ltrim(F.regexp_replace(F.left(gap, F.lit(NEAR)), f"[{SPACE}]", " ")), " ", -1), 1)
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(core)).alias("end"),
-            F.lower(core).alias("core"),
-            F.lower(left).alias("left"),
-            F.lower(right).alias("right"),
+    """The matches of one base kind that hold."""
+    held = F.filter(matches(text, PATTERNS[kind]), lambda x: _holds(kind, x["m"]))
+    return F.when(text.rlike(HINTS[kind]), held).otherwise(F.array().cast(MATCHES))
+
+
+def _word(found: Column) -> Column:
+    """``found`` as a context: nothing, if it is itself an instance or cut off by one."""
+    return F.when(found.rlike("[0-9@\u0001]"), "").otherwise(F.lower(found))
+
+
+def _before(gap: Column, first: Column) -> Column:
+    """The word before an instance that ``gap`` leads up to, with the one before that if it has no letter."""
+    whole = F.translate(F.when(first, gap).otherwise(F.concat(F.lit("\u0001"), gap)), "\t\n\x0b\x0c\r", "     ")
+
+    def body(g: Column) -> Column:
+        rest = F.rtrim(F.left(g, F.length(g) - F.length(F.substring_index(g, " ", -1))))
+        return let(F.struct(rest.alias("rest"), F.substring_index(rest, " ", -1).alias("last")), words)
+
+    def words(x: Column) -> Column:
+        more = F.substring_index(F.rtrim(F.left(x["rest"], F.length(x["rest"]) - F.length(x["last"]))), " ", -1)
+        return F.when((x["last"] == "") | x["last"].rlike(r"[\p{L}0-9@\x01]"), _word(x["last"])).otherwise(
+            F.concat_ws(" ", F.nullif(_word(more), F.lit("")), x["last"])
         )
 
-    some = F.zip_with(found, after, one)
-    return F.when(text.rlike("[0-9@]"), some).otherwise(F.array().cast(INSTANCES_OF))
+    return let(whole, body)
 
 
-def _instances(words: Column, base: Column) -> Column:
-    """Array of (start, end, core, left, right, seed): base spans, and the words of four characters or more beside them."""
+def _after(gap: Column, last: Column) -> Column:
+    """The word after an instance that ``gap`` follows."""
+    whole = F.translate(F.when(last, gap).otherwise(F.concat(gap, F.lit("\u0001"))), "\t\n\x0b\x0c\r", "     ")
+    return let(whole, lambda g: _word(F.substring_index(F.ltrim(F.substring(g, F.length(F.substring_index(g, " ", 1)) + 1, F.length(g))), " ", 1)))
 
-    def meets(x: Column, b: Column) -> Column:
-        return (b["start"] < x["end"]) & (x["start"] < b["end"])
 
-    def build(both: Column) -> Column:
-        def whole(b: Column) -> Column:
-            under = F.filter(both["words"], lambda x: meets(x, b))
-            return F.struct(
-                b["start"].alias("start"),
-                b["end"].alias("end"),
-                F.lower(b["m"]).alias("core"),
-                F.coalesce(F.get(under, F.lit(0))["left"], F.lit("")).alias("left"),
-                F.coalesce(F.get(under, F.size(under) - 1)["right"], F.lit("")).alias("right"),
-                F.lit(True).alias("seed"),
-            )
+def _instance(x: Column, kind: int, length: Column) -> Column:
+    """(start, kind, end, core, left, right) of a match; kind 0 is a base span, 1 a word, of which marks around it are no part."""
+    inner = F.ltrim(x["m"], F.lit(EDGE)) if kind else x["m"]
+    core = F.rtrim(inner, F.lit(EDGE)) if kind else inner
+    start = x["start"] + F.length(x["m"]) - F.length(inner)
+    return F.struct(
+        start.alias("start"),
+        F.lit(kind).alias("kind"),
+        (start + F.length(core)).alias("end"),
+        F.lower(core).alias("core"),
+        _before(x["before"], x["start"] == F.length(x["before"])).alias("left"),
+        _after(x["after"], x["end"] + F.length(x["after"]) == length).alias("right"),
+    )
 
-        fresh = F.filter(both["words"], lambda x: (F.length(x["core"]) >= 4) & ~F.exists(both["base"], lambda b: meets(x, b)))
-        kept = F.transform(
-            fresh, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "core", "left", "right")], F.lit(False).alias("seed"))
+
+def instances(text: Column, base: Column) -> Column:
+    """Array of (start, kind, end, core, left, right): base spans, and the words with a digit or an at sign beside them."""
+    found = F.when(text.rlike("[0-9@]"), matches(text, INSTANCE)).otherwise(F.array().cast(MATCHES))
+    parts = F.struct(F.length(text).alias("length"), found.alias("words"), base.alias("base"))
+
+    def events(x: Column) -> Column:
+        words = F.filter(F.transform(x["words"], lambda w: _instance(w, 1, x["length"])), lambda w: F.length(w["core"]) >= SHORTEST)
+        both = F.array_sort(F.concat(F.transform(x["base"], lambda b: _instance(b, 0, x["length"])), words))
+        return let(F.struct(both.alias("events"), x["length"].alias("length")), apart)
+
+    def apart(x: Column) -> Column:
+        # A word meets no base span if those up to it have ended and the next begins after it.
+        length = x["length"]
+        ends = running(F.transform(x["events"], lambda e: F.when(e["kind"] == 0, e["end"]).otherwise(0).cast("long")), _most)
+        left = F.transform(F.reverse(x["events"]), lambda e: F.when(e["kind"] == 0, length - e["start"]).otherwise(0).cast("long"))
+        tied = F.arrays_zip(x["events"].alias("e"), ends.alias("before"), F.reverse(running(left, _most)).alias("left"))
+        free = F.filter(
+            tied, lambda t: (t["e"]["kind"] == 0) | ((t["before"] <= t["e"]["start"]) & (length - t["left"] >= t["e"]["end"]))
         )
-        return F.concat(F.transform(both["base"], whole), kept)
+        return F.transform(free, lambda t: t["e"])
+
+    return let(parts, lambda x: F.when(F.size(x["words"]) + F.size(x["base"]) == 0, F.array().cast(INSTANCES)).otherwise(events(x)))
+
 
-    # An array of one, so that both are evaluated once and not for each element.
-    return F.transform(F.array(F.struct(words.alias("words"), base.alias("base"))), build)[0]
+def strong(core: Column) -> Column:
+    """Whether a word is a seed by its form: long, of letters and digits, some of each."""
+    digits, letters = (F.length(F.regexp_replace(core, f"[^{c}]", "")) for c in ("0-9", "a-z"))
+    return (F.length(core) >= STRONG) & core.rlike("^[a-z0-9_/+=-]++$") & (digits >= 4) & (letters >= 4)
 
 
 def shape(core: Column) -> Column:
@@ -177,23 +261,18 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Staged (doc_id, text_hash, email, ip, card, phone, instances): what later steps need of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    matched = base.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        *[base_spans(F.col("text"), k).alias(k) for k in KINDS],
-        _words(F.col("text")).alias("words"),
-    )
+    matched = base.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     found = matched.select(
         "doc_id",
         "text_hash",
         *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS],
-        _instances(F.col("words"), F.concat(*KINDS)).alias("instances"),
+        instances(F.col("text"), F.concat(*KINDS)).alias("instances"),
     )
     return stage(found, "pii")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """One row per instance in a text, with its (context, pattern) and whether it is a seed."""
+    """One row per instance in a text, with its (context, pattern), whether it is a seed, and whether it is of a base kind."""
     x = F.col("x")
     one = found.select("doc_id", "text_hash", F.explode("instances").alias("x"))
     sides = {
@@ -219,7 +298,8 @@ def occurrences(found: DataFrame) -> DataFrame:
         x["end"].alias("end"),
         x["core"].alias("core"),
         F.array_compact(F.array(*patterns)).alias("patterns"),
-        x["seed"].alias("seed"),
+        ((x["kind"] == 0) | strong(x["core"])).alias("seed"),
+        (x["kind"] == 0).alias("base"),
     )
 
 
@@ -227,7 +307,7 @@ def trusted_patterns(
     occurred: DataFrame,
     rounds: int = ROUNDS,
     confidence: float = CONFIDENCE,
-    instances: int = INSTANCES,
+    instances: int = FEWEST,
     seeds: int = SEEDS,
 ) -> DataFrame:
     """(pattern) that passes after ``rounds`` of scoring the pattern-instance graph."""
@@ -274,10 +354,17 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bou
     found = extracted(docs, id_col, text_col)
     occurred = occurrences(found)
     patterns = trusted_patterns(occurred, **bounds)
-    new = (
-        occurred.where(~F.col("seed"))
-        .select("doc_id", "text_hash", F.struct("start", "end").alias("span"), F.explode("patterns.pattern").alias("pattern"))
+    fresh = occurred.where(~F.col("base"))
+    discovered = (
+        fresh.select("core", F.explode("patterns.pattern").alias("pattern"))
+        .distinct()
         .join(patterns, "pattern", "left_semi")
+        .select("core")
+        .distinct()
+    )
+    new = (
+        fresh.select("doc_id", "text_hash", "core", F.struct("start", "end").alias("span"))
+        .join(discovered, "core", "left_semi")
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set("span")).alias(LEARNED))
     )
@@ -298,26 +385,72 @@ def as_text(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*[named(k) for k in kinds]), ",")
 
 
-def masked(text: Column, kinds: dict[str, Column]) -> Column:
-    """``text`` with every stretch that spans cover replaced by its first span's kind."""
+def masked(text: Column, kinds: dict[str, Column], block: int = BLOCK) -> Column:
+    """``text`` with every stretch that spans cover replaced by its first span's kind.
+
+    A text is cut into blocks of ``block`` characters and the spans at their edges, so
+    that every cut is a short way into its block.
+    """
 
     def named(kind: str, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
     every = F.array_sort(F.concat(*[named(k, c) for k, c in kinds.items()]))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+
+    def uncovered(spans: Column) -> Column:
+        """Spans without what earlier ones cover; those that begin inside one have no name."""
+        ends = running(F.transform(spans, lambda x: x["end"].cast("long")), _most)
+        earlier = F.slice(F.concat(F.array(F.lit(0).cast("long")), ends), 1, F.size(spans))
+
+        def one(x: Column, before: Column) -> Column:
+            name = F.when(x["start"] >= before, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+            return F.struct(F.greatest(x["start"], before.cast("int")).alias("start"), x["end"].alias("end"), name.alias("name"))
+
+        return F.filter(F.zip_with(spans, earlier, one), lambda x: x["start"] < x["end"])
+
+    def by_block(x: Column) -> Column:
+        """Per block the parts of spans in it, as (block, 1, start, end, name)."""
+
+        def parts(s: Column) -> Column:
+            first, last = F.floor(s["start"] / block).cast("int"), F.floor((s["end"] - 1) / block).cast("int")
+            return F.transform(
+                F.sequence(first, last),
+                lambda b: F.struct(
+                    b.alias("block"),
+                    F.lit(1).alias("kind"),
+                    F.greatest(s["start"] - b * block, F.lit(0)).alias("start"),
+                    F.least(s["end"] - b * block, F.lit(block)).alias("end"),
+                    F.when(b == first, s["name"]).otherwise("").alias("name"),
+                ),
+            )
 
-    def add(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        more = F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))))
-        return F.struct(
-            F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out")
+        heads = F.transform(
+            F.sequence(F.lit(0), F.size(x["blocks"]) - 1),
+            lambda b: F.struct(b.alias("block"), F.lit(0).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("name")),
+        )
+        events = F.array_sort(F.concat(heads, F.flatten(F.transform(x["spans"], parts))))
+        return let(F.struct(x["blocks"].alias("blocks"), events.alias("events")), cut)
+
+    def cut(x: Column) -> Column:
+        # A head at place p begins its block's events.
+        places = F.transform(x["events"], lambda e, i: F.struct(e["kind"].alias("kind"), i.alias("at")))
+        heads = F.transform(F.filter(places, lambda p: p["kind"] == 0), lambda p: p["at"])
+        ends = F.concat(F.slice(heads, 2, F.size(heads)), F.array(F.size(x["events"])))
+        runs = F.zip_with(heads, ends, lambda a, b: F.slice(x["events"], a + 1, b - a))
+        return F.array_join(F.zip_with(x["blocks"], runs, one_block), "")
+
+    def one_block(part: Column, run: Column) -> Column:
+        # After each event the characters up to the next one.
+        upto = F.concat(F.transform(F.slice(run, 2, F.size(run)), lambda e: e["start"]), F.array(F.length(part)))
+        return F.array_join(
+            F.zip_with(run, upto, lambda e, to: F.concat(e["name"], F.substring(part, e["end"] + 1, to - e["end"]))), ""
         )
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(
-        every, begin, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    )
+    def body(x: Column) -> Column:
+        return F.when(F.size(x["blocks"]) == 0, F.lit("")).otherwise(by_block(x))
+
+    return let(every, lambda e: let(F.struct(blocks.alias("blocks"), uncovered(e).alias("spans")), body))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: float) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -415,6 +416,62 @@ def test_contexts_discover_other_formats(spark):
     assert not any(got[i]["other"] for i, _ in rows if i < 100) and not any(got[i]["other"] for i, _ in plain)
 
 
+def test_keys_are_discovered_where_their_context_is_trusted(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'see token = "{key(i)}" and x{i}') for i in range(20)] + [(50, 'the token = "ab12cd" here'), (51, f"alone {key(3)}"), (52, f"alone {key(99)} too")]
+    got = {r["doc_id"]: [t[slice(*s)] for s in r["other"]] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() for t in [dict(rows)[r["doc_id"]]]}
+    assert all(got[i] == [key(i)] for i in range(20)) and got[50] == ["ab12cd"] and got[51] == [key(3)] and got[52] == []
+
+
+def test_graph_scores_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    words = "call mail near from until today soon".split()
+    rows = [(i, " ".join([*rng.choice(words, 2), str(rng.choice(["+49 30 1234567", f"10.0.0.{i % 9}", "x77", "a-1234", f"n{i % 7}00"])), *rng.choice(words, 2)])) for i in range(400)]
+    occurred = pii.occurrences(pii.extracted(spark.createDataFrame(rows, "doc_id long, text string"))).cache()
+    edges = {(p["context"], p["pattern"], r["core"]) for r in occurred.collect() for p in r["patterns"]}
+    seeds = {r["core"] for r in occurred.collect() if r["seed"]}
+    trust = {c: float(c in seeds) for _, _, c in edges}
+    for _ in range(pii.ROUNDS):
+        of = {}
+        for _, p, c in edges:
+            of.setdefault(p, set()).add(c)
+        score = {p: sum(trust[c] for c in v) / (len(v) + 1) for p, v in of.items()}
+        best = {}
+        for x, p, c in edges:
+            best.setdefault(c, {})[x] = max(best.get(c, {}).get(x, 0), score[p])
+        trust = {c: 1.0 if c in seeds else sum(v.values()) / len(v) for c, v in best.items()}
+    for bound in (0.1, 0.3, 0.5):
+        want = {p for p, v in of.items() if score[p] >= bound and len(v) >= 2 and len(v & seeds) >= 1}
+        assert {r["pattern"] for r in pii.trusted_patterns(occurred, confidence=bound, instances=2, seeds=1).collect()} == want and want
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    text = " ".join(f"at 10.{i % 250}.3.{i % 99} x{i}" for i in range(8_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = pii.spans(docs).collect()[0]
+    assert [tuple(s) for s in found["ip"]] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", text)]
+    assert pii.redact(docs).collect()[0]["text"] == re.sub(r"[0-9]+(\.[0-9]+){3}", "<IP>", text)
+    assert time.time() - began < 120
+
+
+def test_masks_over_block_edges(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(40):
+        text = "".join(rng.choice(list("abcé\n"), 60).tolist())
+        spans = sorted((int(a), int(a + n)) for a, n in zip(rng.integers(0, 50, 6), rng.integers(1, 10, 6), strict=True))
+        at, want = 0, ""
+        for a, b in spans:
+            want += text[at:a] + "<OTHER>" if a >= at else ""
+            at = max(at, b)
+        rows.append((text, spans, want + text[at:]))
+    rows += [("", [], ""), ("x", [(0, 1)], "<OTHER>")]
+    frame = spark.createDataFrame(rows, "text string, other array<struct<start:int,end:int>>, want string")
+    for block in (1, 7, 60, 4096):
+        assert frame.where(pii.masked(F.col("text"), {"other": F.col("other")}, block) != F.col("want")).count() == 0
+
+
 def test_redaction(spark, odd):
     docs = spark.createDataFrame([(1, "mail a@b.org or 10.0.0.1 é", 5), (2, None, 6), (3, "clean", 7), (3, "x@y.org", 8), (None, "c@d.org", 9)], "doc_id long, text string, start int")
     got = sorted((r["start"], r["text"]) for r in pii.redact(docs).collect())
