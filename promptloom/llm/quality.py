@@ -1,24 +1,27 @@
 """Quality rules with risk-controlled cutoffs.
 
-Fixed rules fail a text first. Every other signal (symbols, repeated lines,
-repeated words, capitals) rejects a text above a cutoff, chosen per stratum from
-labelled texts so that with probability ``1 - DELTA`` over all strata at most
-``ALPHA`` of a stratum's good texts are rejected. The signals share ``ALPHA``;
-for one signal, the cutoffs of a fixed grid are tested from the loosest on, each
-by the exact binomial tail over the stratum's good holdout texts at the level
-``DELTA / (strata * signals)``, and testing stops at the first that isn't
-certified. A chain of tests in fixed order needs no further correction, and all
-certificates hold together, so any certified cutoff may be taken: the loosest of
-those that part bad from good texts best. A stratum with too few labels for any
-certificate rejects nothing.
-
-Counts are pre-aggregated per stratum, signal and grid step; one task decides
-one stratum's signal from at most a grid's rows.
-
-Defined cases: a null text has no words and fails; a null stratum is its own;
-texts of any length go in whole; labels given twice count as good only if all
-say so; null labels are left out; repeated rows give a row each; an empty table
-gives an empty one; without labels the fixed rules alone decide.
+Fixed rules fail a text first. Every other text has a score of how bad it looks: the
+highest, over four signals (symbols, repeated lines, repeated words, capitals), of the
+log of how much likelier bad texts are than good ones to have that much of the signal.
+Those ratios come from a third of the labels. The others certify, per stratum, a cutoff
+of the score that with probability ``1 - DELTA`` over all strata rejects at most
+``ALPHA`` of the stratum's good texts: cutoffs of a fixed grid are tested from the
+strictest on, each by the exact binomial tail over the stratum's good texts at the level
+``DELTA / strata``, and testing stops at the first that isn't certified. A chain of
+tests in fixed order needs no further correction, and all certificates hold together, so
+any certified cutoff may be taken: the strictest of those that part bad from good texts
+best. A stratum with too few labels for any certificate (under about 107 good ones, with
+four strata) rejects nothing.
+
+Counts are pre-aggregated per signal or stratum and grid step; one task decides one
+stratum from at most a grid's rows, and the driver sees at most a grid's rows a signal.
+
+Defined cases: a null text has no words and fails; a null stratum is its own, apart from
+the empty string; texts of any length go in whole; a text whose score ties with the
+cutoff is rejected; labels given twice count as good only if all say so; null labels are
+left out; repeated rows give a row each; an empty table gives an empty one; without
+labels the fixed rules alone decide; ``judged`` ignores extra columns and
+``drop_rejected`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +41,11 @@ from .common import give_back, stage
 ALPHA = 0.04
 DELTA = 0.05
 SIGNALS = ("symbols", "dup_lines", "repeats", "capitals")
-# Cutoffs that may be chosen, from loose to tight; fixed before any data is seen.
-GRID = tuple(float(x) for x in np.geomspace(50.0, 0.004, 160))
+# Steps of a signal, and the cutoffs of the score from strict to loose; fixed before any data is seen.
+STEPS = tuple(float(x) for x in np.geomspace(50.0, 0.004, 160))
+GRID = tuple(float(x) for x in np.linspace(8.0, 0.05, 160))
+# One label of so many is for the ratios.
+FIT = 3
 # Bad texts that one good text weighs as much as, when certified cutoffs compete.
 HARM = 5
 FEWEST_WORDS = 10
@@ -100,7 +106,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     narrow = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(text).alias("text_hash"),
-        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
+        F.col(stratum).cast("string").alias("stratum"),
         text.alias("text"),
     )
     kinds = "doc_id long, text_hash long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS)
@@ -121,9 +127,9 @@ def signal(name: str) -> Column:
     }[name]
 
 
-def step(value: Column) -> Column:
-    """The number of grid cutoffs, from the loosest on, that don't reject ``value``."""
-    return F.size(F.filter(F.array(*[F.lit(g) for g in GRID]), lambda g: g >= value))
+def step(value: Column, grid: tuple[float, ...] = STEPS) -> Column:
+    """The number of ``grid``'s values, from the highest on, that are above ``value``."""
+    return F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g > value))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -154,54 +160,69 @@ def choose(counts: np.ndarray, alpha: float, delta: float) -> float:
     return cutoff
 
 
-def cutoffs(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, signal, cutoff) from labelled rows (doc_id, quality 0/1)."""
+def labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows that pass the fixed rules and have a label: with ``good`` 0/1 and whether they are ``for_fit``."""
     good = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.min("quality").alias("good"))
     )
-    named = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("signal"), step(signal(s)).alias("step")) for s in SIGNALS])
-    ).alias("x")
+    rows = found.where(~base_failed()).join(good, "doc_id")
+    return rows.withColumn("for_fit", F.pmod(F.xxhash64("doc_id"), F.lit(FIT)) == 0)
+
+
+def ratios(rows: DataFrame) -> dict[str, list[float]]:
+    """Of each signal, by step, the log of how much likelier bad texts are to reach it; unseen among bad ones is no evidence."""
+    named = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), step(signal(s)).alias("step")) for s in SIGNALS])).alias("x")
     counts = (
-        found.where(~base_failed())
-        .join(good, "doc_id")
-        .select("doc_id", "stratum", "good", named)
-        .groupBy("stratum", F.col("x.signal").alias("signal"), F.col("x.step").alias("step"))
-        .agg(
-            F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad")
-        )
+        rows.where("for_fit")
+        .select("good", named)
+        .groupBy("x.signal", "x.step")
+        .agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
+        .collect()
+    )
+    table = {s: np.zeros((len(STEPS) + 1, 2)) for s in SIGNALS}
+    for r in counts:
+        table[r["signal"]][r["step"]] = r["good"], r["bad"]
+    found = {}
+    for name, per_step in table.items():
+        reach, whole = per_step.cumsum(0), per_step.sum(0)
+        found[name] = (np.log((reach[:, 1] + 0.01) / (whole[1] + 2)) - np.log((reach[:, 0] + 1) / (whole[0] + 2))).tolist()
+    return found
+
+
+def score(found: dict[str, list[float]]) -> Column:
+    return F.greatest(*[F.get(F.array(*[F.lit(x) for x in found[s]]), step(signal(s))) for s in SIGNALS])
+
+
+def cutoffs(rows: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, cutoff) from labelled rows with a ``score``."""
+    counts = (
+        rows.where("NOT for_fit")
+        .groupBy("stratum", step(F.col("score"), GRID).alias("step"))
+        .agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
     )
     counts = stage(counts, "steps")
-    strata = counts.agg(F.count_distinct("stratum")).first()[0]
-    share = alpha / len(SIGNALS), delta / max(1, strata * len(SIGNALS))
+    strata = counts.select(F.struct("stratum").alias("s")).agg(F.count_distinct("s")).first()[0]
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
         table = np.zeros((len(GRID) + 1, 2), dtype=np.int64)
         np.add.at(table, frame["step"].to_numpy(), frame[["good", "bad"]].to_numpy())
-        first = frame.iloc[0]
-        return pd.DataFrame(
-            {"stratum": [first["stratum"]], "signal": [first["signal"]], "cutoff": [choose(table, *share)]}
-        )
+        return pd.DataFrame({"stratum": [frame["stratum"].iloc[0]], "cutoff": [choose(table, alpha, delta / max(1, strata))]})
 
-    return counts.groupBy("stratum", "signal").applyInPandas(decide, "stratum string, signal string, cutoff double")
+    return counts.groupBy("stratum").applyInPandas(decide, "stratum string, cutoff double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """(doc_id, text_hash, stratum, counts, base_failed, kept) of every row."""
+    """(doc_id, text_hash, stratum, counts, base_failed, score, cutoff, kept) of every row."""
     found = stage(measured(docs, id_col, text_col, stratum), "measured")
-    table = cutoffs(found, labels)
-    by_stratum = table.groupBy("stratum").agg(
-        *[F.min(F.when(F.col("signal") == s, F.col("cutoff"))).alias(f"cut_{s}") for s in SIGNALS]
-    )
-    over = [F.coalesce(signal(s) > F.col(f"cut_{s}"), F.lit(False)) for s in SIGNALS]
-    rejected = over[0]
-    for other in over[1:]:
-        rejected = rejected | other
-    joined = found.join(by_stratum, "stratum", "left").withColumn("base_failed", base_failed())
-    return joined.select(
-        "doc_id", "text_hash", "stratum", *COUNTS, "base_failed", (~F.col("base_failed") & ~rejected).alias("kept")
+    rows = stage(labelled(found, labels), "labelled")
+    scored = score(ratios(rows))
+    table = cutoffs(rows.withColumn("score", scored)).select(F.col("stratum").alias("of"), "cutoff")
+    joined = found.join(table, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    rejected = F.coalesce(F.col("score") >= F.col("cutoff"), F.lit(False))
+    return joined.select("doc_id", "text_hash", "stratum", *COUNTS, base_failed().alias("base_failed"), scored.alias("score"), "cutoff").withColumn(
+        "kept", ~F.col("base_failed") & ~rejected
     )
 
 
@@ -212,7 +233,7 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     own = F.struct(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
-        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
+        F.col(stratum).cast("string").alias("stratum"),
     )
     kept = docs.withColumn("__own", own).join(keep, F.col("__own") == F.col("__key"), "left_semi")
     return kept.select([F.col(f"`{c}`") for c in docs.columns])

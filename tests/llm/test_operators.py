@@ -140,7 +140,7 @@ def test_binomial_tail_is_exact():
 
 
 def test_cutoffs_need_evidence_and_limit_false_rejection():
-    few, many = np.zeros((len(quality.GRID) + 1, 2), dtype=int), np.zeros((len(quality.GRID) + 1, 2), dtype=int)
+    few, many = (np.zeros((len(quality.GRID) + 1, 2), dtype=int) for _ in range(2))
     few[-1, 0], few[40, 1] = 50, 20
     many[-1, 0], many[40, 1], many[100, 1], many[100, 0] = 3000, 500, 500, 900
     assert quality.choose(few, 0.01, 0.003) == float("inf")
@@ -157,6 +157,46 @@ def test_learned_cutoffs_reject_symbols_and_keep_clean_texts(spark):
     assert kept == {i for i, _, _ in clean}
 
 
+def test_verdicts_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, marks = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    # A null stratum and the empty one, apart from each other.
+    docs = docs.withColumn("lang", F.when(F.col("lang") == "de", None).when(F.col("lang") == "fr", "").otherwise(F.col("lang")))
+    rows = {r["doc_id"]: r for r in quality.judged(docs, marks).collect()}
+    good = {r["doc_id"]: r["quality"] for r in marks.collect()}
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(quality.FIT)) == 0).alias("f")).collect()}
+    values = {i: (r["n_symbols"] / max(r["n_words"], 1), r["n_dup_lines"] / max(r["n_lines"], 1), r["n_repeat_words"] / max(r["n_words"], 1), r["n_capitals"] / max(r["word_chars"], 1)) for i, r in rows.items()}
+    use = [i for i, r in rows.items() if not r["base_failed"] and i in good]
+    level = lambda x: sum(g > x for g in quality.STEPS)
+    score = {}
+    for i in rows:
+        best = []
+        for k in range(4):
+            at = level(values[i][k])
+            seen = [[j for j in use if fold[j] and good[j] == y] for y in (1, 0)]
+            over = [sum(level(values[j][k]) <= at for j in s) for s in seen]
+            best.append(np.log((over[1] + 0.01) / (len(seen[1]) + 2)) - np.log((over[0] + 1) / (len(seen[0]) + 2)))
+        score[i] = max(best)
+        assert rows[i]["score"] == pytest.approx(score[i])
+    strata = {r["stratum"] for r in rows.values()}
+    assert {None, "", "en"} <= strata
+    for s in strata:
+        own = [j for j in use if not fold[j] and rows[j]["stratum"] == s]
+        best, cutoff = 0, np.inf
+        for g in quality.GRID:
+            hit = [good[j] for j in own if score[j] >= g]
+            n = sum(good[j] for j in own)
+            if quality.binomial_tail(sum(hit), n, quality.ALPHA) > quality.DELTA / len(strata):
+                break
+            if (gain := len(hit) - sum(hit) - quality.HARM * sum(hit)) > best:
+                best, cutoff = gain, g
+        for i, r in rows.items():
+            if r["stratum"] == s:
+                assert r["kept"] == (not r["base_failed"] and score[i] < cutoff)
+    learned = [i for i, r in rows.items() if not r["base_failed"] and not r["kept"]]
+    assert learned and sum(good.get(i, 0) for i in learned) <= quality.ALPHA * sum(good[i] for i in use)
+
+
 # Packing
 
 
