@@ -7,12 +7,14 @@ marks. A word's self-weight is taken for its length, which keeps the kernel
 positive definite and makes a word's score a sum over its subsequences.
 
 Training, on a bounded sample of labelled rows outside the held-out part:
-landmarks are words that cover toxic texts and not clean ones, with frequent
-words of clean texts as contrast; words are mapped to the landmarks' span
-(Nyström); a linear SVM is trained on sentences as bags of words, where a toxic
-sentence answers for its highest word and a clean one for all, with rounds of
-mining the highest clean words; toxic words also enter in gapped, padded and
-doubled spellings. A logistic curve over the rest of the sample gives the score.
+landmarks are words that stand in toxic texts more often than chance explains, with
+frequent words of clean texts as contrast; words are mapped to the landmarks' span
+(Nyström); a linear SVM is trained on sentences as bags of words. It starts with the
+landmarks as toxic words. Then, in each round, each toxic text answers for its highest
+sentence and that for its highest word, whether a landmark or not, clean texts answer
+for all their words, of which the highest are mined; landmarks also enter in gapped,
+padded and doubled spellings. A logistic curve over the rest of the sample, weighted to
+the labels' own balance, gives the score.
 
 Scoring: Arrow finds a block's distinct words, one table of subsequence weights
 scores them, a text takes its highest word. Runs of single characters also count
@@ -21,11 +23,14 @@ as one joined word, long words in overlapping windows.
 Defined cases: a null, empty or blank text scores as one without any word; very
 long texts go in whole; labels given twice count as toxic if one says so; null
 labels are left out; without labels of both kinds every score is 0; repeated
-rows give a row each; other columns are ignored.
+rows give a row each; a null id is in no part, so its ``held_out`` is null; ties of
+words go to the later one in code points; an empty table gives an empty one; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Labelled rows of each kind that training looks at, at most.
-TRAIN_ROWS = 1500
+TRAIN_ROWS = 3000
 TOXIC_LANDMARKS = 160
 CLEAN_LANDMARKS = 40
 DECAY = 0.7
@@ -46,6 +51,8 @@ DECAY = 0.7
 ROUNDS, MINED = 4, 1000
 # Weight of a word on the wrong side of the margin.
 COST = 100.0
+# Times a text is covered by landmarks, and clean texts per toxic one that may hold a landmark.
+COVER, CLEAN_SHARE = 3, 0.02
 REACH = 6
 ALPHABET = 64
 # Longest stretch scored as one word, and the step of windows over longer ones.
@@ -192,22 +199,33 @@ def text_words(text: str) -> list[set[str]]:
     ]
 
 
-def _cover(toxic: list[set[str]], clean: Counter, most: int) -> list[str]:
-    """Words that cover toxic texts best, each text up to three times."""
+def _tail(m: int, n: int, p: float) -> float:
+    """Log of P(X <= m) for X binomial (n, p), by its largest term and at most ``m + 1`` of them."""
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(m + 1)]
+    return max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs))
+
+
+def _cover(toxic: list[set[str]], clean: Counter, clean_texts: int, most: int) -> list[str]:
+    """Words that cover toxic texts best, each text up to ``COVER`` times.
+
+    Only words that stand in toxic texts more often than chance lets the likeliest of
+    all candidates do so.
+    """
     count = Counter(w for t in toxic for w in t)
-    apart = {w: n for w, n in count.items() if n >= 2 and clean[w] <= 0.02 * n and 3 <= len(w) <= WINDOW}
+    tried = {w: n for w, n in count.items() if n >= 2 and clean[w] <= CLEAN_SHARE * n and 3 <= len(w) <= WINDOW}
+    share = clean_texts / (clean_texts + len(toxic))
+    apart = {w: n for w, n in tried.items() if _tail(clean[w], n + clean[w], share) <= -math.log(len(tried))}
     left = Counter(apart)
-    need = [3] * len(toxic)
+    need = [COVER] * len(toxic)
     where: dict[str, list[int]] = {}
     for i, t in enumerate(toxic):
         for w in t:
             if w in apart:
                 where.setdefault(w, []).append(i)
     found: list[str] = []
-    floor = max(2, len(toxic) // 150)
     while len(found) < most and left:
         word = max(left, key=lambda w: (left[w], w))
-        if left[word] < floor:
+        if left[word] < 1:
             break
         del left[word]
         found.append(word)
@@ -228,8 +246,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -40, 40)))
 
 
-def train(rows: Iterable[tuple[int, str]], toxic_landmarks: int = TOXIC_LANDMARKS) -> Model:
-    """``rows``: (toxic 0/1, text) of labelled texts."""
+def train(rows: Iterable[tuple[int, str]], toxic_landmarks: int = TOXIC_LANDMARKS, balance: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """``rows``: (toxic 0/1, text) of labelled texts; ``balance``: how many rows each clean and each toxic one stands for."""
     texts = [(bool(y), text_words(t or "")) for y, t in rows]
     fit = [x for i, x in enumerate(texts) if i % 4]
     rest = [x for i, x in enumerate(texts) if not i % 4]
@@ -238,7 +256,7 @@ def train(rows: Iterable[tuple[int, str]], toxic_landmarks: int = TOXIC_LANDMARK
     clean = Counter(w for y, s in fit if not y for w in set().union(*s))
     if not toxic or not clean:
         return nothing
-    marks = _cover(toxic, clean, toxic_landmarks)
+    marks = _cover(toxic, clean, sum(not y for y, _ in fit), toxic_landmarks)
     if not marks:
         return nothing
     landmarks = marks + [w for w, _ in clean.most_common(CLEAN_LANDMARKS) if len(w) <= WINDOW]
@@ -257,41 +275,51 @@ def train(rows: Iterable[tuple[int, str]], toxic_landmarks: int = TOXIC_LANDMARK
         table[kernel.known] = (project @ weight[:-1]) @ of_marks
         return table
 
-    # Bags: sentences of toxic texts that hold a cover word, and all clean words.
-    known = set(marks)
-    bags = [s for y, text in fit if y for s in text if s & known]
-    witness = sorted({w for s in bags for w in s & known})
-    varied = [v for w in marks for v in disguised(w)]
+    # A toxic text is a bag of sentences, of which one at least is toxic; a sentence is its highest word.
+    bags = [found for y, text in fit if y and (found := [s for s in text if s])]
+    toxic_words = sorted(set().union(*toxic))
     clean_words = sorted(clean)
     rng = np.random.default_rng(0)
     negatives = set(rng.choice(clean_words, min(1500, len(clean_words)), replace=False).tolist())
+    witness, chosen = Counter(marks), set(marks)
     weight = np.zeros(1)
     for _ in range(ROUNDS):
-        positive = [*witness, *varied]
+        varied = [v for w in marks for v in disguised(w)]
+        known = sorted(witness)
+        positive = [*known, *varied]
         negative = sorted(negatives - set(positive))
         x = features(positive + negative)
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        cost = np.array([COST] * len(witness) + [COST / 5] * len(varied) + [COST] * len(negative))
+        cost = np.array([COST] * len(known) + [COST / 5] * len(varied) + [COST] * len(negative))
         weight = _solve(x, y, cost)
         table = as_table(weight)
         mined = score_words(clean_words, table)
         negatives |= {clean_words[i] for i in np.argsort(-mined)[:MINED]}
-        chosen = [(ws := sorted(s))[int(np.argmax(score_words(ws, table)))] for s in bags]
-        witness = sorted({*witness, *(w for w in chosen if clean[w] == 0 and w in known)})
+        # Of each text the toxic sentence, and of that its highest word, if no clean text has it.
+        value = dict(zip(toxic_words, (score_words(toxic_words, table) + weight[-1]).tolist(), strict=True))
+        witness = Counter()
+        for bag in bags:
+            sentence = max(bag, key=lambda words: max(value[w] for w in words))
+            word = max(sentence, key=lambda w: (value[w], w))
+            if value[word] > 0 and len(word) <= WINDOW and (clean[word] == 0 or word in chosen):
+                witness[word] += 1
+        if not witness:
+            break
     table = as_table(weight)
     if not rest or len({y for y, _ in rest}) < 2:
         rest = texts
     top = [(y, max((score_words(sorted(s), table).max() for s in text if s), default=float(-weight[-1]))) for y, text in rest]
     value, label = np.array([v for _, v in top]), np.array([float(y) for y, _ in top])
-    slope, shift = _logistic(value, label)
+    slope, shift = _logistic(value, label, balance)
     return Model(table, float(value.min()), slope, shift)
 
 
-def _logistic(value: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, targets smoothed."""
+def _logistic(value: np.ndarray, label: np.ndarray, balance: tuple[float, float] = (1.0, 1.0)) -> tuple[float, float]:
+    """Slope and shift of a logistic curve, targets smoothed, rows weighted by ``balance``."""
     n1, n0 = label.sum(), len(label) - label.sum()
     target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.full(len(label), 1 / max(len(label), 1))
+    weight = np.array(balance)[label.astype(int)]
+    weight /= max(weight.sum(), 1.0)
     x = np.stack([value, np.ones_like(value)], 1)
     at = np.zeros(2)
     for _ in range(50):
@@ -335,18 +363,25 @@ def score_block(texts: pa.Array, model: Model) -> np.ndarray:
     return np.maximum(best, model.low)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[int, str]]:
-    """Labelled texts outside the held-out part, at most ``rows`` of each kind, by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[tuple[int, str]], tuple[float, float]]:
+    """Labelled texts outside the held-out part, at most ``rows`` ids of each kind, by a hash of the id, and the balance.
+
+    An id with several texts gives the one whose hash is least. The balance is how many
+    labelled ids each one of the sample stands for, clean and toxic.
+    """
     one = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
+    totals = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("doc_id"), F.col("doc_id")
     some = one.where("toxic = 1").orderBy(*order).limit(rows).union(one.where("toxic = 0").orderBy(*order).limit(rows))
     # At most twice ``rows`` ids, so they may be broadcast.
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text")
-    return [(r["toxic"], r["text"]) for r in sorted(found.collect(), key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"]))]
+    held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    found = held.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
+    balance = tuple(totals.get(k, 0) / max(1, min(rows, totals.get(k, 0))) or 1.0 for k in (0, 1))
+    return [(r["toxic"], r["text"]) for r in sorted(found, key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"]))], balance
 
 
 def held_out(column: str):
@@ -380,4 +415,5 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
 
 
 def train_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return toxicity(docs, train(sample(docs, labels)))
+    rows, balance = sample(docs, labels)
+    return toxicity(docs, train(rows, balance=balance))

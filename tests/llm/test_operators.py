@@ -557,7 +557,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in scored)
     hit = sum(r["predicted"] for r in scored if r["toxic"])
     wrong = sum(r["predicted"] for r in scored if not r["toxic"])
-    assert hit >= 0.8 * sum(r["toxic"] for r in scored) and wrong <= 0.05 * len(scored)
+    assert hit >= 0.85 * sum(r["toxic"] for r in scored) and wrong <= 0.04 * len(scored)
 
 
 def test_toxicity_tolerates_gaps_and_odd_rows(spark, odd, none):
@@ -573,6 +573,29 @@ def test_toxicity_tolerates_gaps_and_odd_rows(spark, odd, none):
     assert toxicity.train([(1, "x")]).score(np.zeros(1))[0] < 0.01 and toxicity.train([(1, None), (0, "")]) is not None
 
 
+def test_witnesses_are_found_outside_the_landmarks():
+    rng = np.random.default_rng(3)
+    plain = [f"{a}{b}" for a in ("ta", "mo", "re", "li", "su", "ke") for b in ("lon", "mir", "dap", "ves", "tok", "nan", "pel")]
+    say = lambda n: " ".join(rng.choice(plain, n).tolist())
+    rows = [(1, f"{say(6)}. {say(3)} {w} {say(3)}. {say(5)}") for w in ["grobnik"] * 60 + ["grobn1k", "gro-bnik", "groobnik", "grobnikk", "g.robnik", "grobnyk"] * 2]
+    rows += [(0, f"{say(6)}. {say(6)}. {say(5)}") for _ in range(200)]
+    model = toxicity.train([rows[i] for i in rng.permutation(len(rows))])
+    import pyarrow as pa
+
+    said = pa.array([f"{say(5)} {w} {say(4)}" for w in ("grobnik", "gro.bnik", "grobbnik", "grob_nik")] + [say(9) for _ in range(40)], pa.large_string())
+    got = model.score(toxicity.score_block(said, model)) >= toxicity.THRESHOLD
+    assert got[:4].all() and not got[4:].any()
+
+
+def test_sample_is_bounded_by_rows_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", i) for i in range(50)] + [(2, "b", 0), (3, None, 0), (5, "x", 0)], "doc_id long, text string, toxic int")
+    marks = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, None), (5, 0)], "doc_id long, toxic int")
+    use = [i for i in (1, 2, 3, 5) if zlib.crc32(b"%d" % i) % 4 != 2]
+    rows, balance = toxicity.sample(docs, marks, rows=1)
+    clean = len([i for i in use if i != 1])
+    assert len(rows) == 1 + (1 in use) and balance == (float(clean), 1.0)
+
+
 def test_kernel_table_equals_the_kernel():
     words = ["idiot", "moron", "banana", "a", "trashy"]
     kernel = toxicity.Kernel(words)
