@@ -239,8 +239,33 @@ def test_crossover_keeps_every_item_once():
     child = packing.crossover(a, b, lengths, 128, rng)
     assert sorted(i for x in child.bins for i in x) == list(range(400))
     assert child.fills == [sum(lengths[i] for i in x) for x in child.bins] and max(child.fills) <= 128
-    best = packing.evolve(lengths, [a, b], 128, rng)
-    assert len(best.bins) <= min(len(a.bins), len(b.bins))
+    best, done, start = packing.evolve(lengths, [a, b], 128, rng)
+    assert len(best.bins) <= start <= min(len(a.bins), len(b.bins)) and sorted(i for x in best.bins for i in x) == list(range(400))
+    assert packing.evolve([], [], 128, rng)[0].bins == [] and done <= packing.CHILDREN
+
+
+def test_islands_beat_best_fit_decreasing(spark):
+    # About three pieces a sequence: the falling order wastes much.
+    lengths = np.random.default_rng(0).integers(350, 1000, 600).tolist()
+    falling = packing.best_fit(sorted(range(600), key=lambda i: -lengths[i]), lengths, 2048)
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], packing.PIECES)
+    told = packing.history(pieces).collect()
+    assert {(r["island"], r["epoch"]) for r in told} == {(0, 1), (1, 1), (0, 2), (1, 2)}
+    assert all(r["bound"] <= r["bins"] <= r["start_bins"] for r in told) and all(r["crossovers"] >= 10 and r["bins"] < r["start_bins"] for r in told if r["epoch"] == 1)
+    rows = packing.pack(pieces).collect()
+    assert len({r["sequence_id"] for r in rows}) < len(falling.bins) - 3
+    assert all(v <= 2048 for v in Counter({s: sum(r["length"] for r in rows if r["sequence_id"] == s) for s in {r["sequence_id"] for r in rows}}).values())
+
+
+def test_windows_of_an_order(spark, odd, none):
+    coder = queries.public_tokenizer()
+    docs = odd.unionByName(odd.where("doc_id = 6")).withColumn("part", F.lit("clash")).coalesce(1)
+    order = {"part": F.pmod(F.xxhash64("text", "size"), F.lit(3)), "row": F.monotonically_increasing_id()}
+    rows = packing.pack_in_order(docs, coder, **order, capacity=64, shard=4).collect()
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in docs.collect())
+    assert len({(r["position"], r["piece"]) for r in rows}) == len(rows) and all(r["window"] == r["position"] // 4 for r in rows)
+    assert all(len({r["window"] for r in rows if r["sequence_id"] == s}) == 1 for s in {r["sequence_id"] for r in rows})
+    assert packing.pack_in_order(none, coder, F.lit(0), F.monotonically_increasing_id()).count() == 0
 
 
 # Embeddings
