@@ -1,12 +1,19 @@
-"""A corpus pipeline of five of the training-data operators."""
+"""A corpus pipeline of five of the training-data operators.
+
+Each stage takes the rows that the one before it wrote and, but for the last, returns
+their columns. An empty table gives an empty one at every stage; texts of any length go
+in whole; extra columns are kept, whatever their names, up to packing, whose pieces have
+columns of their own. What ties and repeated rows give is said at each stage's operator.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from promptloom.llm.common import stage, table
 from promptloom.llm.mixing import training_order
-from promptloom.llm.packing import pack_documents
+from promptloom.llm.packing import pack_in_order
 from promptloom.llm.pii import redact
 from promptloom.llm.quality import drop_rejected
 from promptloom.llm.queries import public_tokenizer
@@ -14,23 +21,30 @@ from promptloom.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the rules keep. Null and blank texts fail and go; a null language is a stratum; repeated rows stay."""
     return drop_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group, the least id. Null and blank texts are one group; rows without an id stay."""
     return drop_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with personal data in its text replaced. A null text stays null."""
     return redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy that the mix takes, in the order of training. A null source is the last source; blank texts have size 0."""
     return training_order(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizer())
+    """Pieces of sequences, in windows of the order in which the rows lie in their Parquet files. Null texts are one separator."""
+    # The stage before writes its range-sorted partitions as numbered files.
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).try_cast("long"), F.lit(0))
+    return pack_in_order(docs, public_tokenizer(), part, F.col("_metadata.row_index"))
 
 
 STAGES = [
