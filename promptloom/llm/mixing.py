@@ -10,13 +10,15 @@ turns demand into the training time at which the copy is due. Sorting by range
 of that time gives the training order.
 
 A source may hold most rows: running sums are kept per slice of the hash, and
-the slices' sums are summed before. The table of sources is small by nature; one
-task ranks it.
+the slices' sums are summed before; slices and rows of a slice both grow with the
+square root of a large source. Rows of one id stand in one slice. The table of sources
+is small by nature; one task ranks it.
 
 Defined cases: a null or blank text has size 0, is taken once if its source is
 taken at all at its place, and counts nothing; a null source is the last source;
-repeated rows are documents of their own; an empty table gives an empty one;
-extra columns pass through ``curriculum`` untouched.
+repeated rows are documents of their own; rows that tie in id follow by size, then by a
+hash of all their columns; an empty table gives an empty one; extra columns pass through
+untouched, but ``curriculum`` puts its ``mix`` in the place of one of that name.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import WORD_CLASS
 SCHEDULES = (((0.0, 4.0), (1.0, 2.0)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 3.0)))
 BUDGET = 1.5
 MOST = 2
-# Documents of a slice of a source, about.
+# Documents of a slice of a source, about and at least.
 SLICE = 2_000
 # Sources up to which their table is broadcast; more are joined by a shuffle.
 FEW_SOURCES = 10_000
@@ -93,7 +95,13 @@ def source_targets(sizes: DataFrame, schedules: tuple[Schedule, ...], budget: fl
     )
 
 
-def curriculum(
+def curriculum(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` and a struct ``mix``: size, source_size, target, and ``due``, the time of each copy taken; options as for ``placed``."""
+    names = [F.col(f"row.`{c}`") for c in docs.columns if c != "mix"]
+    return placed(docs, **options).select(*names, "mix")
+
+
+def placed(
     docs: DataFrame,
     schedules: tuple[Schedule, ...] = SCHEDULES,
     budget: float = BUDGET,
@@ -103,7 +111,7 @@ def curriculum(
     source_col: str = "source",
     size: Column | None = None,
 ) -> DataFrame:
-    """``docs`` and a struct ``mix``: size, source_size, target, and ``due``, the time of each copy taken.
+    """(row, mix): each row of ``docs`` as a struct, and its place in the mix.
 
     ``size`` is the words of ``text`` unless it is given.
     """
@@ -116,10 +124,11 @@ def curriculum(
         size.alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("spot"),
         F.col(id_col).alias("id"),
+        F.xxhash64(F.lit(0), *[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("tie"),
     )
     key = ["no_source", "name"]
     targets = source_targets(sized.select(*key, "size"), schedules, budget, most).checkpoint()
-    slices = F.ceil(F.col("n_docs") / slice_rows)
+    slices = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(slice_rows)), F.sqrt("n_docs")))
     place = F.conv(F.substring("spot", 1, 8), 16, 10).cast("long")
     cut = F.floor(place * slices / F.lit(1 << 32))
     few = targets.count() <= FEW_SOURCES
@@ -130,8 +139,8 @@ def curriculum(
     in_order = Window.partitionBy("no_source", "name").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     sums = with_slice.groupBy(*key, "cut").agg(F.sum("size").alias("inside"))
     sums = sums.select(*key, "cut", F.coalesce(F.sum("inside").over(in_order), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy(*key, "cut").orderBy("spot", "id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = with_slice.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, [*key, "cut"])
+    inside = Window.partitionBy(*key, "cut").orderBy("spot", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    found = with_slice.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, [*key, "cut"])
     ahead = F.col("inside") + F.col("ahead")
 
     def copy(number: int) -> Column:
@@ -140,15 +149,21 @@ def curriculum(
         when = F.coalesce(*[F.when(F.col("turn") == i, due(part, s)) for i, s in enumerate(schedules)])
         return F.when(start < F.col("target"), F.least(when, F.lit(1.0)))
 
-    found = F.struct(
+    mix = F.struct(
         "size", "source_size", "target", F.array_compact(F.array(*[copy(i) for i in range(most)])).alias("due")
     )
-    return placed.select("row", found.alias("mix")).select("row.*", "mix")
+    return found.select("row", mix.alias("mix"))
+
+
+def in_range(found: DataFrame, when: Column, tie: Column, partitions: int | None = None) -> DataFrame:
+    """``found`` sorted by range of ``when``; ``tie`` splits what is due at one time."""
+    key = when, tie
+    ranged = found.repartitionByRange(partitions, *key) if partitions else found.repartitionByRange(*key)
+    return ranged.sortWithinPartitions(*key)
 
 
 def training_order(docs: DataFrame, partitions: int | None = None, **options) -> DataFrame:
     """One row per copy with all columns of ``docs``, sorted by range of the time at which it is due."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    copies = curriculum(docs, **options).select(*names, F.explode("mix.due").alias("__due"))
-    ranged = copies.repartitionByRange(partitions, "__due") if partitions else copies.repartitionByRange("__due")
-    return ranged.sortWithinPartitions("__due").select(names)
+    tie = F.xxhash64(F.lit(0), *[F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    copies = placed(docs, **options).select("row", F.explode("mix.due").alias("due"), tie.alias("tie"))
+    return in_range(copies, F.col("due"), F.col("tie"), partitions).select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .licenses import scan
-from .mixing import curriculum, word_count
+from .mixing import curriculum, in_range, word_count
 from .neighbours import near_duplicates
 from .packing import pack_documents
 from .pii import KINDS, LEARNED, as_text, spans
@@ -52,17 +52,14 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     placed = curriculum(docs, size=F.col("size")).select("doc_id", "mix")
-    return (
-        placed.repartitionByRange(F.get("mix.due", F.lit(0)))
-        .sortWithinPartitions(F.get("mix.due", F.lit(0)))
-        .select(
-            "doc_id",
-            "mix.size",
-            "mix.source_size",
-            "mix.target",
-            (F.col("mix.size") * F.size("mix.due")).alias("taken"),
-            F.round(F.get("mix.due", F.lit(0)), 6).alias("first_due"),
-        )
+    # Rows that the mix doesn't take are due at no time; the hash spreads them.
+    return in_range(placed, F.get("mix.due", F.lit(0)), F.xxhash64("doc_id", "mix.size")).select(
+        "doc_id",
+        "mix.size",
+        "mix.source_size",
+        "mix.target",
+        (F.col("mix.size") * F.size("mix.due")).alias("taken"),
+        F.round(F.get("mix.due", F.lit(0)), 6).alias("first_due"),
     )
 
 
@@ -140,7 +137,7 @@ WITH sized AS (
 ), placed AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.turn,
          CAST(COALESCE(sum(d.size) OVER (
-           PARTITION BY d.source ORDER BY d.spot, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+           PARTITION BY d.source ORDER BY d.spot, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), demanded AS (
   SELECT *, CAST(ahead < target AS INT) + CAST(ahead + source_size < target AS INT) AS copies,

@@ -381,6 +381,16 @@ def test_mixing_of_odd_rows(odd, none):
     assert ordered.columns == odd.columns and ordered.count() == sum(len(r["mix"]["due"]) for r in rows)
 
 
+def test_mixing_of_clashing_names_and_repeated_ids(spark):
+    rows = [(1, "a b c " * (i % 5), "s", i, i, i, i) for i in range(40)] + [(None, None, None, 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix int, due int, row int, `a.b` int")
+    runs = [[tuple(r) for r in mixing.training_order(docs.repartition(n), 2).collect()] for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and set(runs[0]) <= set(rows)
+    assert mixing.training_order(docs).columns == docs.columns
+    placed = mixing.curriculum(docs)
+    assert sorted(placed.columns) == sorted(docs.columns) and placed.select("mix.size", "due").count() == len(rows)
+
+
 # WARC
 
 
