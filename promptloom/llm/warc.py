@@ -3,17 +3,21 @@
 Writer: one gzip member per record. Of pages with equal payloads the least id is
 the ``response``; the others are ``revisit`` records that name it and carry the
 HTTP header only. Only digests and ids are shuffled to find repeats, so a payload
-that a third of all pages share is one row per task there. Tasks write files of
+that a third of all pages share is one row per task there. The revisits are then
+broadcast to the pages, if they are at most ``FEW_REVISITS``; more are joined by a
+shuffle, which moves the payloads too. Tasks write files of
 bounded size under unique names, and a manifest that Spark commits lists the
 files of the attempts that count; a lost task's files are never read.
 
 Reader: each task scans byte ranges for the gzip magic. A candidate is a record
 only if its first bytes decode to a WARC header; a record belongs to the range
-in which it starts and is read past the range's end. Payload digests are checked.
+in which it starts and is read past the range's end. Payload digests are checked, and a
+file that is cut or damaged is an error, never a shorter result.
 
 Defined cases: a null html is an empty payload, a null url gives a record without
 target; rows without an id are responses and never referred to; repeated rows of
-one id give a record each; payloads of any length are stored whole; an empty
+one id give a record each, and those with the least id's payload are all responses;
+payloads of any length are stored whole; an empty
 table gives no archive and an empty result; other columns are ignored.
 """
 
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import new_path, stage
 
+# Revisits (some 100 bytes each) that may be broadcast.
+FEW_REVISITS = 300_000
 # Compressed bytes of a file, about, and of a range that one scan covers.
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 16 << 20
@@ -81,7 +87,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, file_bytes: int
     ids = stage(marked.where(F.col("size") >= least).select("page_id", "sha1").where("page_id is not null"), "digests")
     first = ids.groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = ids.join(first, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct()
-    found = marked.join(again, ["page_id", "sha1"], "left")
+    again = stage(again, "revisits")
+    # Few revisits are broadcast, and no payload is shuffled; more are joined by a shuffle.
+    few = again.count() <= FEW_REVISITS
+    found = marked.join(F.broadcast(again) if few else again, ["page_id", "sha1"], "left")
     ready = found.select(
         "page_id", "url", F.when(F.col("first").isNull(), F.col("body")).alias("body"), "sha1", "size", "first"
     )
@@ -144,6 +153,14 @@ class Scan:
             at += len(part) - len(MAGIC) + 1
         return -1
 
+    def _begins(self, at: int) -> bool:
+        """Whether a record's header can be decoded at ``at``."""
+        raw = self._bytes(at, 1 << 12)
+        try:
+            return raw.startswith(MAGIC) and zlib.decompressobj(31).decompress(raw, 7) == b"WARC/1."
+        except zlib.error:
+            return False
+
     def _member(self, at: int) -> tuple[bytes, int] | None:
         """The decoded record that starts at ``at`` and where it ends, or None if there is none."""
         inflate, parts, total = zlib.decompressobj(31), [], 0
@@ -165,12 +182,23 @@ class Scan:
         return (whole, here) if whole.startswith(b"WARC/1.") and BREAK in whole else None
 
     def __iter__(self) -> Iterator[bytes]:
+        """Raises ValueError where a record is cut or bytes between records are none of theirs.
+
+        Each range answers for the first byte of the file, or for what follows its own
+        records, so all ranges together answer for every byte.
+        """
         at = self.at
+        if at == 0 and self.size and not self._begins(0):
+            raise ValueError("the file doesn't begin with a record")
         while (at := self._next_magic(at)) >= 0:
             if (found := self._member(at)) is None:
+                if self._begins(at):
+                    raise ValueError(f"the record at byte {at} is damaged")
                 at += 1
             else:
                 whole, at = found
+                if at < self.size and not self._begins(at):
+                    raise ValueError(f"no record begins at byte {at}, where one ends")
                 yield whole
 
 

@@ -432,6 +432,20 @@ def test_scan_owns_each_record_once(tmp_path):
                 assert len(found) == 40
 
 
+@pytest.mark.parametrize("harm", ["cut", "flip", "junk", "head"])
+def test_damaged_archives_are_not_read_in_part(spark, tmp_path, harm):
+    manifest = warc.write_archives(spark.range(30).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id * 7919 AS string), 50) AS html").coalesce(1))
+    path, size, records = manifest.first()
+    assert records == 30 and warc.read_archives(spark, manifest, range_bytes=500).count() == 30
+    whole = bytearray(open(path.removeprefix("file://"), "rb").read())
+    at = whole.rindex(warc.MAGIC)
+    harmed = {"cut": whole[:-9], "flip": whole[: at + 60] + b"\xff" + whole[at + 61 :], "junk": whole[:at] + b"junk" + whole[at:], "head": b"x" + whole}[harm]
+    (tmp_path / "harmed.warc.gz").write_bytes(bytes(harmed))
+    told = spark.createDataFrame([(f"file://{tmp_path}/harmed.warc.gz", len(harmed))], "path string, size long")
+    with pytest.raises(Exception, match="record"):
+        warc.read_archives(spark, told, range_bytes=500).collect()
+
+
 # Personal data
 
 
