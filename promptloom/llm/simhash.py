@@ -9,9 +9,11 @@ vectors looks at equal cells and at cells one step away, keeps what the whole
 embedding's Manhattan distance allows, and verifies by counting differing bits.
 
 Equal fingerprints are one row before any of that. A cell that holds more than
-``CELL`` residents isn't expanded into pairs: two fingerprints differ in at most
-two bits exactly if some 64-bit value lies within one bit of both, so members of
-such cells meet at these values, 65 rows each, with the same links in the end.
+``CELL`` residents is split by further segments: of the other half's two quarters one
+differs in at most ``radius // 2`` again. What is still too full isn't expanded into
+pairs: two fingerprints differ in at most two bits exactly if some 64-bit value lies
+within one bit of both, so members of such cells meet at these values, 65 rows each,
+with the same links in the end.
 
 Defined cases: a null, empty or blank text has fingerprint zero, which links
 like any other; texts under ``k`` words are one shingle; repeated shingles
@@ -103,11 +105,40 @@ def _step(half: Column, j: int) -> Column:
     return F.when(half.bitwiseAND(full) == 0, more)
 
 
+def _back(part: Column, j: int) -> Column:
+    """``part`` with one less in segment ``j``, or null where that is empty."""
+    low, full = F.lit(1 << (2 * j)).cast("long"), F.lit(2 << (2 * j)).cast("long")
+    less = F.when(part.bitwiseAND(full) != 0, part.bitwiseXOR(full)).otherwise(part.bitwiseXOR(low))
+    return F.when(part.bitwiseAND(low) != 0, less)
+
+
+def _quarters(counts: Column, cell: Column) -> list[Column]:
+    """The two quarters of the half that ``cell`` isn't about."""
+    other = F.when(cell.bitwiseAND(F.lit(1)) == 0, F.shiftrightunsigned(counts, 32)).otherwise(counts.bitwiseAND(F.lit(LOW)))
+    return [other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16)]
+
+
+def _finer(cell: Column, q: int, quarter: Column) -> Column:
+    return F.shiftleft(cell, 17).bitwiseOR(F.shiftleft(quarter, 1)).bitwiseOR(F.lit(q).cast("long"))
+
+
+def _near(looks: DataFrame, residents: DataFrame, radius: int) -> DataFrame:
+    """Pairs (src, dst) of one cell whose embeddings and then fingerprints are within ``radius``."""
+    held = residents.select("cell", F.col("fp").alias("dst"), F.col("counts").alias("dst_counts"))
+    return (
+        looks.join(held, "cell")
+        .where((F.col("src") != F.col("dst")) & (distance(F.col("src_counts"), F.col("dst_counts")) <= radius))
+        .where(distance(F.col("src"), F.col("dst")) <= radius)
+        .select("src", "dst")
+    )
+
+
 def fingerprint_links(prints: DataFrame, radius: int = 2, cell: int = CELL) -> DataFrame:
     """Distinct ``fp`` -> links (src, dst) whose components are those of all pairs within ``radius``.
 
-    In cells of at most ``cell`` residents these are all the pairs; in fuller
-    ones, stars through common neighbours.
+    In cells of at most ``cell`` residents these are all the pairs, in fuller ones all
+    the pairs of their finer cells; where those are full too, stars through common
+    neighbours.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
@@ -120,23 +151,25 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, cell: int = CELL) -> D
     )
     own = [_cell(h, F.col(f"half{h}")) for h in (0, 1)]
     residents = halves.select("fp", "counts", F.explode(F.array(*own)).alias("cell"))
-    fill = residents.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    full = fill.where(F.col("n") > cell).select("cell")
-    light = residents.join(full, "cell", "left_anti").select(
-        "cell", F.col("fp").alias("dst"), F.col("counts").alias("dst_counts")
-    )
     steps = [_cell(h, _step(F.col(f"half{h}"), j)) for h in (0, 1) for j in range(16)] if radius == 2 else []
     looks = halves.select(
         F.col("fp").alias("src"),
         F.col("counts").alias("src_counts"),
         F.explode(F.array_compact(F.array(*own, *steps))).alias("cell"),
     )
-    near = (
-        looks.join(light, "cell")
-        .where((F.col("src") != F.col("dst")) & (distance(F.col("src_counts"), F.col("dst_counts")) <= radius))
-        .where(distance(F.col("src"), F.col("dst")) <= radius)
-        .select("src", "dst")
-    )
+    full = residents.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("cell")
+    near = _near(looks, residents.join(full, "cell", "left_anti"), radius)
+    # The same once more in the full cells, by a quarter of the other half.
+    inside = residents.join(full, "cell", "left_semi")
+    finer = [_finer(F.col("cell"), q, part) for q, part in enumerate(_quarters(F.col("counts"), F.col("cell")))]
+    residents = inside.select("fp", "counts", F.explode(F.array(*finer)).alias("cell"))
+    finer = []
+    for q, part in enumerate(_quarters(F.col("src_counts"), F.col("cell"))):
+        moved = [m for j in range(8) for m in (_step(part, j), _back(part, j))] if radius == 2 else []
+        finer += [_finer(F.col("cell"), q, p) for p in (part, *moved)]
+    looks = looks.join(full, "cell", "left_semi").select("src", "src_counts", F.explode(F.array_compact(F.array(*finer))).alias("cell"))
+    full = residents.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("cell")
+    near = near.union(_near(looks, residents.join(full, "cell", "left_anti"), radius))
     crowded = looks.join(full, "cell", "left_semi").select(F.col("src").alias("fp")).distinct()
     around = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), j)) for j in range(64)]
     meets = crowded.select("fp", F.explode(F.array(*around)).alias("at"))
