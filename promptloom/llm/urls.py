@@ -2,7 +2,9 @@
 
 A rule fits its host and all subdomains where the path starts as the rule's; the
 longest rule wins. URLs that a rule decides are the labelled ones: trees are
-trained on a bounded sample of them, by lexical features only, and judge the
+trained on a bounded sample of them (at most ``TRAIN_ROWS`` distinct urls, by a hash, in
+proportion to each verdict's distinct urls, but at least a tenth of the sample for each
+where there are so many), by lexical features only, and judge the
 URLs that no rule fits. Features: lengths, depth, digit ratio, entropies, counts
 of parameters and separators, and smoothed allow rates of the host's last labels
 and first path part in the training rows.
@@ -12,7 +14,7 @@ with most rows is no matter.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
 is judged by the trees; urls of any length count in whole; repeated rows give a
-row each; without labels of both kinds the trees give the share of allowed ones
+row each; rules that tie in length can't both fit; without labels of both kinds the trees give the share of allowed ones
 (allow if there are none); an empty table gives an empty one; other columns are
 ignored.
 """
@@ -249,10 +251,18 @@ def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge: J
 
 
 def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rows: int = TRAIN_ROWS) -> Judge:
-    """Trees from at most ``rows`` of the urls that rules decide, by a hash of the url."""
-    labelled = ruled(pages, rules).where("rule is not null").select("url", "verdict")
-    some = labelled.orderBy(F.xxhash64("url"), "url", "verdict").limit(rows).collect()
-    return Judge([(r["url"], r["verdict"] == "allow") for r in some])
+    """Trees from at most ``rows`` distinct urls that rules decide, by a hash of the url."""
+    labelled = ruled(pages, rules).where("rule is not null").select("verdict", "url", F.xxhash64("url").alias("hash"))
+    kinds = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.approx_count_distinct("url").alias("n")).collect()}
+    whole, some = sum(kinds.values()), []
+    for verdict, n in sorted(kinds.items()):
+        most = int(rows * min(0.9, max(0.1, n / whole))) if len(kinds) > 1 else rows
+        # Only a share of the hashes that leaves somewhat more than ``most`` urls is sorted and sent.
+        share = min(1.0, 1.5 * most / max(n, 1) + 100 / max(n, 1))
+        low = int(-(1 << 63) + share * ((1 << 64) - 1))
+        drawn = labelled.where((F.col("verdict") == verdict) & (F.col("hash") <= min(low, (1 << 63) - 1))).select("hash", "url").distinct()
+        some += [(r["hash"], r["url"], verdict == "allow") for r in drawn.orderBy("hash", "url").limit(most).collect()]
+    return Judge([(u, a) for _, u, a in sorted(some)])
 
 
 def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
