@@ -13,8 +13,8 @@ hash of the text.
 
 Defined cases: a null text is an empty one; words are lower-cased in A-Z only;
 texts shorter than a k-gram have no votes; a text of any length counts in whole;
-a repeated row gives a row each; an empty table gives an empty one; other columns
-are ignored.
+a repeated row gives a row each; of spans of one label that tie all count; an empty
+table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +48,8 @@ PHRASES = (
     ("mit license", "mit"),
 )
 
-# Notices as they are published, by label. Fixed texts.
+# Notices as they are published, by label: short references, grants, and the paragraphs that
+# follow them, each for itself, so that a text with any one of them is found. Fixed texts.
 NOTICES = (
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -103,6 +104,57 @@ NOTICES = (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at",
     ),
+    (
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software",
+    ),
+    (
+        "mit",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "apache",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See "
+        "the License for the specific language governing permissions and limitations under the License",
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+        "for more details",
+    ),
+    (
+        "lgpl",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public "
+        "License for more details",
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution",
+    ),
+    (
+        "bsd",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+        "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    ),
+    (
+        "isc",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES",
+    ),
 )
 
 # Everything that isn't a digit, a letter or beyond ASCII separates words; A-Z become a-z.
@@ -117,12 +169,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 def phrase_places(line: bytes) -> list[tuple[int, str]]:
     """(word number, label) of each place of a phrase in single-spaced words with a space around."""
-    found = []
+    hits = []
     for phrase, label in PHRASES:
         mark = b" " + phrase.encode() + b" "
         if mark in line:
-            found += [(line.count(b" ", 0, m.start()), label) for m in re.finditer(b"(?=" + mark + b")", line)]
-    return found
+            hits += [(m.start(), label) for m in re.finditer(b"(?=" + mark + b")", line)]
+    if not hits:
+        return []
+    # A word's number is the number of spaces before the one it follows.
+    spaces = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 0x20)
+    return [(int(np.searchsorted(spaces, at)), label) for at, label in hits]
 
 
 def _base_row(text: str | None) -> tuple:

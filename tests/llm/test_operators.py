@@ -109,6 +109,20 @@ def test_url_trees_on_held_out_urls():
     assert urls.Judge([]).allow(["x"]).tolist() == [1.0]
 
 
+def test_url_sample_is_of_distinct_urls(spark):
+    hot = [(i, "http://hot.org/page") for i in range(3000)]
+    rest = [(5000 + i, f"http://site{i}.{'org' if i % 2 else 'de'}/{'x' if i % 2 else 'de'}/{i}") for i in range(400)] + [(9000 + i, f"http://s{i}.com/de/a{i}") for i in range(60)]
+    pages = spark.createDataFrame(hot + rest, "page_id long, url string")
+    judge = urls.train(pages, rows=100)
+    assert judge.trees is not None and 60 <= sum(n for _, n in judge.rates[0].values()) <= 100
+    found = urls.filter_urls(pages)
+    book = urls.Rules(urls.RULES)
+    for r in found.collect():
+        host, path, _ = urls.parts(r["url"])
+        hit = book.find(host, path)
+        assert (r["host"], r["path"]) == (host, path) and r["rule"] == (hit[0] if hit else None) and r["verdict"] == (hit[1] if hit else "allow" if r["allow"] >= 0.5 else "block")
+
+
 # Quality rules
 
 
@@ -593,6 +607,10 @@ def test_diagonals_find_edited_notices(spark):
     assert [{f["label"] for f in got[i]["found"]} for i in (1, 2, 3)] == [{"bsd"}, {"bsd"}, set()]
     assert got[1]["score"] == 1.0 and 0.7 < got[2]["score"] < 1 and len(got[4]["found"]) == 2 and got[1]["found"][0]["start"] == 2
     assert {f["label"] for f in got[5]["found"]} == {"cc-by-nc"} and got[5]["base"] == ["cc-by"] and mit
+    parts = {label: [t for n, t in licenses.NOTICES if n == label][-1] for label in ("mit", "apache", "gpl", "lgpl", "bsd", "isc")}
+    tails = spark.createDataFrame([(i, f"some words before {t} and after") for i, t in enumerate(parts.values())], "doc_id long, text string")
+    assert {r["doc_id"]: {f["label"] for f in r["found"]} for r in licenses.scan(tails).collect()} == {i: {n} for i, n in enumerate(parts)}
+    assert licenses.phrase_places(b" mit license cc by cc by mit license ") == [(2, "cc-by"), (4, "cc-by"), (0, "mit"), (6, "mit")]
     assert licenses.common_words(list("abcd"), list("xaxbd")) == 3
 
 
