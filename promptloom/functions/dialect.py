@@ -6,6 +6,7 @@ and line anchors know four line ends.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import regex
@@ -63,10 +64,39 @@ def _spell(pattern: str, multiline: bool) -> str:
 @cache
 def compiled(pattern: str, flags: str = "") -> regex.Pattern:
     """For Python."""
-    return regex.compile(_spell(pattern, "m" in flags), regex.V0 | (regex.IGNORECASE if "i" in flags else 0))
+    # Its own ASCII word edge lets the engine look for literals first.
+    spelled = _spell(pattern, "m" in flags).replace(EDGE, r"(?a:\b)")
+    return regex.compile(spelled, regex.V0 | (regex.IGNORECASE if "i" in flags else 0))
 
 
 def for_java(pattern: str, flags: str = "") -> str:
     """For Spark's regular expression functions."""
     spelled = _spell(pattern, "m" in flags).replace(r"\Z", r"\z").replace(r"﻿", r"\x{feff}")
     return ("(?i)" if "i" in flags else "") + spelled
+
+
+def needles(pattern: str) -> tuple[str, ...]:
+    """Strings of which any match of a pattern of plain words and groups of them holds one.
+
+    Of a sequence the longest word outside groups counts, or else each alternative of its
+    first group.
+    """
+    # What may be missing holds nothing.
+    plain = re.sub(r"\(\?:[^()]*\)\?|\w\?", " ", pattern.replace(r"\b", ""))
+    flat, groups, depth = [], [], 0
+    for i, c in enumerate(plain):
+        depth += (c == "(") - (i > 0 and plain[i - 1] == ")")
+        if depth == 0 and c != ")":
+            flat.append(c)
+        elif c == "(" and depth == 1:
+            flat.append(" ? ")
+            groups.append("")
+        elif not (c == ")" and depth == 1) and depth:
+            groups[-1] += c
+    if "|" in flat or any(c in plain for c in "[]*+{}."):
+        raise ValueError(f"no plain words: {pattern}")
+    words = [w for w in "".join(flat).replace("?", " ? ").split() if w != "?"]
+    best = max(words, key=len, default="")
+    if len(best) >= 4 or not groups:
+        return (best,)
+    return tuple(max(a.replace("(", " ").replace("?", " ").split(), key=len) for a in groups[0].removeprefix("?:").split("|"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.rules import RULES
 from . import patterns
-from .dialect import for_java
+from .dialect import for_java, needles
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -20,12 +22,20 @@ def estimated_tokens(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Lower-cased, ASCII quotes and dashes, equivalents replaced, fillers gone."""
+    def replaced(out: Column, pattern: str, new: str) -> Column:
+        # Tried only where a word that all matches hold stands; the array of one is evaluated once.
+        def one(o: Column) -> Column:
+            some = reduce(Column.__or__, [F.contains(o, F.lit(w)) for w in dict.fromkeys(needles(pattern))])
+            return F.when(some, F.regexp_replace(o, for_java(pattern), new)).otherwise(o)
+
+        return F.get(F.transform(F.array(out), one), F.lit(0))
+
     out = F.lower(F.translate(text, "‘’‛“”‟–—   ", "'''\"\"\"--   "))
     for name, _, _, pattern, _, new in RULES:
         if name.startswith("sub."):
-            out = F.regexp_replace(out, for_java(pattern), "us$1" if new.startswith("use:") else new)
+            out = replaced(out, pattern, "us$1" if new.startswith("use:") else new)
     for _, pattern, _ in patterns.FILLERS:
-        out = F.regexp_replace(out, for_java(pattern), " ")
+        out = replaced(out, pattern, " ")
     return out
 
 

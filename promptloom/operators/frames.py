@@ -2,7 +2,8 @@
 
 Each adds columns to its rows, looks at one row at a time and shuffles nothing,
 so it runs unchanged on a stream. One Arrow-batched function does all that a row
-needs; batches are cut by Spark, a null prompt counts as an empty one.
+needs; batches are cut by Spark, a null prompt counts as an empty one. A column that an
+operator adds takes the place of one of that name.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import layout, ledger, scan
-from .rewrite import SHIPPED, Change, Rule, apply, diff_items, rewrite
+from .rewrite import LEVELS, SHIPPED, Change, Rule, apply, diff_items, rewrite
 
 CHANGE = "struct<rule_id:string,start:int,end:int,original:string,replacement:string,lossy:boolean,capitalised:boolean,constraint_ids:array<string>>"
 CONSTRAINT = "struct<id:string,type:string,severity:string,anchor:string,start:int,end:int,sentence:string,sentence_start:int,sentence_end:int,label:string>"
@@ -36,8 +37,11 @@ def _columns(docs: DataFrame, inputs: list[str], schema: str, function: Callable
         rows = [function(*(v if isinstance(v, str) else "" for v in values)) for values in zip(*series, strict=True)]
         return pd.DataFrame(rows, columns=names)
 
-    worked = F.pandas_udf(run, kind)(*[F.col(f"`{c}`").cast("string") for c in inputs])
-    return docs.withColumn("__worked", worked).select("*", *[F.col(f"__worked.{n}").alias(n) for n in names]).drop("__worked")
+    # Said to be non-deterministic, or filters that Spark infers, as for explode, would call it once more.
+    worked = F.pandas_udf(run, kind).asNondeterministic()(*[F.col(f"`{c}`").cast("string") for c in inputs])
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in names]
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), worked.alias("worked"))
+    return both.select(*kept, *[F.col(f"worked.{n}").alias(n) for n in names])
 
 
 def _change(c: Change) -> dict:
@@ -74,6 +78,22 @@ def with_rewrite(
     return _columns(docs, [text], f"output string, changes array<{CHANGE}>, blocked array<{CHANGE}>, checks array<{CHECK}>", work)
 
 
+def with_levels(docs: DataFrame, text: str = "text", levels: Iterable[str] = LEVELS) -> DataFrame:
+    """Adds ``levels``: the output of each level with the ledger on, its blocked changes, and critical constraints and those kept."""
+    levels = tuple(levels)
+
+    def work(t: str) -> tuple:
+        # What a prompt states doesn't depend on the level.
+        inventory, out = ledger.extract(t), []
+        for level in levels:
+            r = rewrite(t, level, enforce=True, constraints=inventory)
+            told = ledger.summary(r.checks or [])
+            out.append({"level": level, "output": r.output, "blocked": len(r.blocked), "critical": told["critical_total"], "kept": told["critical_preserved"]})
+        return (out,)
+
+    return _columns(docs, [text], "levels array<struct<level:string,output:string,blocked:int,critical:int,kept:int>>", work)
+
+
 def with_constraints(docs: DataFrame, text: str = "text", exclude: Iterable[str] = ()) -> DataFrame:
     off = frozenset(exclude)
     return _columns(docs, [text], f"constraints array<{CONSTRAINT}>", lambda t: ([vars(c) for c in ledger.extract(t, exclude=off)],))

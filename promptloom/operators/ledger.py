@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache, partial
 
 from ..functions import patterns
-from ..functions.dialect import compiled
+from ..functions.dialect import compiled, needles
 from ..functions.vocabulary import FORMAT_NAMES, MEASURES, NO_NAMES, NO_UNITS, VERBS
 from .rewrite import SHIPPED, _filled
 from .scan import BLANK, Cover, Region, Span, regions, sentence_at, sentences
@@ -18,8 +19,9 @@ COMPARED = ("prohibition", "requirement", "format", "instruction")
 LONGEST, CONTEXT, FEWEST_TOKENS, SIMILAR, SHORTEST_NEIGHBOUR = 220, 3, 3, 0.6, 8
 
 ASCII = str.maketrans({**dict.fromkeys("‘’‛", "'"), **dict.fromkeys("“”‟", '"'), **dict.fromkeys("–—", "-"), **dict.fromkeys("   ", " ")})
-EQUIVALENT = [r for r in SHIPPED if r.id.startswith("sub.")]
-FILLERS = [compiled(p, f) for _, p, f in patterns.FILLERS]
+# (pattern, words of which every match holds one, replacement) of canonical texts, which are in lower case.
+REPLACED = [(compiled(r.pattern), needles(r.pattern), partial(_filled, r)) for r in SHIPPED if r.id.startswith("sub.")]
+REPLACED += [(compiled(p), needles(p), " ") for _, p, _ in patterns.FILLERS]
 FILLERS_ANY_CASE = [compiled(p, f + "i") for _, p, f in patterns.FILLERS]
 TOKEN = compiled(patterns.TOKEN)
 MARK = {label: compiled(p, f) for label, p, f in patterns.MARKERS}
@@ -64,16 +66,23 @@ class Check:
 def canonical(text: str) -> str:
     """Lower-cased ASCII quotes and dashes, equivalents replaced, fillers gone."""
     out = text.translate(ASCII).lower()
-    for rule in EQUIVALENT:
-        out = compiled(rule.pattern, rule.flags).sub(lambda m, rule=rule: _filled(rule, m), out)
-    for filler in FILLERS:
-        out = filler.sub(" ", out)
+    for pattern, words, new in REPLACED:
+        # A pattern is tried only where a word that all its matches hold stands.
+        if any(w in out for w in words):
+            out = pattern.sub(new, out)
     return out
 
 
+def _tokens(text: str) -> tuple[str, ...]:
+    return tuple(TOKEN.findall(canonical(text)))
+
+
+_short_tokens = lru_cache(maxsize=1 << 14)(_tokens)
+
+
 def tokens(text: str) -> list[str]:
     """What is compared: the words of the canonical text, and % $ # by themselves."""
-    return TOKEN.findall(canonical(text))
+    return list(_short_tokens(text) if len(text) <= LONGEST else _tokens(text))
 
 
 def places(within: list[str], sought: list[str]) -> list[int]:

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import frames, ledger
 from ..operators.rules import RULES
 from . import reports
-from .prompts import PROMPTS, WORKLOADS, prompts, table, workloads
+from .prompts import PROMPTS, WORKLOADS, prompts, spread, table, workloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,7 +230,7 @@ def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents) x")
 def reduce_to_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reduced = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    reduced = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return reduced.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 

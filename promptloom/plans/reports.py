@@ -109,24 +109,10 @@ def failures(files: DataFrame, gates: Iterable[str] = ("budget",)) -> list[str]:
 
 def bench(docs: DataFrame, levels: Iterable[str] = rewrite.LEVELS) -> DataFrame:
     """Mean and aggregate token reduction, critical constraints kept and blocked changes by corpus and level."""
-    each = []
-    for level in levels:
-        out = frames.with_rewrite(docs, level, enforce=True)
-        critical = F.filter("checks", lambda c: c["severity"] == "critical")
-        each.append(
-            out.select(
-                "corpus",
-                F.lit(level).alias("level"),
-                T.estimated_tokens(F.col("text")).alias("before"),
-                T.estimated_tokens(F.col("output")).alias("after"),
-                F.size(critical).alias("critical"),
-                F.size(F.filter(critical, lambda c: c["preserved"])).alias("kept"),
-                F.size("blocked").alias("blocked"),
-            )
-        )
-    every = each[0]
-    for other in each[1:]:
-        every = every.unionByName(other)
+    worked = frames.with_levels(docs.select("corpus", "text"), levels=levels)
+    every = worked.select("corpus", T.estimated_tokens(F.col("text")).alias("before"), F.inline("levels")).withColumn(
+        "after", T.estimated_tokens(F.col("output"))
+    )
     ratio = F.when(F.col("before") > 0, 1 - F.col("after") / F.col("before")).otherwise(0.0)
     return every.groupBy("corpus", "level").agg(
         F.count(F.lit(1)).alias("prompts"),
