@@ -11,7 +11,7 @@ from ..functions import data, patterns, pricing
 from ..functions import text as T
 from ..operators import frames, ledger
 from ..operators.rules import RULES
-from . import reports
+from . import cases, reports
 from .prompts import PROMPTS, WORKLOADS, prompts, spread, table, workloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,15 +245,18 @@ def ngram_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduced.select("event_id", T.occurrences(F.col("t"), sought).alias("n"))
 
 
+_REWRITE = "CASE WHEN event_type = 'error' THEN replace(text, 'Never exceed 5 retries. ', '') ELSE text END"
+
+
 @query(
-    f"WITH {PROMPTS}, kept AS (SELECT event_id, {_tokens_sql('text')} AS t, {_tokens_sql('left(text, 60)')} AS s FROM prompts) "
+    f"WITH {PROMPTS}, kept AS (SELECT event_id, {_tokens_sql('text')} AS t, {_tokens_sql(_REWRITE)} AS s FROM prompts) "
     "SELECT event_id, len(list_filter(range(1, len(s) - 1), lambda i: s[i] = 'exceed' AND s[i + 1] = '5' AND s[i + 2] = 'retries')) >= "
     "greatest(1, len(list_filter(range(1, len(t) - 1), lambda i: t[i] = 'exceed' AND t[i + 1] = '5' AND t[i + 2] = 'retries'))) AS preserved FROM kept"
 )
 def verify_anchor_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = F.array(*[F.lit(w) for w in ("exceed", "5", "retries")])
     reduced = prompts(spark, sf_dir).select(
-        "event_id", T.tokens(F.col("text")).alias("before"), T.tokens(F.left("text", F.lit(60))).alias("after")
+        "event_id", T.tokens(F.col("text")).alias("before"), T.tokens(F.expr(_REWRITE)).alias("after")
     )
     before, after = (T.occurrences(F.col(c), anchor) for c in ("before", "after"))
     return reduced.select("event_id", (after >= F.greatest(F.lit(1), before)).alias("preserved"))
@@ -273,14 +276,91 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT * FROM (VALUES ('critical', 6), ('minor', 3)) t(severity, types)")
+def _dealt_sql(rows, columns: str) -> str:
+    return (
+        f"cases({columns}, number) AS (SELECT * FROM (VALUES {_rows([(*r, i) for i, r in enumerate(rows)])})), "
+        f"dealt AS (SELECT e.event_id, e.event_type, c.* FROM events e JOIN cases c ON e.event_id % {len(rows)} = c.number)"
+    )
+
+
+def _filled_sql(column: str) -> str:
+    return f"replace({column}, '◊', event_type)"
+
+
+_CUT = "before_it string, it string, after_it string"
+_CUT_SQL = "before_it, it, after_it"
+_START = f"length({_filled_sql('before_it')})"
+_END = f"{_START} + length({_filled_sql('it')})"
+
+
+def _case_prompts(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    dealt = cases.dealt(spark, spread(table(spark, sf_dir, "events").select("event_id", "event_type")), rows, schema)
+    return dealt.withColumn("text", F.concat(*[cases.filled(c) for c in ("before_it", "it", "after_it")]))
+
+
+@query(
+    f"WITH {_dealt_sql(cases.RULES, 'rule_id, given, want')} SELECT event_id, rule_id, {_filled_sql('want')} AS output, TRUE AS undoable FROM dealt"
+)
+def rules_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = cases.dealt(spark, spread(table(spark, sf_dir, "events").select("event_id", "event_type")), list(cases.RULES), "rule string, given string, want string")
+    out = frames.with_rewrite(dealt.select("event_id", cases.filled("given").alias("text")), "aggressive", enforce=False)
+    fired = F.array_join(F.transform("changes", lambda c: c["rule_id"]), ",")
+    return frames.with_undone(out).select("event_id", fired.alias("rule_id"), "output", (F.col("undone") == F.col("text")).alias("undoable"))
+
+
+_REGION_ROWS = [(kind, *cases.parts(prompt)) for kind, prompt in cases.REGIONS]
+
+
+@query(
+    f"WITH {_dealt_sql(_REGION_ROWS, 'kind, ' + _CUT_SQL)} SELECT event_id, kind, CAST({_START} AS INTEGER) AS start, "
+    f"CAST({_END} AS INTEGER) AS \"end\", {_filled_sql('it')} AS text, 3 AS pieces FROM dealt"
+)
+def regions_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = frames.with_segments(_case_prompts(spark, sf_dir, _REGION_ROWS, "kind string, " + _CUT).select("event_id", "text"))
+    each = cut.select("event_id", F.size("segments").alias("pieces"), F.explode(F.filter("segments", lambda s: s["kind"].isNotNull())).alias("s"))
+    return each.select("event_id", "s.kind", "s.start", "s.end", "s.text", "pieces")
+
+
+_CONSTRAINT_ROWS = [(t, severity, label, *cases.parts(prompt)) for t, severity, label, prompt in cases.CONSTRAINTS]
+_CONSTRAINT_SQL = f"WITH {_dealt_sql(_CONSTRAINT_ROWS, 'type, severity, label, ' + _CUT_SQL)} "
+
+
+def _case_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _case_prompts(spark, sf_dir, _CONSTRAINT_ROWS, "type string, severity string, label string, " + _CUT)
+    found = frames.with_constraints(given.select("event_id", "text", F.col("label").alias("sought")))
+    return found.select("event_id", "sought", F.explode("constraints").alias("c")).where("c.label = sought").select("event_id", "c.*")
+
+
+@query(
+    _CONSTRAINT_SQL + f"SELECT event_id, type, severity, label, {_filled_sql('it')} AS anchor, CAST({_START} AS INTEGER) AS start, "
+    f"CAST({_END} AS INTEGER) AS \"end\" FROM dealt"
+)
+def constraints_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _case_constraints(spark, sf_dir).select("event_id", "type", "severity", "label", "anchor", "start", "end")
+
+
+@query(_CONSTRAINT_SQL + "SELECT severity, COUNT(DISTINCT type) AS types, COUNT(*) AS n FROM dealt GROUP BY severity")
 def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = spark.createDataFrame([(t,) for t in ledger.TYPES], "type string")
-    severity = F.when(F.col("type").isin(*ledger.CRITICAL), "critical").otherwise("minor")
-    return kinds.groupBy(severity.alias("severity")).agg(F.count(F.lit(1)).cast("int").alias("types"))
+    return _case_constraints(spark, sf_dir).groupBy("severity").agg(F.count_distinct("type").alias("types"), F.count(F.lit(1)).alias("n"))
+
+
+_MARKER_ROWS = [(kind, *cases.parts(prompt)) for kind, prompt in cases.MARKERS]
+
+
+@query(
+    f"WITH {_dealt_sql(_MARKER_ROWS, 'kind, ' + _CUT_SQL)} SELECT event_id, kind, CAST({_START} AS INTEGER) AS start, CAST({_END} AS INTEGER) AS \"end\", "
+    f"it AS text, CAST(length(before_it) - length(replace(before_it, chr(10), '')) AS INTEGER) AS line FROM dealt"
+)
+def markers_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = frames.with_layout(_case_prompts(spark, sf_dir, _MARKER_ROWS, "kind string, " + _CUT).select("event_id", "text"))
+    return cut.select("event_id", F.explode("markers").alias("m")).select("event_id", "m.kind", "m.start", "m.end", "m.text", "m.line")
 
 
-@query("SELECT * FROM (VALUES ('light', 9), ('balanced', 31), ('aggressive', 37)) t(level, rules)")
+@query(
+    f"WITH rules(id, level) AS (SELECT * FROM (VALUES {_rows([r[:2] for r in RULES])})), "
+    "ranked AS (SELECT *, CASE level WHEN 'light' THEN 1 WHEN 'balanced' THEN 2 ELSE 3 END AS rank FROM rules) "
+    "SELECT a.level, CAST((SELECT COUNT(*) FROM ranked b WHERE b.rank <= a.rank) AS INTEGER) AS rules FROM (SELECT DISTINCT level, rank FROM ranked) a"
+)
 def level_cumulative_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.array_position(F.array(F.lit("light"), F.lit("balanced"), F.lit("aggressive")), F.col("level"))
     rules = spark.createDataFrame([(r[0], r[1]) for r in RULES], "id string, level string")
@@ -380,20 +460,21 @@ def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BASE = (
-    f"files AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens, "
-    f"CASE WHEN doc_id % 4 = 0 THEN NULL ELSE {_TOKENS.format('left(text, 400)')} END AS base_tokens FROM documents)"
+    f"counted AS (SELECT conv_id, turn, {_TOKENS.format('text')} AS tokens FROM conversations), "
+    "files AS (SELECT a.conv_id, a.turn, a.tokens, b.tokens AS base_tokens FROM counted a LEFT JOIN counted b "
+    "ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
 )
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    now = docs.select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
-    base = docs.where("doc_id % 4 <> 0").select("doc_id", T.estimated_tokens(F.left("text", F.lit(400))).alias("base_tokens"))
-    return now.join(base, "doc_id", "left")
+    """Turns of conversations as files; the turn before is the base, which first turns lack."""
+    now = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.estimated_tokens(F.col("text")).alias("tokens"))
+    base = now.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("tokens").alias("base_tokens"))
+    return now.join(base, ["conv_id", "turn"], "left")
 
 
 @query(
-    f"WITH {_BASE} SELECT doc_id, tokens, base_tokens, tokens - base_tokens AS delta_tokens, "
+    f"WITH {_BASE} SELECT conv_id, turn, tokens, base_tokens, tokens - base_tokens AS delta_tokens, "
     "CASE WHEN base_tokens > 0 THEN round(tokens / base_tokens - 1, 9) END AS delta_ratio FROM files"
 )
 def base_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +489,39 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(reports.over_budget(_files(spark, sf_dir), 500))
 
 
-@query()
+# What the prompts' template gives, piece by piece.
+_FIRST = "split_part(text, chr(10), 1)"
+_DATE = "split_part(text, chr(10), 2)"
+_STABLE = "split_part(text, chr(10), 3) || chr(10)"
+_VARIED = f"{_FIRST} || chr(10) || {_DATE} || chr(10) || substr(text, strpos(text, 'User: what'))"
+_BALANCED = "replace(replace(text, 'Please process', 'Process'), ' in order to ', ' to ')"
+_MONTH = "{0} / 1e6 * 5 * 1000 * 30"
+_STATED_ROWS = [
+    ("prohibition", "critical", 'prohibition ("never")', "'Never exceed 5 retries'", "'Never exceed 5 retries.'"),
+    ("quantity", "critical", "count", "'5 retries'", "'Never exceed 5 retries.'"),
+    ("requirement", "critical", 'requirement ("must")', "'must answer in JSON for user_id ' || user_id", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("format", "critical", "output shape", "'answer in JSON'", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("format", "critical", "serialisation format", "'in JSON'", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("entity", "minor", "identifier", "'user_id'", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("quantity", "critical", "date", "strftime(ts, '%Y-%m-%d')", "'Current date: ' || strftime(ts, '%Y-%m-%d')"),
+    ("literal", "critical", "URL", "'https://example.org/e/' || event_id", "'See https://example.org/e/' || event_id || '.'"),
+    ("variable", "critical", "template variable", "'{{topic}}'", "'User: what about {{topic}}?'"),
+    ("literal", "critical", "JSON string", "'\"k\"'", "'Props: ' || props"),
+]
+_STATED = (
+    "stated AS ("
+    + " UNION ALL ".join(
+        f"SELECT event_id, text, {_value(t)} AS type, {_value(s)} AS severity, {_value(label)} AS label, {anchor} AS anchor, {sentence} AS sentence FROM whole"
+        for t, s, label, anchor, sentence in _STATED_ROWS
+    )
+    + "), placed AS (SELECT *, strpos(text, anchor) - 1 AS start, strpos(text, anchor) - 1 + length(anchor) AS \"end\" FROM stated)"
+)
+_STATED = "whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)), " + _STATED
+
+
+@query(
+    f"WITH {PROMPTS} SELECT event_id, 6 AS n, TRUE AS whole, 'json,url,variable' AS kinds FROM prompts"
+)
 def segment_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = frames.with_segments(prompts(spark, sf_dir).select("event_id", "text"))
     joined = F.array_join(F.transform("segments", lambda s: s["text"]), "")
@@ -429,30 +542,43 @@ def _rewritten(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"WITH {PROMPTS} SELECT event_id, {_BALANCED} AS output, 2 AS changes, 0 AS blocked, 0 AS critical_lost, TRUE AS undoable FROM prompts"
+)
 def compress_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir, "balanced")
 
 
-@query()
+@query(
+    f"WITH {PROMPTS} SELECT event_id, {_BALANCED} AS output, 2 AS changes, 0 AS blocked, 0 AS critical_lost, TRUE AS undoable FROM prompts"
+)
 def compress_aggressive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir, "aggressive")
 
 
-@query()
+@query(
+    "SELECT unnest(['politeness.please', 'sub.in-order-to']) AS rule_id, n AS total, unnest([n, 0]) AS lossy FROM (SELECT COUNT(*) AS n FROM events) x"
+)
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frames.with_rewrite(prompts(spark, sf_dir).select("event_id", "text"), "balanced")
     each = out.select(F.explode("changes").alias("c")).select("c.rule_id", "c.lossy")
     return each.groupBy("rule_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("lossy").alias("lossy"))
 
 
-@query()
+@query(
+    f"WITH {PROMPTS}, {_STATED} SELECT event_id, type || ':' || start || '-' || \"end\" AS id, type, severity, anchor, CAST(start AS INTEGER) AS start, "
+    "CAST(\"end\" AS INTEGER) AS \"end\", sentence, CAST(strpos(text, sentence) - 1 AS INTEGER) AS sentence_start, "
+    "CAST(strpos(text, sentence) - 1 + length(sentence) AS INTEGER) AS sentence_end, label FROM placed"
+)
 def extract_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frames.with_constraints(prompts(spark, sf_dir).select("event_id", "text"))
     return found.select("event_id", F.explode("constraints").alias("c")).select("event_id", "c.*")
 
 
-@query()
+@query(
+    f"WITH {PROMPTS}, {_STATED} SELECT type, COUNT(*) AS total, COUNT(*) AS kept, CAST(list_position({_value(list(ledger.TYPES))}, type) AS BIGINT) AS place "
+    "FROM placed GROUP BY type"
+)
 def checklist_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frames.with_rewrite(prompts(spark, sf_dir).select("event_id", "text"), "aggressive")
     each = out.select(F.explode("checks").alias("k"))
@@ -463,60 +589,113 @@ def checklist_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("place", order).orderBy("place")
 
 
-@query()
+@query(
+    "SELECT event_id, 'prohibition' AS type, 'prohibition:0-' || (n - 1) || ',prohibition:' || (n + 1) || '-' || (n + n + 6) AS members, 0 AS start, "
+    "round(8 / 9::DOUBLE, 9) AS similarity, sentence AS suggestion FROM (SELECT event_id, 'Never exceed the retry limit of ' || event_id || ' calls.' AS sentence, "
+    "length('Never exceed the retry limit of ' || event_id || ' calls.') AS n FROM events) x"
+)
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Never exceed the retry limit of "), "event_id", F.lit(" calls.\nNever exceed the retry limit of "), "event_id", F.lit(" calls today."))
     given = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
-    return frames.with_duplicates(given).select("event_id", F.explode("duplicates").alias("d")).select("event_id", "d.*")
+    each = frames.with_duplicates(given).select("event_id", F.explode("duplicates").alias("d")).select("event_id", "d.*")
+    return each.withColumns({"members": F.array_join("members", ","), "similarity": F.round("similarity", 9)})
 
 
-@query()
+@query(
+    f"WITH {PROMPTS} SELECT event_id, text AS restored FROM prompts"
+)
 def restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = prompts(spark, sf_dir).select("event_id", "text", F.regexp_replace("text", r"Never exceed 5 retries\. ", "").alias("output"))
     return frames.with_restored(given).select("event_id", "restored")
 
 
-@query()
+@query(
+    f"WITH {PROMPTS} SELECT event_id, CAST(strpos(text, 'User: what') - 1 AS INTEGER) AS boundary, CAST(strpos(text, 'user_id ') - 1 AS INTEGER) AS cacheable_end, "
+    f"{_STABLE} AS reordered_prefix, {_VARIED} AS reordered_suffix, 5 AS markers FROM prompts"
+)
 def split_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = frames.with_layout(prompts(spark, sf_dir).select("event_id", "text"))
     return cut.select("event_id", "boundary", "cacheable_end", "reordered_prefix", "reordered_suffix", F.size("markers").alias("markers"))
 
 
-@query()
+@query(
+    f"WITH {PROMPTS} SELECT event_id, {_STABLE} || chr(10) || chr(10) || '<!-- cache breakpoint: put cache_control {{\"type\": \"ephemeral\"}} on the last content "
+    f"block above this line. -->' || chr(10) || chr(10) || {_VARIED} AS cache_ready, {_FIRST} || chr(10) || {_DATE} AS moved_lines, "
+    "'Moved 2 per-request lines below the breakpoint; they cut the cacheable prefix short.' AS notes FROM prompts"
+)
 def cache_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.with_cache_ready(prompts(spark, sf_dir).select("event_id", "text"), "anthropic").drop("text")
+    laid = frames.with_cache_ready(prompts(spark, sf_dir).select("event_id", "text"), "anthropic")
+    return laid.select("event_id", "cache_ready", *[F.array_join(c, "\n").alias(c) for c in ("moved_lines", "notes")])
 
 
-@query()
+@query(
+    f"WITH {PROMPTS}, cut AS (SELECT *, strpos(text, 'in order to') - 1 AS spot FROM prompts) "
+    "SELECT event_id, 'change' AS kind, 0 AS start, 8 AS \"end\", 'P' AS text, 'politeness.please:0:8' AS key, TRUE AS active FROM cut UNION ALL "
+    "SELECT event_id, 'text', 8, CAST(spot AS INTEGER), substr(text, 9, spot - 8), NULL, NULL FROM cut UNION ALL "
+    "SELECT event_id, 'change', CAST(spot AS INTEGER), CAST(spot + 11 AS INTEGER), 'to', 'sub.in-order-to:' || spot || ':' || (spot + 11), TRUE FROM cut UNION ALL "
+    "SELECT event_id, 'text', CAST(spot + 11 AS INTEGER), CAST(length(text) AS INTEGER), substr(text, spot + 12), NULL, NULL FROM cut"
+)
 def diff_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = frames.with_diff(prompts(spark, sf_dir).select("event_id", "text"))
     return shown.select("event_id", F.explode("diff").alias("d")).select("event_id", "d.*")
 
 
-@query()
+@query(
+    f"WITH {PROMPTS}, counted AS (SELECT event_id, {_TOKENS.format('text')} AS tokens, {_TOKENS.format(_BALANCED)} AS after FROM prompts), "
+    "files AS (SELECT a.*, b.tokens AS base_tokens FROM counted a LEFT JOIN counted b ON a.event_id = b.event_id + 1) "
+    "SELECT COUNT(*) AS files, CAST(SUM(tokens) AS BIGINT) AS tokens, CAST(SUM(base_tokens) AS BIGINT) AS base_tokens, "
+    "CAST(SUM(tokens - base_tokens) AS BIGINT) AS delta_tokens, COUNT(*) FILTER (tokens > 60) AS over_budget, "
+    f"round({_MONTH.format('SUM(tokens)')}, 6) AS monthly_cost, round({_MONTH.format('SUM(tokens - base_tokens)')}, 6) AS monthly_delta, "
+    "CAST(0 AS BIGINT) AS duplicate_groups, CAST(SUM(tokens - after) AS BIGINT) AS saved_tokens, "
+    f"round({_MONTH.format('SUM(tokens - after)')}, 6) AS monthly_saving, CAST(0 AS BIGINT) AS unverified FROM files"
+)
 def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = prompts(spark, sf_dir).select(F.concat(F.lit("events/"), "event_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    base = files.where("path like '%0.md'").select("path", F.left("content", F.lit(80)).alias("base_content"))
-    return reports.totals(reports.analyse(files.join(base, "path", "left"), "claude-opus-5", budget=60))
+    given = prompts(spark, sf_dir)
+    files = given.select(F.concat(F.lit("events/"), "event_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    base = given.select(F.concat(F.lit("events/"), F.col("event_id") + 1, F.lit(".md")).alias("path"), F.col("text").alias("base_content"))
+    found = reports.totals(reports.analyse(files.join(base, "path", "left"), "claude-opus-5", budget=60))
+    return found.withColumns({c: F.round(c, 6) for c in ("monthly_cost", "monthly_delta", "monthly_saving")})
 
 
-@query()
+@query(
+    f"WITH {PROMPTS}, levels AS (SELECT event_type AS corpus, 'light' AS level, text, text AS output FROM prompts UNION ALL "
+    f"SELECT event_type, unnest(['balanced', 'aggressive']), text, {_BALANCED} FROM prompts), counted AS (SELECT corpus, level, "
+    f"{_TOKENS.format('text')} AS before, {_TOKENS.format('output')} AS after FROM levels) SELECT corpus, level, COUNT(*) AS prompts, "
+    "round(AVG(1 - after / before), 9) AS avg_reduction, round(1 - SUM(after) / SUM(before), 9) AS aggregate_reduction, "
+    "COUNT(*) * 9 AS critical, COUNT(*) * 9 AS critical_kept, CAST(0 AS BIGINT) AS blocked FROM counted GROUP BY corpus, level"
+)
 def bench_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.bench(prompts(spark, sf_dir).select(F.col("event_type").alias("corpus"), "text"))
+    found = reports.bench(prompts(spark, sf_dir).select(F.col("event_type").alias("corpus"), "text"))
+    return found.withColumns({c: F.round(c, 9) for c in ("avg_reduction", "aggregate_reduction")})
 
 
-@query()
+@query(
+    f"WITH {PROMPTS} SELECT event_id, 'Please event in to Never 5 You answer JSON user_id Current ' || strftime(ts, '%Y-%m-%d') || substr(text, strpos(text, 'https://')) AS output, "
+    "7 AS lost FROM prompts"
+)
 def local_ml_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = frames.with_model_rewrite(prompts(spark, sf_dir).select("event_id", "text"), lambda s: " ".join(s.split()[::2]))
     return frames.with_checks(out).select("event_id", "output", F.size(F.filter("checks", lambda c: ~c["preserved"])).alias("lost"))
 
 
-@query()
+@query(
+    f"WITH {PROMPTS}, whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)) SELECT event_id, text, 'Please process event ' || event_id || ' in order to ' || event_type || "
+    "'.' || chr(10) || 'You must answer in JSON for user_id ' || user_id || '.' || chr(10) || 'See https://example.org/e/' || event_id || '.' || chr(10) || 'Props: ' || props || chr(10) || "
+    "'Never exceed 5 retries.' || chr(10) || 'Never exceed 5 retries.' || chr(10) || 'Current date: ' || strftime(ts, '%Y-%m-%d') || chr(10) || 'User: what about {{topic}}?' AS output, "
+    "1 AS repairs, 3 AS calls, 0 AS lost, CAST(NULL AS VARCHAR) AS error FROM whole"
+)
 def ai_pipeline_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.model_pipeline(prompts(spark, sf_dir).select("event_id", "text"), reports.HalvingClient())
 
 
-@query("SELECT event_id, 'agree-' || CASE WHEN event_id % 2 = 0 THEN 'kept' ELSE 'lost' END AS agreement FROM events")
+@query(
+    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unjudged' WHEN own AND event_id % 3 = 0 THEN 'agree-kept' WHEN own THEN 'local-only' "
+    "WHEN event_id % 3 = 0 THEN 'model-only' ELSE 'agree-lost' END AS agreement FROM (SELECT event_id, event_type <> 'error' AS own FROM events) x"
+)
 def verifier_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.col("event_id") % 2 == 0
-    return table(spark, sf_dir, "events").select("event_id", reports.agreement(own, own).alias("agreement"))
+    given = prompts(spark, sf_dir).select(
+        "event_id", "text", F.expr(_REWRITE).alias("output"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 3 == 0).alias("model")
+    )
+    # The ledger's verdict on the prohibition beside a model's, which is missing at times.
+    own = F.exists("checks", lambda k: (k["type"] == "prohibition") & k["preserved"])
+    return frames.with_checks(given).select("event_id", reports.agreement(own, F.col("model")).alias("agreement"))
