@@ -1,28 +1,32 @@
 """Near-duplicate embeddings by range search on robust-pruned flat graphs.
 
-Equal vectors of one label are one row with a count. A label's vectors are dealt
-to the ``overlap`` nearest of its pivots, so that shards overlap; pivots are a
-hashed sample of bounded size, and pivots within reach of each other, directly or
-over others, are one shard, so that a dense group stays together. A shard builds
-its graph: nearest candidates, robustly pruned, so that a neighbour hides what
-lies closer to it than to the vertex. The lists that a vertex has from its shards are united and go back to
-each of them. There every vertex is searched for: a beam search from the medoid
-and from its own place, then an expansion along edges through all that is within reach of the range.
-What it finds is verified by cosine in double precision.
-
-A pair that shares several shards counts in the first of them only, so shards
-give counts per vector and a spanning forest of their links, never pairs. A
-shard that is too full is cut into blocks, and every two blocks are a task, so
-no pair of it is lost and a task's memory stays bounded. Recall is audited after
-every pass, on a bounded sample of vectors against all vectors of their label.
-Labels below the target, or all of them if the whole sample is, run again with
-more overlap; where that isn't enough they are compared whole, every two blocks,
-without a graph, which is exact and takes time with the square of the label.
-
-Defined cases: vectors that are null, zero, or hold null or non-finite
-components, and vectors of a null label or id, link with nothing and are kept;
-vectors of different lengths don't link; repeated rows count as rows of their
-own; an empty table gives an empty one; other columns are ignored.
+Equal vectors of one label are one row with a count and a key. A label's vectors are
+dealt to the ``overlap`` nearest of its pivots, so that shards overlap; pivots are a
+hashed sample of bounded size, and pivots within reach of each other, directly or over
+others, are one shard, so that a dense group stays together. A shard builds its graph:
+candidates come from overlapping cells of the shard, and are robustly pruned, so that a
+neighbour hides what lies closer to it than to the vertex. The lists that a vertex has
+from its shards are united and go back to each of them. There every vertex is searched
+for: a beam search from the medoid and from its own place, then an expansion along edges
+through all that is within reach of the range and not yet known to be linked. Only
+vectors that a search meets are compared.
+
+What it finds is verified by cosine in double precision and gives a spanning forest, and
+so the components. Links only stand inside components, so they are counted there, every
+two blocks of a component, exactly: a link that the search missed is lost only if it was
+the one that held two components together. A shard or component that is too full is cut
+into blocks, and every two blocks are a task, so no pair of it is lost and a task's
+memory stays bounded. Recall is audited after every pass, on a bounded sample of vectors
+against all vectors of their label. Labels below the target, or all of them if the whole
+sample is, run again with more overlap; where that isn't enough they are compared whole,
+every two blocks, without a graph, which is exact and takes time with the square of the
+label.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components, and
+vectors of a null label or id, link with nothing and are kept; vectors of different
+lengths don't link; repeated rows, and rows that share an id, count as rows of their
+own; ties don't matter, for every link counts; an empty table gives an empty one; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -44,6 +48,10 @@ COSINE = 0.93
 SHARD, FULL = 640, 4096
 PIVOTS = 16_384
 OVERLAP, MOST_OVERLAP = 3, 9
+# Bytes of all pivots.
+PIVOT_BYTES = 64 << 20
+# Vectors of a cell of a shard, about, and the cells of a vertex.
+CELL, CELLS = 48, 3
 # Candidates of a vertex, its neighbours after pruning, and the pruning's stretch.
 CANDIDATES, DEGREE, STRETCH = 64, 24, 1.2
 BEAM = 10
@@ -51,25 +59,32 @@ BEAM = 10
 SLACK = 0.06
 AUDIT, RECALL = 256, 0.97
 
-CLASS = "space string, id long, n long, vector array<double>"
+CLASS = "space string, key long, n long, vector array<double>"
+
+
+def _vector(column: str) -> Column:
+    return F.col(column).cast("array<double>")
+
+
+def _space(vector_col: str, label_col: str) -> Column:
+    return F.concat_ws(":", F.col(label_col).cast("string"), F.size(_vector(vector_col)).cast("string"))
+
+
+def _prints(vector_col: str) -> list[Column]:
+    """Two hashes by which vectors of a space are told apart."""
+    return [F.xxhash64(F.lit(salt), _vector(vector_col)).alias(f"print{salt}") for salt in (0, 1)]
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Distinct vectors of each label: (space, vector, id, n)."""
-    vector = F.col(vector_col).cast("array<double>")
-    sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
-    ok = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & vector.isNotNull()
-    return (
-        vectors.where(ok & F.coalesce(sound, F.lit(False)) & (square > 0))
-        .select(
-            F.concat_ws(":", F.col(label_col).cast("string"), F.size(vector).cast("string")).alias("space"),
-            vector.alias("vector"),
-            F.col(id_col).cast("long").alias("id"),
-        )
-        .groupBy("space", "vector")
-        .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    """Distinct vectors of each label: (space, print0, print1, vector, id, n, key)."""
+    sound = F.forall(_vector(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    some = F.exists(_vector(vector_col), lambda x: x != 0)
+    ok = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
+    rows = vectors.where(ok & F.coalesce(sound & some, F.lit(False))).select(
+        _space(vector_col, label_col).alias("space"), *_prints(vector_col), _vector(vector_col).alias("vector"), F.col(id_col).cast("long").alias("id")
     )
+    found = rows.groupBy("space", "print0", "print1").agg(F.first("vector").alias("vector"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return found.withColumn("key", F.monotonically_increasing_id())
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -87,11 +102,13 @@ def pivots(classes: DataFrame, shard: int = SHARD, most: int = PIVOTS) -> dict[s
     """Unit pivots of each space of more than ``shard`` vectors, ``most`` in all."""
     sizes = classes.groupBy("space").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > shard)
     total = sizes.agg(F.sum("rows")).first()[0] or 0
+    width = classes.agg(F.max(F.size("vector"))).first()[0] or 1
+    most = max(1, min(most, PIVOT_BYTES // (8 * width)))
     part = min(1 / shard, most / max(1, total))
     # A hashed share, of which at most ``most`` rows come to the driver.
     drawn = (
         classes.join(sizes, "space", "left_semi")
-        .where(F.pmod(F.xxhash64("vector", "id"), F.lit(1 << 31)) < int(part * (1 << 31)))
+        .where(F.pmod(F.xxhash64("vector"), F.lit(1 << 31)) < int(part * (1 << 31)))
         .select("space", "vector")
         .limit(most)
         .collect()
@@ -141,227 +158,247 @@ def dealt(classes: DataFrame, centres: dict[str, np.ndarray], overlap: int, cosi
                 [*batch.columns, pa.array(shards, pa.list_(pa.int64()))], names=[*batch.schema.names, "shards"]
             )
 
-    return classes.select("space", "id", "n", "vector").mapInArrow(run, CLASS + ", shards array<long>")
+    return classes.select("space", "key", "n", "vector").mapInArrow(run, CLASS + ", shards array<long>")
+
+
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows, in the precision of ``x``."""
+    step = 1 << 15
+    return np.concatenate([np.einsum("ij,ij->i", x[a[i : i + step]], x[b[i : i + step]]) for i in range(0, len(a), step)] or [np.zeros(0, x.dtype)])
+
+
+def candidates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest vectors of each among those it shares a cell with, padded with -1, and their cosines, nearest first."""
+    n = len(x)
+    centres = x[np.random.default_rng(n).permutation(n)[: max(1, n // CELL)]]
+    k = min(CELLS, len(centres))
+    own = np.argpartition(-(x @ centres.T), k - 1, axis=1)[:, :k]
+    order = np.argsort(own.ravel(), kind="stable")
+    members = np.split(order // k, np.searchsorted(own.ravel()[order], np.arange(1, len(centres))))
+    a, b, like = [], [], []
+    for cell in members:
+        near = x[cell] @ x[cell].T
+        np.fill_diagonal(near, -2)
+        most = min(CANDIDATES, len(cell) - 1)
+        if most < 1:
+            continue
+        top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+        a.append(np.repeat(cell, most))
+        b.append(cell[top].ravel())
+        like.append(np.take_along_axis(near, top, 1).ravel())
+    return _lists(n, *(np.concatenate(v) if v else np.zeros(0, t) for v, t in ((a, int), (b, int), (like, x.dtype))), CANDIDATES)
+
+
+def _lists(n: int, a: np.ndarray, b: np.ndarray, like: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest distinct ``b`` of each ``a``, padded with -1, and their cosines."""
+    _, once = np.unique(a * n + b, return_index=True)
+    a, b, like = a[once], b[once], like[once]
+    order = np.lexsort((-like, a))
+    a, b, like = a[order], b[order], like[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    near = place < most
+    found, value = np.full((n, most), -1), np.full((n, most), -2, dtype=like.dtype)
+    found[a[near], place[near]] = b[near]
+    value[a[near], place[near]] = like[near]
+    return found, value
 
 
-def robust_prune(like: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, stretch: float = STRETCH) -> np.ndarray:
+def robust_prune(x: np.ndarray, near: np.ndarray, like: np.ndarray, degree: int = DEGREE, stretch: float = STRETCH) -> np.ndarray:
     """Neighbours (rows of vertex numbers, padded with -1) kept of each vertex's candidates, nearest first.
 
-    ``like`` holds cosines; distances are square roots of ``2 - 2 cosine``.
+    ``like`` holds the candidates' cosines; distances are square roots of ``2 - 2 cosine``.
     """
-    n, width = candidates.shape
-    away = np.sqrt(np.maximum(2 - 2 * like, 0))
-    rows = np.arange(n)[:, None]
-    own = away[rows, np.maximum(candidates, 0)]
-    alive = candidates >= 0
+    n, width = near.shape
+    own, rows = np.sqrt(np.maximum(2 - 2 * like, 0)), np.arange(n)
+    alive = near >= 0
     kept = np.full((n, degree), -1)
     for k in range(degree):
-        some = alive.any(1)
-        if not some.any():
+        busy = np.flatnonzero(alive.any(1))
+        if not len(busy):
             break
-        first = alive.argmax(1)
-        chosen = np.where(some, candidates[np.arange(n), first], -1)
-        kept[:, k] = chosen
-        between = away[np.maximum(chosen, 0)[:, None], np.maximum(candidates, 0)]
-        alive &= (stretch * between > own) & (candidates != chosen[:, None])
-        alive[~some] = False
+        first = alive[busy].argmax(1)
+        chosen = near[busy, first]
+        kept[busy, k] = chosen
+        alive[busy, first] = False
+        at, place = np.nonzero(alive[busy])
+        between = np.sqrt(np.maximum(2 - 2 * _dots(x, chosen[at], near[busy[at], place]), 0))
+        hidden = stretch * between <= own[busy[at], place]
+        alive[busy[at[hidden]], place[hidden]] = False
     return kept
 
 
 def build(x: np.ndarray) -> np.ndarray:
-    """The pruned lists of a shard's unit vectors."""
-    like = (x @ x.T).astype(np.float32)
-    np.fill_diagonal(like, -2)
-    k = min(CANDIDATES, len(x) - 1)
-    if k < 1:
-        return np.full((len(x), DEGREE), -1)
-    near = np.argpartition(-like, k - 1, axis=1)[:, :k]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(like, near, 1), axis=1), 1)
-    return both_ways(like, robust_prune(like, near))
-
-
-def both_ways(like: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """Lists that also hold the edges pointing here, the nearest ``2 * DEGREE`` of them all."""
-    n = len(kept)
-    a, b = np.repeat(np.arange(n), kept.shape[1]), kept.ravel()
+    """The pruned lists of a shard's unit vectors, with the edges that point to a vertex: the nearest ``2 * DEGREE`` of all."""
+    x = x.astype(np.float32)
+    kept = robust_prune(x, *candidates(x))
+    a, b = np.repeat(np.arange(len(x)), kept.shape[1]), kept.ravel()
     a, b = a[b >= 0], b[b >= 0]
-    code = np.unique(np.concatenate([a * n + b, b * n + a]))
-    a, b = code // n, code % n
-    order = np.lexsort((-like[a, b], a))
-    a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    lists = np.full((n, 2 * DEGREE), -1)
-    near = place < 2 * DEGREE
-    lists[a[near], place[near]] = b[near]
-    return lists
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    return _lists(len(x), a, b, _dots(x, a, b), 2 * DEGREE)[0]
 
 
-def search(like: np.ndarray, lists: np.ndarray, reach: float) -> np.ndarray:
-    """Which vertices (columns) the search for each vertex (row) finds at ``reach`` or above."""
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each vertex the least one that it is joined to, with the links (a, b) added."""
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b):
+            np.minimum.at(new, root[end], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new[root]
+    return root
+
+
+def search(x: np.ndarray, lists: np.ndarray, cosine: float, slack: float = SLACK) -> np.ndarray:
+    """For each vertex the least one that links found by the search lead to."""
     n, width = lists.shape
-    medoid = int(like.sum(1).argmax())
-    seen = np.zeros((n, n), dtype=bool)
+    low = x.astype(np.float32)
     rows = np.arange(n)
+
+    def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray, like: np.ndarray) -> np.ndarray:
+        # Double precision decides; pairs that are joined already needn't be asked.
+        near = np.flatnonzero((like >= cosine - 1e-4) & (root[a] != root[b]))
+        sure = near[_dots(x, a[near], b[near]) >= cosine]
+        return _roots(root, a[sure], b[sure])
+
+    a, b = np.repeat(rows, width), lists.ravel()
+    a, b = a[b >= 0], b[b >= 0]
+    root = joined(rows.copy(), a, b, _dots(low, a, b))
+    # Beam search, all vertices at once.
+    medoid = int((low @ low.mean(0)).argmax())
+    seen = np.zeros((n, n), dtype=bool)
+    seen[:, medoid] = seen[rows, rows] = True
     beam = np.full((n, BEAM), -1)
-    # A vertex that is itself the query is an entry too.
-    beam[:, 0], beam[:, 1] = medoid, np.where(rows == medoid, -1, rows)
-    opened = np.zeros((n, n), dtype=bool)
-    seen[:, medoid] = True
-    seen[rows, rows] = True
-    for _ in range(4 * BEAM):
-        value = np.where(beam >= 0, like[rows[:, None], np.maximum(beam, 0)], -3)
-        closed = np.where(opened[rows[:, None], np.maximum(beam, 0)], -3, value)
+    value = np.full((n, BEAM), -3, dtype=np.float32)
+    beam[:, 0], value[:, 0] = medoid, low @ low[medoid]
+    beam[:, 1], value[:, 1] = np.where(rows == medoid, -1, rows), np.where(rows == medoid, -3, 1)
+    opened = beam < 0
+    hits = []
+    while True:
+        closed = np.where(opened, -3, value)
         best = closed.argmax(1)
-        busy = closed[rows, best] > -3
-        if not busy.any():
+        busy = np.flatnonzero(closed[rows, best] > -3)
+        if not len(busy):
             break
-        at = beam[rows, best]
-        opened[rows[busy], at[busy]] = True
-        new = np.where(busy[:, None], lists[np.maximum(at, 0)], -1)
-        known = seen[rows[:, None], np.maximum(new, 0)]
-        new = np.where(known, -1, new)
-        seen[np.repeat(rows, width)[new.ravel() >= 0], new.ravel()[new.ravel() >= 0]] = True
-        both = np.concatenate([beam, new], 1)
-        score = np.where(both >= 0, like[rows[:, None], np.maximum(both, 0)], -3)
+        opened[busy, best[busy]] = True
+        q, v = np.repeat(busy, width), lists[beam[busy, best[busy]]].ravel()
+        fresh = np.flatnonzero((v >= 0) & ~seen[q, v])
+        at, q, v = fresh % width, q[fresh], v[fresh]
+        seen[q, v] = True
+        like = _dots(low, q, v)
+        hits.append((q[like >= cosine - slack], v[like >= cosine - slack], like[like >= cosine - slack]))
+        new, found = np.full((n, width), -1), np.full((n, width), -3, dtype=np.float32)
+        new[q, at], found[q, at] = v, like
+        both, score = np.concatenate([beam, new], 1), np.concatenate([value, found], 1)
+        done = np.concatenate([opened, new < 0], 1)
         top = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
-        beam = np.take_along_axis(both, top, 1)
-    # Expansion: along edges, through everything within reach.
-    found = np.zeros((n, n), dtype=bool)
-    q, v = np.nonzero(seen & (like >= reach))
-    found[q, v] = True
+        beam, value, opened = (np.take_along_axis(m, top, 1) for m in (both, score, done))
+    # Expansion: along edges, through everything within reach that isn't joined yet.
+    q, v, like = (np.concatenate(part) for part in zip(*hits, strict=True)) if hits else (np.zeros(0, int),) * 3
+    root = joined(root, q, v, like)
     while len(q):
-        step_q, step_v = [], []
-        for i in range(0, len(q), 1 << 18):
-            a, b = np.repeat(q[i : i + (1 << 18)], width), lists[v[i : i + (1 << 18)]].ravel()
-            ok = b >= 0
-            a, b = a[ok], b[ok]
-            ok = (like[a, b] >= reach) & ~found[a, b]
-            a, b = a[ok], b[ok]
-            found[a, b] = True
-            code = np.unique(a * n + b)
-            step_q.append(code // n)
-            step_v.append(code % n)
-        q, v = np.concatenate(step_q), np.concatenate(step_v)
-    return found
+        apart = root[q] != root[v]
+        q, v = np.repeat(q[apart], width), lists[v[apart]].ravel()
+        fresh = (v >= 0) & ~seen[q, v]
+        code = np.unique(q[fresh] * n + v[fresh])
+        q, v = code // n, code % n
+        seen[q, v] = True
+        like = _dots(low, q, v)
+        near = like >= cosine - slack
+        q, v, like = q[near], v[near], like[near]
+        root = joined(root, q, v, like)
+    return root
 
 
 def _lists_frame(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("id", ignore_index=True)
-    ids = frame["id"].to_numpy()
+    frame = frame.sort_values("key", ignore_index=True)
+    keys = frame["key"].to_numpy()
     lists = build(_normed(np.stack(frame["vector"].to_numpy())))
-    return pd.DataFrame({"id": ids, "near": [ids[r[r >= 0]].tolist() for r in lists]})
-
-
-def _on_graph(frame: pd.DataFrame, like: np.ndarray, reach: float) -> np.ndarray:
-    """Pairs that the search finds on the lists ``near``."""
-    ids, n = frame["id"].to_numpy(), len(frame)
-    near = [np.searchsorted(ids, r) for r in frame["near"]]
-    near = [p[(p < n) & (ids[np.minimum(p, n - 1)] == r)] for p, r in zip(near, frame["near"], strict=True)]
-    lists = np.full((n, max(1, max(map(len, near)))), -1)
-    for i, r in enumerate(near):
-        lists[i, : len(r)] = r
-    found = search(like, lists, reach)
-    return found | found.T
-
-
-def _first_common(lists: list, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least element that the sorted lists of two vectors share."""
-    held = np.full((len(lists), max(map(len, lists))), -1)
-    for i, r in enumerate(lists):
-        held[i, : len(r)] = r
-    first = np.full(len(a), -1)
-    for i in range(0, len(a), 65536):
-        x, y = held[a[i : i + 65536]], held[b[i : i + 65536]]
-        for k in reversed(range(held.shape[1])):
-            both = (x[:, k] >= 0) & (x[:, k, None] == y).any(1)
-            first[i : i + 65536][both] = x[both, k]
-    return first
-
-
-def _linked_frame(cosine: float, whole: bool = False):
+    return pd.DataFrame({"key": keys, "near": [keys[r[r >= 0]].tolist() for r in lists]})
+
+
+def _searched_frame(cosine: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("id").sort_values("id", ignore_index=True)
-        ids = frame["id"].to_numpy()
+        frame = frame.sort_values("key", ignore_index=True)
+        keys, n = frame["key"].to_numpy(), len(frame)
         x = _normed(np.stack(frame["vector"].to_numpy()))
-        n = len(ids)
-        like = (x @ x.T).astype(np.float32)
-        close = like >= cosine - 1e-4
-        a, b = np.nonzero(np.triu(close if whole else close & _on_graph(frame, like, cosine - SLACK), 1))
-        exact = np.concatenate(
-            [np.einsum("ij,ij->i", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]
-        )
-        a, b = a[exact >= cosine], b[exact >= cosine]
-        # A pair counts where its first common shard is, and there in its own two blocks.
-        here = int(frame["shard"].iloc[0]), int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
-        lists_of, block = frame["shards"].tolist(), frame["block"].to_numpy()
-        if max(map(len, lists_of)) > 1 or here[1] != here[2]:
-            mine = _first_common(lists_of, a, b) == here[0]
-            mine &= (np.minimum(block[a], block[b]) == here[1]) & (np.maximum(block[a], block[b]) == here[2])
-            a, b = a[mine], b[mine]
-        weight = frame["n"].to_numpy()
-        links = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
-        to = _forest(n, a, b, ids)
-        return pd.DataFrame({"space": frame["space"], "id": ids, "links": links.astype(np.int64), "to": to})
+        near = [np.searchsorted(keys, r) for r in frame["near"]]
+        near = [p[(p < n) & (keys[np.minimum(p, n - 1)] == r)] for p, r in zip(near, frame["near"], strict=True)]
+        lists = np.full((n, max(1, max(map(len, near)))), -1)
+        for i, r in enumerate(near):
+            lists[i, : len(r)] = r
+        return pd.DataFrame({"space": frame["space"], "key": keys, "links": 0, "to": keys[search(x, lists, cosine)]})
 
     return run
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each vertex the least id that links reach inside this task."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new[root]]
-        if (new == root).all():
-            break
-        root = new
-    return ids[root]
+def _whole_frame(cosine: float):
+    """All pairs of a task, in double precision."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("key", ignore_index=True)
+        keys, weight, block = (frame[c].to_numpy() for c in ("key", "n", "block"))
+        x, n = _normed(np.stack(frame["vector"].to_numpy())), len(frame)
+        low, links, root = x.astype(np.float32), np.zeros(n, dtype=np.int64), np.arange(n)
+        first, last = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
+        for i in range(0, n, 512):
+            a, b = np.nonzero(low[i : i + 512] @ low.T >= cosine - 1e-4)
+            a = a + i
+            a, b = a[a < b], b[a < b]
+            # A pair counts in the task of its own two blocks.
+            mine = (np.minimum(block[a], block[b]) == first) & (np.maximum(block[a], block[b]) == last)
+            a, b = a[mine], b[mine]
+            sure = _dots(x, a, b) >= cosine
+            a, b = a[sure], b[sure]
+            links += np.bincount(a, weight[b], n).astype(np.int64) + np.bincount(b, weight[a], n).astype(np.int64)
+            root = _roots(root, a, b)
+        return pd.DataFrame({"space": frame["space"], "key": keys, "links": links, "to": keys[root]})
+
+    return run
 
 
 def linked(deal: DataFrame, cosine: float, full: int = FULL, whole: bool = False) -> DataFrame:
-    """(space, id, links, to): partial counts of a vector and its least reached id, a row per shard and block pair.
+    """(space, key, links, to): a row per vector, shard and block pair, with the least key it reaches there.
 
-    ``whole`` compares all pairs of a shard instead of searching its graph.
+    ``whole`` compares all pairs of each shard, whose shards mustn't overlap, and counts
+    the links; otherwise the graph is searched and ``links`` is 0.
     """
-    spread = deal.select("*", F.explode("shards").alias("shard"))
+    spread = deal.select("space", "key", "n", "vector", F.explode("shards").alias("shard"))
     fill = spread.groupBy("space", "shard").agg(F.count(F.lit(1)).alias("rows"))
     blocks = fill.select("space", "shard", F.ceil(F.col("rows") * 2 / full).cast("int").alias("blocks"))
     blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
     placed = spread.join(blocks, ["space", "shard"]).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        "block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    paired = placed.select("*", other).select(
-        "space",
-        "shard",
-        F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"),
-        "block",
-        "id",
-        "n",
-        "vector",
-        "shards",
-    )
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    paired = placed.select("*", other).select("space", "shard", low, high, "block", "key", "n", "vector")
     task = ["space", "shard", "low", "high"]
-    out = "space string, id long, links long, to long"
+    out = "space string, key long, links long, to long"
     if whole:
-        return paired.groupBy(*task).applyInPandas(_linked_frame(cosine, whole), out)
-    lists = paired.groupBy(*task).applyInPandas(_lists_frame, "id long, near array<long>")
-    united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+        return paired.groupBy(*task).applyInPandas(_whole_frame(cosine), out)
+    lists = paired.groupBy(*task).applyInPandas(_lists_frame, "key long, near array<long>")
+    united = lists.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     united = stage(united, "graph")
-    return paired.join(united, "id").groupBy(*task).applyInPandas(_linked_frame(cosine), out)
+    return paired.join(united, "key").groupBy(*task).applyInPandas(_searched_frame(cosine), out)
+
+
+def counted(classes: DataFrame, components: DataFrame, cosine: float, full: int = FULL) -> DataFrame:
+    """(key, links): links of each vector of a component of two or more, counted inside it."""
+    deal = classes.join(components, "key").select("space", "key", "n", "vector", F.array("component").alias("shards"))
+    return linked(deal, cosine, full, whole=True).groupBy("key").agg(F.sum("links").alias("links"))
 
 
 def audit(classes: DataFrame, counted: DataFrame, cosine: float, sample: int = AUDIT) -> dict[str, tuple[int, int]]:
-    """By space, how many links of a hashed sample of vectors ``counted`` (id, links) has, and how many there are."""
-    queries = classes.orderBy(F.xxhash64("id"), "id").limit(sample).select("space", "id", "vector").collect()
+    """By space, how many links of a hashed sample of vectors ``counted`` (key, links) has, and how many there are."""
+    queries = classes.orderBy(F.xxhash64("vector"), "key").limit(sample).select("space", "key", "vector").collect()
     by_space: dict[str, tuple[list[int], np.ndarray]] = {}
     for space in {q["space"] for q in queries}:
         own = [q for q in queries if q["space"] == space]
-        by_space[space] = [q["id"] for q in own], _normed(np.array([q["vector"] for q in own]))
+        by_space[space] = [q["key"] for q in own], _normed(np.array([q["vector"] for q in own]))
     shared = classes.sparkSession.sparkContext.broadcast(by_space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,12 +413,12 @@ def audit(classes: DataFrame, counted: DataFrame, cosine: float, sample: int = A
                 hit = _unit(batch.column(3).take(pa.array(rows))) @ x.T >= cosine
                 for i, name in enumerate(names):
                     total[name] = total.get(name, 0) + int(n[rows[hit[:, i] & (ids[rows] != name)]].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["id", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["key", "links"])
 
-    all_links = classes.select("space", "id", "n", "vector").mapInArrow(run, "id long, links long")
-    exact = all_links.groupBy("id").agg(F.sum("links").alias("exact"))
-    rows = exact.join(counted, "id", "left").select("id", "exact", F.least("exact", F.coalesce("links", F.lit(0))).alias("got"))
-    held = {r["id"]: (r["got"], r["exact"]) for r in rows.collect()}
+    all_links = classes.select("space", "key", "n", "vector").mapInArrow(run, "key long, links long")
+    exact = all_links.groupBy("key").agg(F.sum("links").alias("exact"))
+    rows = exact.join(counted, "key", "left").select("key", "exact", F.least("exact", F.coalesce("links", F.lit(0))).alias("got"))
+    held = {r["key"]: (r["got"], r["exact"]) for r in rows.collect()}
     of = {s: [held[i] for i in set(names) if i in held] for s, (names, _) in by_space.items()}
     return {s: (sum(g for g, _ in v), sum(e for _, e in v)) for s, v in of.items()}
 
@@ -401,48 +438,50 @@ def near_duplicates(
     while True:
         deal = stage(dealt(todo, centres, overlap, cosine), "dealt")
         found = stage(linked(deal, cosine, whole=overlap == 0), "links")
+        forest = found.select(F.col("key").alias("src"), F.col("to").alias("dst"))
+        components = connected_components(forest).select(F.col("id").alias("key"), F.col("component_id").alias("component"))
+        components = stage(components.join(todo.select("key", "space"), "key"), "components")
+        if overlap == 0:
+            links = found.groupBy("key").agg(F.sum("links").alias("links"))
+        else:
+            links = counted(todo.drop("id"), components.drop("space"), cosine)
+        links = stage(links.join(todo.select("key", "space"), "key"), "counted")
         if overlap == 0:
-            parts.append(found)
+            parts.append((components, links))
             break
-        checked = audit(todo, found.groupBy("id").agg(F.sum("links").alias("links")), cosine)
+        checked = audit(todo, links, cosine)
         got, exact = (sum(v[k] for v in checked.values()) for k in (0, 1))
-        if got < recall * exact:
-            short = F.lit(True)
-            shards = max((len(c) for c in centres.values()), default=1)
-        else:
-            low = [s for s, (g, e) in checked.items() if g < recall * e]
-            short = F.col("space").isin(low)
-            parts.append(found.where(~short))
-            if not low:
-                break
-            shards = max(len(centres.get(s, [0])) for s in low)
+        low = [s for s, (g, e) in checked.items() if g < recall * e]
+        short = F.lit(True) if got < recall * exact else F.col("space").isin(low)
+        parts.append((components.where(~short), links.where(~short)))
+        if got >= recall * exact and not low:
+            break
+        shards = max((len(c) for s, c in centres.items() if got < recall * exact or s in low), default=1)
         todo = stage(todo.where(short), "short")
         overlap = min(overlap * 2 - 1, MOST_OVERLAP) if overlap < min(shards, MOST_OVERLAP) else 0
         if overlap == 0:
             centres = {}
-    found = reduce(DataFrame.unionByName, parts)
-    counted = stage(found.groupBy("id").agg(F.sum("links").alias("links")), "counted")
-    components = connected_components(found.select(F.col("id").alias("src"), F.col("to").alias("dst")))
+    components = reduce(DataFrame.unionByName, [c for c, _ in parts]).select("key", "component")
+    links = reduce(DataFrame.unionByName, [k for _, k in parts]).select("key", "links")
+    # A component is named by its least id, which its least key needn't have.
+    least = components.join(classes.select("key", "id"), "key").groupBy("component").agg(F.min("id").alias("least"))
     named = (
-        classes.join(counted, "id", "left")
-        .join(components, "id", "left")
+        classes.select("space", "print0", "print1", "key", "id", "n")
+        .join(links, "key", "left")
+        .join(components.join(least, "component"), "key", "left")
         .select(
             "space",
-            "vector",
-            F.coalesce("component_id", "id").alias("component_id"),
+            "print0",
+            "print1",
+            F.coalesce("least", "id").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         )
     )
-    vector = F.col(vector_col).cast("array<double>")
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"),
-        F.concat_ws(":", F.col(label_col).cast("string"), F.size(vector).cast("string")).alias("space"),
-        vector.alias("vector"),
-        F.col(label_col).isNotNull().alias("labelled"),
+        F.when(F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), _space(vector_col, label_col)).alias("space"),
+        *_prints(vector_col),
     )
-    joined = rows.join(named, (rows["space"] == named["space"]) & (rows["vector"] == named["vector"]) & rows["labelled"] & rows["id"].isNotNull(), "left")
-    return joined.select(
-        rows["id"],
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", rows["id"]).alias("component_id"),
+    return rows.join(named, ["space", "print0", "print1"], "left").select(
+        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
