@@ -161,7 +161,8 @@ def evolve(
     """The best packing, the crossovers it took, and the bins of the best start; a child replaces the worst."""
     least = -(-sum(lengths) // capacity)
     people = list(seeds)
-    while len(people) < POPULATION:
+    at_bound = any(len(p.bins) <= least for p in people)
+    while len(people) < POPULATION and not at_bound:
         people.append(best_fit(rng.permutation(len(lengths)).tolist(), lengths, capacity))
     score = [p.fitness(capacity) for p in people]
     start, done, idle = -max(score)[0], 0, 0

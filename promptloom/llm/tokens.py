@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 
 # Where the tokenizer cuts a lower-case Latin text besides white space, fixed by the
 # vocabulary file: contractions, runs of neither letters nor numbers, single numbers.
-CUT = re.compile(r"('(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+|[\d²³¹¼½¾])")
+CUT = r"('(?:s|t|re|ve|m|ll|d)|[^\x09-\x0D\x20\p{L}\p{N}]+|[0-9²³¹¼½¾])"
 # What only the tokenizer itself can normalise: beyond Latin letters, İ, and marks of special tokens.
 ODD = r"[^\x09-\x0D\x20-\x7E\x{A1}-\x{12F}\x{131}-\x{24F}]|<\|"
 # Parts kept in each of the two generations of the cache.
@@ -97,8 +96,7 @@ class PartTokenizer:
     def _block(self, texts: pa.Array) -> Iterator[bytes]:
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-        spaced = [CUT.sub(r" \1 ", t) for t in pc.utf8_lower(plain).to_pylist()]
-        lists = pc.ascii_split_whitespace(pa.array(spaced, pa.large_string()))
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(plain), CUT, r" \1 "))
         bounds = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         ids = pa.array(self._of(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
