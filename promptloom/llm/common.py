@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+# Paths of this session's staged tables, in order.
+STAGED: list[str] = []
+
+
+def drop_staged(since: int, keep: int = 0) -> None:
+    """Delete the staged tables from number ``since`` on, but for the last ``keep``; nothing may read them any more."""
+    gone = STAGED[since : len(STAGED) - keep]
+    for path in gone:
+        where, folder = fs.FileSystem.from_uri(path)
+        where.delete_dir(folder)
+    del STAGED[since : len(STAGED) - keep]
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -48,6 +62,7 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

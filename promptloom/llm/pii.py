@@ -457,13 +457,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
     """``docs`` with personal data in the text replaced; null texts stay null, rows without any stay as they are."""
     kinds = (*KINDS, LEARNED)
     hits = spans(docs, id_col, text_col, **bounds).where(" + ".join(f"size({k})" for k in kinds) + " > 0")
-    hits = hits.dropDuplicates(["doc_id", "text_hash"]).select(
-        F.struct("doc_id", "text_hash").alias("__key"), F.struct(*kinds).alias("__found")
-    )
+    hits = hits.dropDuplicates(["doc_id", "text_hash"]).select(F.struct("doc_id", "text_hash").alias("own"), F.struct(*kinds).alias("found"))
     text = F.col(text_col).cast("string")
-    key = F.struct(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash")
-    )
-    joined = docs.withColumn("__own", key).join(hits, F.col("__own") == F.col("__key"), "left")
-    new = F.when(F.col("__found").isNull(), text).otherwise(masked(text, {k: F.col(f"__found.{k}") for k in kinds}))
-    return joined.select([new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    own = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), own.alias("own"))
+    joined = rows.join(hits, "own", "left")
+    new = F.when(F.col("found").isNull(), F.col("text")).otherwise(masked(F.col("text"), {k: F.col(f"found.{k}") for k in kinds}))
+    return joined.select([new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -229,11 +229,11 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     found = judged(docs, labels, id_col, text_col, stratum).where("kept")
-    keep = found.select(F.struct("doc_id", "text_hash", "stratum").alias("__key")).distinct()
+    keep = found.select(F.struct("doc_id", "text_hash", "stratum").alias("own")).distinct()
     own = F.struct(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
         F.col(stratum).cast("string").alias("stratum"),
     )
-    kept = docs.withColumn("__own", own).join(keep, F.col("__own") == F.col("__key"), "left_semi")
-    return kept.select([F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("own"))
+    return rows.join(keep, "own", "left_semi").select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
