@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import stage, table
+from promptloom.llm.common import STAGED, drop_staged, stage, table
 from promptloom.llm.mixing import training_order
 from promptloom.llm.packing import pack_in_order
 from promptloom.llm.pii import redact
@@ -61,8 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for number, (_, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = stage(docs, "pipeline")
-    return docs
+    begun = len(STAGED)
+    for _, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), "pipeline")
+        # What the stage was worked out from is of no use once it is written.
+        drop_staged(begun, keep=1)
+    return STAGES[-1][1](spark, docs, sf_dir)
