@@ -44,3 +44,28 @@ def model(model_id: str) -> tuple:
         if m[0] == model_id:
             return m
     raise KeyError(f"unknown model {model_id!r}; known: {', '.join(m[0] for m in MODELS)}")
+
+
+def key_name(model_id: str) -> str:
+    """The environment variable that holds the key of a model's provider."""
+    return f"{model(model_id)[1].upper()}_API_KEY"
+
+
+# Share of a prompt that a local model keeps at each level. Fixed values.
+KEEP_RATE = {"light": 0.85, "balanced": 0.65, "aggressive": 0.45}
+
+# Wordings that look like filler and aren't: (wording, why it stays, prompt). No rule may touch these prompts.
+DISCARDED = (
+    ("step by step", "asks the model to reason", "Work it out step by step."),
+    ("make sure to", "states a requirement", "Make sure to check the date."),
+    ("always", "says how strict a requirement is", "Always give a title."),
+    ("note that", "leads in a constraint", "Note that keys are case-sensitive."),
+    ("detailed", "asks for depth", "Give a detailed answer."),
+    ("a repeated sentence", "is reported for merging, never dropped", "Give a title. Be brief. Give a title."),
+    ("feel free to", "gives leave, no order", "Feel free to ask back."),
+    ("if possible", "makes an order conditional", "If possible, name the source."),
+    ("thank you", "is a whole sentence", "Name the source.\nThank you."),
+    ("in a clear manner", "states a form of output", "Answer in a clear manner."),
+    ("the following are", "leaves a fragment behind", "The following are the steps:"),
+    ("you are required to", "says how strict a requirement is", "You are required to name the source."),
+)

@@ -90,3 +90,17 @@ def exported(form: str, source: Column, output: Column, level: Column) -> Column
     if form == "json":
         return F.concat(F.to_json(F.struct(source.alias("input"), output.alias("output"), level.alias("level")), {"pretty": "true"}), F.lit("\n"))
     return F.when(F.coalesce(output, F.lit("")) != "", output).otherwise(source)
+
+
+# Kinds of exported files. Fixed values.
+MIME = {"txt": "text/plain", "md": "text/markdown", "json": "application/json"}
+
+
+def export_name(form: str, stem: str = "prompt") -> str:
+    """The file name of an export; KeyError for an unknown form."""
+    return f"{stem}.{form}" if MIME[form] else stem
+
+
+def is_batch(text: Column) -> Column:
+    """Whether a text holds more than one prompt."""
+    return F.size(batch(text)) > 1

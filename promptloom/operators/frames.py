@@ -112,6 +112,16 @@ def with_duplicates(docs: DataFrame, text: str = "text", threshold: float = ledg
     return _columns(docs, [text], f"duplicates array<{GROUP}>", lambda t: (ledger.duplicates(ledger.extract(t), threshold),))
 
 
+def with_ledger(docs: DataFrame, original: str = "text", rewritten: str = "output") -> DataFrame:
+    """Adds constraints, checks and duplicates from one inventory of each prompt."""
+
+    def work(a: str, b: str) -> tuple:
+        found, checks, groups = ledger.build(a, b)
+        return [vars(c) for c in found], [_check(k) for k in checks], groups
+
+    return _columns(docs, [original, rewritten], f"constraints array<{CONSTRAINT}>, checks array<{CHECK}>, duplicates array<{GROUP}>", work)
+
+
 def with_restored(docs: DataFrame, original: str = "text", rewritten: str = "output") -> DataFrame:
     """Adds ``restored``: ``rewritten`` with the sentences of its lost critical constraints put back."""
 

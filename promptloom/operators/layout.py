@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from typing import NamedTuple
 
 from ..functions import patterns
@@ -45,7 +46,9 @@ def markers(text: str) -> list[Marker]:
     found = regions(text)
     skipped = Cover([r[:2] for r in found if r.kind in ("example", "code-fence")])
     raw = []
-    for row in lines(text):
+    rows = lines(text)
+    starts = [row.start for row in rows]
+    for row in rows:
         if m := SIGN["section label"].match(row.text):
             raw.append((row.start, row.start + m.end(), "section", m[0].strip()))
     for label, kind in SCANNED:
@@ -55,7 +58,7 @@ def markers(text: str) -> list[Marker]:
     for start, end, kind, said in sorted(raw, key=lambda x: (x[0], ORDER.index(x[2]))):
         if not skipped.holds(start) and not taken.meets(start, end):
             taken.add(start, end)
-            out.append(Marker(kind, said, start, end, text.count("\n", 0, start)))
+            out.append(Marker(kind, said, start, end, bisect_right(starts, start) - 1))
     return out
 
 

@@ -282,6 +282,12 @@ def duplicates(constraints: list[Constraint], threshold: float = SIMILAR) -> lis
     return sorted(groups, key=lambda g: g["start"])
 
 
+def build(original: str, rewritten: str, constraints: list[Constraint] | None = None, exclude: frozenset[str] = frozenset()) -> tuple[list[Constraint], list[Check], list[dict]]:
+    """The constraints, their checks and the repeated ones, from one inventory."""
+    found = extract(original, exclude=exclude) if constraints is None else constraints
+    return found, verify(original, rewritten, found), duplicates(found)
+
+
 def restore(original: str, rewritten: str, constraint: Constraint) -> str:
     """Put a lost constraint's sentence back next to the nearest neighbour that survived."""
     sentence = constraint.sentence.strip(BLANK)

@@ -388,6 +388,36 @@ def whitespace_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.with_rewrite(given, "light").select("event_id", "output")
 
 
+# What the prompts' template gives, piece by piece.
+_FIRST = "split_part(text, chr(10), 1)"
+_DATE = "split_part(text, chr(10), 2)"
+_STABLE = "split_part(text, chr(10), 3) || chr(10)"
+_VARIED = f"{_FIRST} || chr(10) || {_DATE} || chr(10) || substr(text, strpos(text, 'User: what'))"
+_BALANCED = "replace(replace(text, 'Please process', 'Process'), ' in order to ', ' to ')"
+_MONTH = "{0} / 1e6 * 5 * 1000 * 30"
+_STATED_ROWS = [
+    ("prohibition", "critical", 'prohibition ("never")', "'Never exceed 5 retries'", "'Never exceed 5 retries.'"),
+    ("quantity", "critical", "count", "'5 retries'", "'Never exceed 5 retries.'"),
+    ("requirement", "critical", 'requirement ("must")', "'must answer in JSON for user_id ' || user_id", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("format", "critical", "output shape", "'answer in JSON'", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("format", "critical", "serialisation format", "'in JSON'", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("entity", "minor", "identifier", "'user_id'", "'You must answer in JSON for user_id ' || user_id || '.'"),
+    ("quantity", "critical", "date", "strftime(ts, '%Y-%m-%d')", "'Current date: ' || strftime(ts, '%Y-%m-%d')"),
+    ("literal", "critical", "URL", "'https://example.org/e/' || event_id", "'See https://example.org/e/' || event_id || '.'"),
+    ("variable", "critical", "template variable", "'{{topic}}'", "'User: what about {{topic}}?'"),
+    ("literal", "critical", "JSON string", "'\"k\"'", "'Props: ' || props"),
+]
+_STATED = (
+    "stated AS ("
+    + " UNION ALL ".join(
+        f"SELECT event_id, text, {_value(t)} AS type, {_value(s)} AS severity, {_value(label)} AS label, {anchor} AS anchor, {sentence} AS sentence FROM whole"
+        for t, s, label, anchor, sentence in _STATED_ROWS
+    )
+    + "), placed AS (SELECT *, strpos(text, anchor) - 1 AS start, strpos(text, anchor) - 1 + length(anchor) AS \"end\" FROM stated)"
+)
+_STATED = "whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)), " + _STATED
+
+
 # Batches, markers, counts.
 
 
@@ -408,6 +438,50 @@ def batch_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
+_KEPT = "'Never exceed 5 retries of ' || event_type || '.'"
+
+
+@query(
+    "WITH rows_of AS (SELECT event_id, 1 AS index, 'Please open ' || event_type || ' now.' AS preview, 'Open ' || event_type || ' now.' AS output, 0 AS critical FROM events "
+    f"UNION ALL SELECT event_id, 2, {_KEPT}, {_KEPT}, 2 FROM events), counted AS (SELECT *, {_TOKENS.format('preview')} AS tokens_before, {_TOKENS.format('output')} AS tokens_after FROM rows_of) "
+    "SELECT event_id, index, preview, tokens_before, tokens_after, CAST(floor((tokens_before - tokens_after) / tokens_before * 100 + 0.5) AS INTEGER) AS percent, "
+    "critical AS critical_kept, critical AS critical_total, 0 AS blocked, output FROM counted"
+)
+def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Please open "), "event_type", F.lit(" now.\n\n---\nNever exceed 5 retries of "), "event_type", F.lit("."))
+    given = spread(table(spark, sf_dir, "events").select("event_id", "event_type")).select("event_id", text.alias("text"))
+    return reports.batch_rows(given).drop("text")
+
+
+@query(
+    f"WITH {PROMPTS}, {_STATED}, keyed AS (SELECT event_id, type, anchor, array_to_string({_tokens_sql('anchor')}, ' ') AS tokens FROM placed WHERE type IN ('prohibition', 'requirement', 'format')) "
+    "SELECT type, tokens, COUNT(DISTINCT event_id) AS prompts, MIN(anchor) AS example FROM keyed GROUP BY type, tokens HAVING COUNT(DISTINCT event_id) >= 2"
+)
+def shared_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = frames.with_constraints(prompts(spark, sf_dir).select("event_id", "text"))
+    return reports.shared_demands(found.select(F.col("event_id").alias("id"), F.inline("constraints")))
+
+
+@query(
+    _CONSTRAINT_SQL + ", gold AS (SELECT type FROM dealt UNION ALL SELECT type FROM dealt WHERE event_id % 7 = 0) "
+    "SELECT type, COUNT(*) AS gold, (SELECT COUNT(*) FROM dealt d WHERE d.type = g.type) AS found, "
+    "round((SELECT COUNT(*) FROM dealt d WHERE d.type = g.type) / COUNT(*), 9) AS recall, 1.0::DOUBLE AS precision FROM gold g GROUP BY type"
+)
+def extractor_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _case_prompts(spark, sf_dir, _CONSTRAINT_ROWS, "type string, severity string, label string, " + _CUT)
+    gold = given.select(F.col("event_id").alias("id"), "type", cases.filled("it").alias("anchor"))
+    # Every seventh prompt has an annotation that nothing in it meets.
+    missed = gold.where("id % 7 = 0").withColumn("anchor", F.lit("words that stand nowhere"))
+    found = _case_constraints(spark, sf_dir).select(F.col("event_id").alias("id"), "type", "anchor")
+    return reports.accuracy(gold.unionByName(missed), found).withColumn("recall", F.round("recall", 9))
+
+
+@query(f"SELECT * FROM (VALUES {_rows([(w, p, p) for w, _, p in data.DISCARDED])}) t(wording, prompt, output)")
+def discarded_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.createDataFrame([(w, p) for w, _, p in data.DISCARDED], "wording string, prompt string")
+    return frames.with_rewrite(given, "aggressive", text="prompt", enforce=False).select("wording", "prompt", "output")
+
+
 _NAMES = ["{{today}}", "{req_id}", "${topic}", "{{user.timestamp}}", "[SESSION]"]
 
 
@@ -489,36 +563,6 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(reports.over_budget(_files(spark, sf_dir), 500))
 
 
-# What the prompts' template gives, piece by piece.
-_FIRST = "split_part(text, chr(10), 1)"
-_DATE = "split_part(text, chr(10), 2)"
-_STABLE = "split_part(text, chr(10), 3) || chr(10)"
-_VARIED = f"{_FIRST} || chr(10) || {_DATE} || chr(10) || substr(text, strpos(text, 'User: what'))"
-_BALANCED = "replace(replace(text, 'Please process', 'Process'), ' in order to ', ' to ')"
-_MONTH = "{0} / 1e6 * 5 * 1000 * 30"
-_STATED_ROWS = [
-    ("prohibition", "critical", 'prohibition ("never")', "'Never exceed 5 retries'", "'Never exceed 5 retries.'"),
-    ("quantity", "critical", "count", "'5 retries'", "'Never exceed 5 retries.'"),
-    ("requirement", "critical", 'requirement ("must")', "'must answer in JSON for user_id ' || user_id", "'You must answer in JSON for user_id ' || user_id || '.'"),
-    ("format", "critical", "output shape", "'answer in JSON'", "'You must answer in JSON for user_id ' || user_id || '.'"),
-    ("format", "critical", "serialisation format", "'in JSON'", "'You must answer in JSON for user_id ' || user_id || '.'"),
-    ("entity", "minor", "identifier", "'user_id'", "'You must answer in JSON for user_id ' || user_id || '.'"),
-    ("quantity", "critical", "date", "strftime(ts, '%Y-%m-%d')", "'Current date: ' || strftime(ts, '%Y-%m-%d')"),
-    ("literal", "critical", "URL", "'https://example.org/e/' || event_id", "'See https://example.org/e/' || event_id || '.'"),
-    ("variable", "critical", "template variable", "'{{topic}}'", "'User: what about {{topic}}?'"),
-    ("literal", "critical", "JSON string", "'\"k\"'", "'Props: ' || props"),
-]
-_STATED = (
-    "stated AS ("
-    + " UNION ALL ".join(
-        f"SELECT event_id, text, {_value(t)} AS type, {_value(s)} AS severity, {_value(label)} AS label, {anchor} AS anchor, {sentence} AS sentence FROM whole"
-        for t, s, label, anchor, sentence in _STATED_ROWS
-    )
-    + "), placed AS (SELECT *, strpos(text, anchor) - 1 AS start, strpos(text, anchor) - 1 + length(anchor) AS \"end\" FROM stated)"
-)
-_STATED = "whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)), " + _STATED
-
-
 @query(
     f"WITH {PROMPTS} SELECT event_id, 6 AS n, TRUE AS whole, 'json,url,variable' AS kinds FROM prompts"
 )

@@ -87,23 +87,28 @@ def analyse(
     return against_base(over_budget(priced, budget))
 
 
+def objections(files: DataFrame, gates: Iterable[str] = ("budget",)) -> DataFrame:
+    """(gate, path, by): a row per file that a gate objects to, and by how much."""
+    told = {"budget": ("over_budget", "over_by"), "regression": ("delta_tokens > 0", "delta_tokens"), "duplicates": ("size(duplicates) > 0", "size(duplicates)")}
+    if unknown := [g for g in gates if g not in told]:
+        raise ValueError(f"unknown gate {unknown[0]!r}")
+    each = [F.when(F.expr(told[g][0]), F.struct(F.lit(g).alias("gate"), F.expr(told[g][1]).cast("long").alias("by"))) for g in gates]
+    return files.select("path", F.inline(F.array_compact(F.array(*each)))).select("gate", "path", "by")
+
+
 def failures(files: DataFrame, gates: Iterable[str] = ("budget",)) -> list[str]:
-    """What the gates object to; names come from failing files only."""
-    said = []
+    """What the gates object to, for a command to print; ``objections`` is the table of it."""
+    gates, said = list(gates), []
     plural = lambda n, what: f"{n:,} {what}{'s' * (n != 1)}"
+    rows = objections(files, gates).orderBy("path").collect() if gates else []
     for gate in gates:
-        if gate == "budget":
-            names = [r["path"] for r in files.where("over_budget").select("path").orderBy("path").collect()]
-            said += [f"{plural(len(names), 'file')} over budget: {', '.join(names)}"] if names else []
-        elif gate == "regression":
-            grown = files.where("delta_tokens > 0").select("path", "delta_tokens").orderBy("path").collect()
-            names = [f"{r['path']} (+{r['delta_tokens']:,})" for r in grown]
-            said += [f"{plural(len(names), 'file')} grew against the base: {', '.join(names)}"] if names else []
-        elif gate == "duplicates":
-            n = files.agg(F.sum(F.size("duplicates"))).first()[0] or 0
-            said += [f"{plural(n, 'duplicated instruction')} detected"] if n else []
-        else:
-            raise ValueError(f"unknown gate {gate!r}")
+        own = [r for r in rows if r["gate"] == gate]
+        if own and gate == "budget":
+            said.append(f"{plural(len(own), 'file')} over budget: {', '.join(r['path'] for r in own)}")
+        elif own and gate == "regression":
+            said.append(f"{plural(len(own), 'file')} grew against the base: " + ", ".join(f"{r['path']} (+{r['by']:,})" for r in own))
+        elif own:
+            said.append(f"{plural(sum(r['by'] for r in own), 'duplicated instruction')} detected")
     return said
 
 
@@ -124,6 +129,40 @@ def bench(docs: DataFrame, levels: Iterable[str] = rewrite.LEVELS) -> DataFrame:
     )
 
 
+def batch_rows(docs: DataFrame, level: str = "balanced", text: str = "text") -> DataFrame:
+    """``docs`` with a row per prompt of their batches: index, preview, tokens before and after, percent saved, critical constraints kept, and output."""
+    each = docs.select("*", F.posexplode(T.batch(F.col(text))).alias("place", "prompt"))
+    out = frames.with_checks(frames.with_rewrite(each, level, text="prompt"), "prompt", "output")
+    critical = F.filter("checks", lambda k: k["severity"] == "critical")
+    before, after = F.col("tokens_before"), F.col("tokens_after")
+    found = out.withColumns(
+        {
+            "index": F.col("place") + 1,
+            "preview": T.preview(F.col("prompt")),
+            "tokens_before": T.estimated_tokens(F.col("prompt")),
+            "tokens_after": T.estimated_tokens(F.col("output")),
+            "critical_kept": F.size(F.filter(critical, lambda k: k["preserved"])),
+            "critical_total": F.size(critical),
+            "blocked": F.size("blocked"),
+        }
+    ).withColumn("percent", F.when(before > 0, F.floor((before - after) / before * 100 + 0.5)).otherwise(0).cast("int"))
+    names = ("index", "preview", "tokens_before", "tokens_after", "percent", "critical_kept", "critical_total", "blocked", "output")
+    return found.select(*[c for c in docs.columns if c not in names], *names)
+
+
+def joined_batch(outputs: Column) -> Column:
+    """The outputs of a batch as one text again."""
+    return F.array_join(outputs, "\n\n---\n\n")
+
+
+def shared_demands(constraints: DataFrame, least: int = 2) -> DataFrame:
+    """(type, tokens, prompts, example): demands that prompts share by tokens, of (id, type, anchor); corpus-wide, by an aggregation."""
+    kind = F.col("type").isin(*ledger.COMPARED)
+    keyed = constraints.where(kind).select("id", "type", "anchor", F.array_join(T.tokens(F.col("anchor")), " ").alias("tokens"))
+    found = keyed.groupBy("type", "tokens").agg(F.count_distinct("id").alias("prompts"), F.min("anchor").alias("example"))
+    return found.where(F.col("prompts") >= least)
+
+
 def accuracy(gold: DataFrame, found: DataFrame) -> DataFrame:
     """Recall and precision per type: anchors match if one holds the other, by tokens, in one prompt and type.
 
@@ -176,6 +215,15 @@ def agreement(own: Column, model: Column) -> Column:
     )
 
 
+def disagreements(checks: Column, verdicts: Column) -> Column:
+    """The checks whose verdict a model's (a map of constraint to kept or not) contradicts."""
+    return F.filter(checks, lambda k: agreement(k["preserved"], F.try_element_at(verdicts, k["id"])).isin("local-only", "model-only"))
+
+
+def critical_lost(checks: Column) -> Column:
+    return F.filter(checks, lambda k: (k["severity"] == "critical") & ~k["preserved"])
+
+
 def _payload(answer: str) -> dict:
     try:
         said = json.loads(answer)

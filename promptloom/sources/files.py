@@ -69,12 +69,29 @@ def with_base(files: DataFrame, base: DataFrame) -> DataFrame:
     return files.join(base.select("path", F.col("content").alias("base_content")), "path", "left")
 
 
+def _git(folder: str, *words: str) -> str | None:
+    """What a git command says, or None where it fails."""
+    done = subprocess.run(["git", "-C", folder, *words], capture_output=True, text=True)
+    return done.stdout if done.returncode == 0 else None
+
+
+def is_repository(folder: str) -> bool:
+    return (_git(folder, "rev-parse", "--is-inside-work-tree") or "").strip() == "true"
+
+
+def base_ref(folder: str, ref: str) -> tuple[str, str] | None:
+    """(name, commit) of a reference as it is here, else as origin has it, else None."""
+    for name in (ref, f"origin/{ref}"):
+        if commit := (_git(folder, "rev-parse", "--verify", "--quiet", f"{name}^{{commit}}") or "").strip():
+            return name, commit
+    return None
+
+
 def at_ref(folder: str, ref: str, path: str) -> str | None:
     """A file as a git reference has it, else as origin's has it, else None."""
     for name in (ref, f"origin/{ref}"):
-        done = subprocess.run(["git", "-C", folder, "show", f"{name}:{path}"], capture_output=True, text=True)
-        if done.returncode == 0:
-            return done.stdout
+        if (content := _git(folder, "show", f"{name}:{path}")) is not None:
+            return content
     return None
 
 
