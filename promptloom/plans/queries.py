@@ -459,7 +459,8 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shared_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = frames.with_constraints(prompts(spark, sf_dir).select("event_id", "text"))
-    return reports.shared_demands(found.select(F.col("event_id").alias("id"), F.inline("constraints")))
+    each = found.select("event_id", F.explode("constraints").alias("c"))
+    return reports.shared_demands(each.select(F.col("event_id").alias("id"), "c.type", "c.anchor"))
 
 
 @query(

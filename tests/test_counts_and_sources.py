@@ -48,7 +48,7 @@ def test_counts_by_a_service_fall_back(texts):
     for model in ("claude-opus-5", "gemini-2.5-pro"):
         got = said(texts, counting.counted(F.col("t"), model, service=lambda batch: [len(t) * 3 for t in batch]))
         assert got == [(len(t) * 3, True) if t else (0, False) for t in TEXTS]
-        for broken in (lambda batch: 1 / 0, lambda batch: [1], lambda batch: [None] * len(batch), lambda batch: ["x"] * len(batch)):
+        for broken in (lambda batch: 1 / 0, lambda batch: [1] * (len(batch) + 1), lambda batch: [None] * len(batch), lambda batch: ["x"] * len(batch)):
             assert said(texts, counting.counted(F.col("t"), model, service=broken)) == [(n, False) for n in want]
     with pytest.raises(KeyError):
         counting.counted(F.col("t"), "no such model")
@@ -74,7 +74,7 @@ def test_corpora_and_accuracy(spark, tmp_path):
     prompts, marks = corpora.read_numbered(spark, str(tmp_path)), corpora.read_annotations(spark, str(tmp_path))
     assert {r["id"] for r in prompts.collect()} == set(gold) and marks.count() == 4
     assert [r["anchor"] for r in corpora.misplaced(prompts, marks).collect()] == ["40 times"]
-    found = frames.with_constraints(prompts).select("id", F.inline("constraints")).select("id", "type", "anchor")
+    found = frames.with_constraints(prompts).select("id", F.explode("constraints").alias("c")).select("id", "c.type", "c.anchor")
     got = {r["type"]: (r["recall"], r["precision"]) for r in reports.accuracy(marks, found).collect() if r["gold"]}
     assert got == {"prohibition": (1.0, 1.0), "requirement": (1.0, 1.0), "quantity": (0.5, 1.0)}
 
