@@ -127,9 +127,16 @@ def signal(name: str) -> Column:
     }[name]
 
 
-def step(value: Column, grid: tuple[float, ...] = STEPS) -> Column:
-    """The number of ``grid``'s values, from the highest on, that are above ``value``."""
-    return F.size(F.filter(F.array(*[F.lit(g) for g in grid]), lambda g: g > value))
+def step(value: Column) -> Column:
+    """The number of a signal's steps, from the highest on, that are above ``value``."""
+    top, width = math.log(STEPS[0]), math.log(STEPS[0] / STEPS[-1]) / (len(STEPS) - 1)
+    above = F.ceil((F.lit(top) - F.log(value)) / width)
+    return F.when(value > 0, F.least(F.greatest(above, F.lit(0)), F.lit(len(STEPS)))).otherwise(len(STEPS)).cast("int")
+
+
+def grid_step(score: Column) -> Column:
+    """The number of cutoffs, from the strictest on, that don't reject ``score``."""
+    return F.size(F.filter(F.array(*[F.lit(g) for g in GRID]), lambda g: g > score))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -199,7 +206,7 @@ def cutoffs(rows: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Data
     """(stratum, cutoff) from labelled rows with a ``score``."""
     counts = (
         rows.where("NOT for_fit")
-        .groupBy("stratum", step(F.col("score"), GRID).alias("step"))
+        .groupBy("stratum", grid_step(F.col("score")).alias("step"))
         .agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
     )
     counts = stage(counts, "steps")
