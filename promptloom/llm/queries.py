@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .hardnegatives import hard_negatives
 from .licenses import scan
 from .mixing import curriculum, in_range, word_count
 from .neighbours import near_duplicates
 from .packing import pack_documents
 from .pii import KINDS, LEARNED, as_text, spans
+from .prefixes import prefix_trie
 from .quality import judged
 from .simhash import simhash_components
 from .toxicity import train_and_score
 from .urls import filter_urls
+from .votes import fit_and_score
 from .warc import read_archives, write_archives
 
 
@@ -106,6 +109,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    head = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie(table(spark, sf_dir, "conversations"), conv - conv % 5, head)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}
@@ -153,5 +171,64 @@ FROM demanded
 """
 
 
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, COALESCE(role, '') AS role, COALESCE(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY place) AS said FROM turns GROUP BY c
+), hashed AS (
+  SELECT c, said, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h
+  FROM own
+), rebuilt AS (
+  SELECT a.c, list_concat(COALESCE(b.said[1:a.h], []), a.said[a.h + 1:]) AS said
+  FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 5
+), members AS (
+  SELECT c, len(said) AS length, unnest(range(0, len(said) + 1)) AS depth, said FROM rebuilt
+), nodes AS (
+  SELECT said[1:depth] AS path, depth, min(c) AS owner, count(*) AS n,
+         COALESCE(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (length = depth), '') AS ends
+  FROM members GROUP BY 1, 2
+), weighed AS (
+  SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n - 1) * strlen(path[depth].text) END AS w FROM nodes
+), linked AS (
+  SELECT v.*, p.owner AS parent, p.depth AS parent_depth FROM weighed v LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.path = v.path[1:v.depth - 1]
+), kids AS (
+  SELECT parent AS owner, parent_depth AS depth, count(*) AS kids FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2
+), counted AS (
+  SELECT l.*, COALESCE(k.kids, 0) AS kids FROM linked l LEFT JOIN kids k USING (owner, depth)
+), below AS (
+  SELECT path[1:up] AS path, up AS depth, count(*) FILTER (kids = 0) AS leaves, sum(w) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM counted) x GROUP BY 1, 2
+)
+SELECT owner AS conv_id, CAST(depth AS BIGINT) AS depth, parent AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM counted JOIN below USING (path, depth)
+"""
+
+OP12_SQL = r"""
+WITH vectors AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+         list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.id % 100 = 0 AND a.id IS DISTINCT FROM b.id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL}
+    return {"op5_mixing": OP5_SQL, "op11_conversations": OP11_SQL, "op12_hard_negatives": OP12_SQL}
