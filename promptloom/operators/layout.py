@@ -54,10 +54,10 @@ def markers(text: str) -> list[Marker]:
     for label, kind in SCANNED:
         raw += [(m.start(), m.end(), kind, m[0]) for m in SIGN[label].finditer(text)]
     raw += [(r.start, r.end, variable_kind(text[r.start : r.end]), text[r.start : r.end]) for r in found if r.kind == "variable"]
-    taken, out = Cover(), []
+    last, out = 0, []
     for start, end, kind, said in sorted(raw, key=lambda x: (x[0], ORDER.index(x[2]))):
-        if not skipped.holds(start) and not taken.meets(start, end):
-            taken.add(start, end)
+        if not skipped.holds(start) and start >= last:
+            last = max(end, last)
             out.append(Marker(kind, said, start, end, bisect_right(starts, start) - 1))
     return out
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
 from ..functions import patterns
 from ..functions.dialect import compiled, needles
 from ..functions.vocabulary import FORMAT_NAMES, MEASURES, NO_NAMES, NO_UNITS, VERBS
+from .anchors import Anchors
 from .rewrite import SHIPPED, _filled
-from .scan import BLANK, Cover, Region, Span, regions, sentence_at, sentences
+from .scan import BLANK, Cover, Holders, Region, Span, regions, sentence_at, sentences, starts
 
 # Fixed values, in the order of reports.
 TYPES = ("prohibition", "requirement", "format", "quantity", "literal", "variable", "entity", "example", "instruction")
@@ -63,26 +67,37 @@ class Check:
     after: int
 
 
-def canonical(text: str) -> str:
-    """Lower-cased ASCII quotes and dashes, equivalents replaced, fillers gone."""
-    out = text.translate(ASCII).lower()
+def _replaced(lowered: str) -> str:
     for pattern, words, new in REPLACED:
         # A pattern is tried only where a word that all its matches hold stands.
-        if any(w in out for w in words):
-            out = pattern.sub(new, out)
-    return out
+        if any(w in lowered for w in words):
+            lowered = pattern.sub(new, lowered)
+    return lowered
 
 
-def _tokens(text: str) -> tuple[str, ...]:
-    return tuple(TOKEN.findall(canonical(text)))
+def canonical(text: str) -> str:
+    """Lower-cased ASCII quotes and dashes, equivalents replaced, fillers gone."""
+    return _replaced(text.translate(ASCII).lower())
+
 
+# No equivalent, filler or token holds one of these, so what stands between two of them is reduced by itself.
+BARRIER = re.compile(r"[.,;:!?\n]+")
 
-_short_tokens = lru_cache(maxsize=1 << 14)(_tokens)
+
+def _piece_tokens(lowered: str) -> tuple[str, ...]:
+    return tuple(TOKEN.findall(_replaced(lowered)))
+
+
+_short_piece_tokens = lru_cache(maxsize=1 << 16)(_piece_tokens)
 
 
 def tokens(text: str) -> list[str]:
-    """What is compared: the words of the canonical text, and % $ # by themselves."""
-    return list(_short_tokens(text) if len(text) <= LONGEST else _tokens(text))
+    """What is compared: the words of the canonical text, and % $ # by themselves. Pieces that come again are not worked out again."""
+    out: list[str] = []
+    for piece in BARRIER.split(text.translate(ASCII).lower()):
+        if piece:
+            out += _short_piece_tokens(piece) if len(piece) <= LONGEST else _piece_tokens(piece)
+    return out
 
 
 def places(within: list[str], sought: list[str]) -> list[int]:
@@ -91,7 +106,7 @@ def places(within: list[str], sought: list[str]) -> list[int]:
     return [i for i in range(len(within) - n + 1) if within[i : i + n] == sought] if n else []
 
 
-def similarity(a: list[str], b: list[str]) -> float:
+def similarity(a: Iterable[str], b: Iterable[str]) -> float:
     x, y = set(a), set(b)
     return len(x & y) / len(x | y) if x and y else 0.0
 
@@ -103,7 +118,8 @@ class _Inventory:
         self.text, self.regions = text, found
         self.cover = Cover([r[:2] for r in found])
         self.sentences = sentences(text, found)
-        self.fillers = [m.span() for f in FILLERS_ANY_CASE for m in f.finditer(text)]
+        self.begins = starts(self.sentences)
+        self.fillers = Holders([m.span() for f in FILLERS_ANY_CASE for m in f.finditer(text)])
         self.out: list[tuple[str, int, int, str, bool]] = []
         self.named: set[str] = set()
 
@@ -112,7 +128,10 @@ class _Inventory:
         return [m for m in spans if not self.cover.meets(m.start(), m.end())]
 
     def framed(self, m) -> bool:
-        return any(a <= m.start() and m.end() <= b for a, b in self.fillers)
+        return self.fillers.hold(*m.span())
+
+    def sentence_at(self, point: int) -> Span | None:
+        return sentence_at(self.sentences, point, self.begins)
 
     def add(self, kind: str, start: int, end: int, label: str, trim: bool = True) -> None:
         self.out.append((kind, start, end, label, trim))
@@ -130,7 +149,7 @@ class _Inventory:
         for kind in ("prohibition", "requirement"):
             taken = []
             for m in self.hits(MARK[kind]):
-                sentence = sentence_at(self.sentences, m.start())
+                sentence = self.sentence_at(m.start())
                 if sentence is None or self.framed(m) or claimed.meets(m.start(), m.end()):
                     continue
                 taken.append(m.span())
@@ -140,21 +159,20 @@ class _Inventory:
 
     def formats_and_quantities(self) -> None:
         shaped: list[tuple[int, int]] = []
-
-        def inside(m) -> bool:
-            return any(a <= m.start() and m.end() <= b for a, b in shaped)
-
         for label, pattern, flags in patterns.FORMATS:
+            # One pattern's matches are apart, so only those of earlier ones can hold a match.
+            earlier = Holders(shaped)
             for m in self.hits(compiled(pattern, flags)):
                 head = HEAD.search(m[0])
                 measure = label == "output budget" and head is not None and head[1].lower() in MEASURES
-                if not (inside(m) or self.framed(m) or measure):
+                if not (earlier.hold(*m.span()) or self.framed(m) or measure):
                     shaped.append(m.span())
                     self.add("format", *m.span(), label)
+        within = Holders(shaped)
         for label, pattern, flags in patterns.QUANTITIES:
             for m in self.hits(compiled(pattern, flags)):
                 unit = UNIT.search(m[0]) if label == "count" else None
-                if not (unit is not None and unit[1] in NO_UNITS or inside(m) or self.framed(m)):
+                if not (unit is not None and unit[1] in NO_UNITS or within.hold(*m.span()) or self.framed(m)):
                     self.add("quantity", *m.span(), label)
 
     def first_named(self, word: str) -> bool:
@@ -185,7 +203,7 @@ class _Inventory:
         for m in self.hits(MARK["proper noun"]):
             if m[0] in NO_NAMES or m[0].lower() in self.named:
                 continue
-            sentence = sentence_at(self.sentences, m.start())
+            sentence = self.sentence_at(m.start())
             opens = sentence is not None and sentence.start + _lead(sentence.text) == m.start()
             if not opens and self.first_named(m[0]):
                 self.add("entity", *m.span(), "proper noun")
@@ -209,7 +227,7 @@ class _Inventory:
             name = f"{kind}:{start}-{end}"
             if end <= start or name in found or not tokens(anchor):
                 continue
-            s = sentence_at(self.sentences, start) or Span(anchor, start, end)
+            s = self.sentence_at(start) or Span(anchor, start, end)
             severity = "critical" if kind in CRITICAL else "minor"
             found[name] = Constraint(name, kind, severity, anchor, start, end, s.text, s.start, s.end, label)
         return sorted(found.values(), key=lambda c: (c.start, c.end))
@@ -227,16 +245,30 @@ def extract(text: str, found: list[Region] | None = None, exclude: frozenset[str
     return one.constraints(exclude)
 
 
+class Ledger:
+    """The constraints of one prompt, ready to be checked against any number of rewrites of it."""
+
+    def __init__(self, original: str, constraints: list[Constraint]):
+        self.original, self.constraints = original, constraints
+        self.sought = [tuple(tokens(c.anchor)) for c in constraints]
+        self.anchors = Anchors(self.sought)
+        self.tokens = tokens(original)
+        self.before = self.anchors.counts(self.tokens)
+
+    def checks(self, rewritten: str) -> list[Check]:
+        after = self.tokens if rewritten == self.original else tokens(rewritten)
+        found, out = self.before if after is self.tokens else self.anchors.counts(after), []
+        for c, anchor in zip(self.constraints, self.sought, strict=True):
+            (was, _), (now, first) = (self.before[anchor], found[anchor]) if anchor else ((0, -1), (0, -1))
+            kept = now >= max(was, 1)
+            evidence = " ".join(after[max(0, first - CONTEXT) : first + len(anchor) + CONTEXT]) if kept else None
+            out.append(Check(c, kept, evidence, was, now))
+        return out
+
+
 def verify(original: str, rewritten: str, constraints: list[Constraint]) -> list[Check]:
     """A constraint is kept if its tokens stand at least as often as before, and at least once."""
-    before, after, out = tokens(original), tokens(rewritten), []
-    for c in constraints:
-        anchor = tokens(c.anchor)
-        was, now = len(places(before, anchor)), places(after, anchor)
-        kept = bool(anchor) and len(now) >= max(was, 1)
-        around = after[max(0, now[0] - CONTEXT) : now[0] + len(anchor) + CONTEXT] if kept else []
-        out.append(Check(c, kept, " ".join(around) if kept else None, was, len(now)))
-    return out
+    return Ledger(original, constraints).checks(rewritten)
 
 
 def summary(checks: list[Check]) -> dict:
@@ -258,16 +290,40 @@ def by_type(checks: list[Check]) -> list[tuple[str, int, int]]:
     return [(t, kept[t], total[t]) for t in TYPES if total[t]]
 
 
+def _near(own: frozenset[str], held: dict[str, list[int]], sets: list[frozenset[str]], threshold: float) -> list[int]:
+    """Items that may be as similar as ``threshold``: they share one of the rarest tokens of ``own``, of which too few are left otherwise."""
+    if threshold <= 0:
+        return list(range(len(sets)))
+    by_rarity = sorted(own, key=lambda w: (len(held[w]), w))
+    some = by_rarity[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]
+    return sorted({i for w in some for i in held[w]})
+
+
 def duplicates(constraints: list[Constraint], threshold: float = SIMILAR) -> list[dict]:
     """Groups of one type: each unclaimed seed takes later ones that are similar to it and don't overlap it."""
     groups = []
     for kind in COMPARED:
         pool = [(c, t) for c in constraints if c.type == kind and len(t := tokens(c.anchor)) >= FEWEST_TOKENS]
-        while pool:
-            (seed, own), *rest = pool
-            scored = [(c, t, 0.0 if c.start < seed.end and seed.start < c.end else similarity(own, t)) for c, t in rest]
-            near = [(c, s) for c, _, s in scored if s >= threshold]
-            pool = [(c, t) for c, t, s in scored if s < threshold]
+        sets = [frozenset(t) for _, t in pool]
+        held: dict[str, list[int]] = {}
+        for i, own in enumerate(sets):
+            for w in own:
+                held.setdefault(w, []).append(i)
+        claimed = [False] * len(pool)
+        near_to: dict[frozenset[str], list[int]] = {}
+        for i, (seed, _) in enumerate(pool):
+            if claimed[i]:
+                continue
+            claimed[i] = True
+            near = []
+            if sets[i] not in near_to:
+                near_to[sets[i]] = [j for j in _near(sets[i], held, sets, threshold) if similarity(sets[i], sets[j]) >= threshold]
+            for j in near_to[sets[i]]:
+                c = pool[j][0]
+                score = 0.0 if c.start < seed.end and seed.start < c.end else similarity(sets[i], sets[j])
+                if j > i and not claimed[j] and score >= threshold:
+                    claimed[j] = True
+                    near.append((c, score))
             if near:
                 members = [seed, *(c for c, _ in near)]
                 groups.append(

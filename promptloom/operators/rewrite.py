@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
@@ -142,11 +143,30 @@ class Rewritten:
     constraints: list | None
     checks: list | None
     regions: list[Region]
+    # Rounds in which the ledger took changes back.
+    rounds: int = 0
 
 
 ROUNDS = 5
 
 
+def _overlapping(changes: list[Change], begins: list[int], start: int, end: int) -> list[Change]:
+    """Of changes that are apart and in order, those that share a character with a stretch."""
+    first = bisect_right(begins, start) - 1
+    first = first if first >= 0 and changes[first].end > start else first + 1
+    return changes[first : bisect_left(begins, end)] if start < end else []
+
+
+def _blamed(changes: list[Change], lost: list) -> dict[Change, list[str]]:
+    """The changes in each lost constraint's anchor, or else in its sentence, with the constraints' ids."""
+    begins, blame = [c.start for c in changes], {}
+    for c in lost:
+        near = _overlapping(changes, begins, c.start, c.end) or _overlapping(changes, begins, c.sentence_start, c.sentence_end)
+        for x in near:
+            blame.setdefault(x, []).append(c.id)
+    return blame
+
+
 def rewrite(
     text: str,
     level: str,
@@ -156,7 +176,7 @@ def rewrite(
     constraints: list | None = None,
 ) -> Rewritten:
     """Rewrite one prompt; with ``enforce`` (by itself at aggressive), changes that lose a critical constraint go."""
-    from .ledger import extract, verify
+    from .ledger import Ledger, extract
 
     found = regions(text)
     kept = select(text, level, found, rules, disabled)
@@ -164,23 +184,21 @@ def rewrite(
         changes = capitalise(text, kept, found)
         return Rewritten(apply(text, changes), changes, [], None, None, found)
     inventory = extract(text, found) if constraints is None else constraints
-    critical = [c for c in inventory if c.severity == "critical"]
+    # The prompt's own tokens and the index of its anchors serve all rounds.
+    kept_by = Ledger(text, inventory)
     blocked: list[Change] = []
-    for _ in range(ROUNDS if critical and kept else 0):
-        lost = [k.constraint for k in verify(text, apply(text, capitalise(text, kept, found)), critical) if not k.preserved]
-        blame: dict[Change, list[str]] = {}
-        for c in lost:
-            near = [x for x in kept if x.start < c.end and c.start < x.end]
-            near = near or [x for x in kept if x.start < c.sentence_end and c.sentence_start < x.end]
-            for x in near:
-                blame.setdefault(x, []).append(c.id)
+    rounds = 0
+    while True:
+        changes = capitalise(text, kept, found)
+        output = apply(text, changes)
+        checks = kept_by.checks(output)
+        lost = [k.constraint for k in checks if not k.preserved and k.constraint.severity == "critical"]
+        blame = _blamed(kept, lost) if kept and rounds < ROUNDS else {}
         if not blame:
-            break
+            return Rewritten(output, changes, sorted(blocked, key=lambda b: b.start), inventory, checks, found, rounds)
+        rounds += 1
         blocked += [replace(x, constraint_ids=tuple(dict.fromkeys(ids))) for x, ids in blame.items()]
         kept = [x for x in kept if x not in blame]
-    changes = capitalise(text, kept, found)
-    output = apply(text, changes)
-    return Rewritten(output, changes, sorted(blocked, key=lambda b: b.start), inventory, verify(text, output, inventory), found)
 
 
 def diff_items(text: str, changes: list[Change], blocked: list[Change] = (), disabled: Iterable[str] = ()) -> list[dict]:

@@ -5,8 +5,8 @@ All offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-import json
-from bisect import bisect_right, insort
+import re
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 from ..functions import patterns
@@ -36,17 +36,28 @@ class Cover:
     def __init__(self, spans: list[tuple[int, int]] = ()):
         self.spans = sorted(spans)
 
-    def add(self, start: int, end: int) -> None:
-        insort(self.spans, (start, end))
-
     def meets(self, start: int, end: int) -> bool:
-        at = bisect_right(self.spans, (end, -1))
+        at = bisect_left(self.spans, (end, -1))
         return at > 0 and self.spans[at - 1][1] > start and self.spans[at - 1][0] < end
 
     def holds(self, point: int) -> bool:
         return self.meets(point, point + 1)
 
 
+class Holders:
+    """Intervals, which may overlap, asked whether one of them holds a span."""
+
+    def __init__(self, spans: list[tuple[int, int]] = ()):
+        self.starts, self.furthest = [], []
+        for start, end in sorted(spans):
+            self.starts.append(start)
+            self.furthest.append(max(end, self.furthest[-1]) if self.furthest else end)
+
+    def hold(self, start: int, end: int) -> bool:
+        at = bisect_right(self.starts, start)
+        return at > 0 and self.furthest[at - 1] >= end
+
+
 def lines(text: str) -> list[Span]:
     out, at = [], 0
     for line in text.split("\n"):
@@ -110,24 +121,102 @@ def _tables(rows: list[Span]) -> list[Region]:
     return out
 
 
-def _refuse(_: str) -> None:
-    raise ValueError("not JSON")
-
-
-READ = json.JSONDecoder(parse_constant=_refuse, parse_int=len, parse_float=len)
-OPENS = compiled(r"[{[]")
+OPENS = re.compile(r"[{[]")
+BLANKS = re.compile(r"[ \t\n\r]*")
+ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null")
+IN_STRING = re.compile(r'["\\\x00-\x1f]')
+ESCAPE = re.compile(r'\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})')
+CLOSES = {"[": "]", "{": "}"}
+
+
+class _Json:
+    """Ends of the JSON values in a text. Each bracket and each escape is looked at once, whether it leads anywhere or not."""
+
+    def __init__(self, text: str):
+        self.text = text
+        # Of brackets and backslashes: where the value or string that goes on there ends; 0 if it doesn't.
+        self.values: dict[int, int] = {}
+        self.escapes: dict[int, int] = {}
+
+    def string_end(self, at: int) -> int:
+        """Where the string that has begun before ``at`` ends; 0 if it doesn't."""
+        met, end = [], 0
+        while m := IN_STRING.search(self.text, at):
+            if m[0] == '"':
+                end = m.end()
+                break
+            if m[0] != "\\":
+                break
+            if m.start() in self.escapes:
+                end = self.escapes[m.start()]
+                break
+            met.append(m.start())
+            if (escape := ESCAPE.match(self.text, m.start())) is None:
+                break
+            at = escape.end()
+        self.escapes.update(dict.fromkeys(met, end))
+        return end
+
+    def value_end(self, start: int) -> int:
+        """Where the array or object at ``start`` ends; 0 if there is none."""
+        text, done = self.text, self.values
+        # Open brackets, and for each whether it has a member yet.
+        stack: list[int] = [start]
+        filled = [False]
+        at = start + 1
+
+        def past_blanks(at: int) -> int:
+            return BLANKS.match(text, at).end() if text[at : at + 1].isspace() else at
+
+        while stack:
+            kind, at = text[stack[-1]], past_blanks(at)
+            mark = text[at : at + 1]
+            if mark == CLOSES[kind]:
+                done[stack.pop()] = at = at + 1
+                filled.pop()
+                if filled:
+                    filled[-1] = True
+                continue
+            if filled[-1]:
+                if mark != ",":
+                    break
+                at = past_blanks(at + 1)
+            if kind == "{":
+                if text[at : at + 1] != '"' or not (at := self.string_end(at + 1)):
+                    break
+                at = past_blanks(at)
+                if text[at : at + 1] != ":":
+                    break
+                at = past_blanks(at + 1)
+            mark = text[at : at + 1]
+            if mark == '"':
+                at = self.string_end(at + 1)
+            elif mark in CLOSES:
+                if at not in done:
+                    stack.append(at)
+                    filled.append(False)
+                    at += 1
+                    continue
+                at = done[at]
+            else:
+                m = ATOM.match(text, at)
+                at = m.end() if m else 0
+            if not at:
+                break
+            filled[-1] = True
+        # What is still open leads nowhere, from whichever bracket one starts.
+        done.update(dict.fromkeys(stack, 0))
+        return done[start]
 
 
 def _json(text: str) -> list[Region]:
-    out, at = [], 0
+    found, out, at = _Json(text), [], 0
     while m := OPENS.search(text, at):
-        at = m.start() + 1
-        try:
-            _, end = READ.raw_decode(text, m.start())
-        except (ValueError, RecursionError):
-            continue
-        if end - m.start() >= 4:
-            out.append(Region(m.start(), end, "json"))
+        start = m.start()
+        end = found.values[start] if start in found.values else found.value_end(start)
+        at = start + 1
+        if end - start >= 4:
+            out.append(Region(start, end, "json"))
             at = end
     return out
 
@@ -145,11 +234,17 @@ def regions(text: str) -> list[Region]:
             end = m.start() + len(m[0].rstrip(URL_TAIL)) if kind == "url" else m.end()
             if end > m.start():
                 found.append(Region(m.start(), end, kind))
-    taken, out = Cover(), []
-    for region in sorted(found, key=lambda r: (KINDS.index(r.kind), r.start, -r.end)):
-        if not taken.meets(region.start, region.end):
-            taken.add(region.start, region.end)
-            out.append(region)
+    out: list[Region] = []
+    by_kind: dict[str, list[Region]] = {}
+    for region in found:
+        by_kind.setdefault(region.kind, []).append(region)
+    for kind in KINDS:
+        # Against earlier kinds by bisection, and against its own by the last one's end.
+        taken, last = Cover([r[:2] for r in out]), 0
+        for region in sorted(by_kind.get(kind, ()), key=lambda r: (r.start, -r.end)):
+            if region.start >= last and not taken.meets(region.start, region.end):
+                out.append(region)
+                last = region.end
     return sorted(out)
 
 
@@ -169,16 +264,21 @@ def segments(text: str, found: list[Region] | None = None) -> list[tuple[str, st
 END = compiled(patterns.SENTENCE_END)
 # Words before a full stop that don't end a sentence. Fixed values.
 SHORT = frozenset("e.g i.e etc vs no fig approx cf al".split())
-LIST_NUMBER = compiled(r"^\s*\d+$")
-LAST_WORD = compiled(r"([\p{L}.]+)$")
+LONGEST_SHORT = max(map(len, SHORT))
+LIST_NUMBER = compiled(r"\s*\d+")
+LETTER = compiled(r"\p{L}")
 
 
-def _is_short(line: str, at: int) -> bool:
+def _is_short(line: str, at: int, number_end: int) -> bool:
+    """Whether the stop at ``at`` ends no sentence: after a list number or a short form, of which only so many characters matter."""
     if line[at] != ".":
         return False
-    before = line[:at]
-    word = LAST_WORD.search(before)
-    return bool(LIST_NUMBER.search(before)) or (word is not None and word[1].lower().removesuffix(".") in SHORT)
+    if at == number_end:
+        return True
+    start, least = at, max(0, at - LONGEST_SHORT - 2)
+    while start > least and (line[start - 1] == "." or LETTER.match(line[start - 1])):
+        start -= 1
+    return line[start:at].lower().removesuffix(".") in SHORT
 
 
 def sentences(text: str, found: list[Region] | None = None) -> list[Span]:
@@ -186,7 +286,9 @@ def sentences(text: str, found: list[Region] | None = None) -> list[Span]:
     out = []
     for row in lines(text):
         cuts = [m.start() for m in END.finditer(row.text)]
-        cuts = [c + 1 for c in cuts if not cover.holds(row.start + c) and not _is_short(row.text, c)]
+        number = LIST_NUMBER.match(row.text) if cuts else None
+        number_end = number.end() if number else -1
+        cuts = [c + 1 for c in cuts if not cover.holds(row.start + c) and not _is_short(row.text, c, number_end)]
         at = 0
         for cut in [*cuts, len(row.text)]:
             piece = row.text[at:cut]
@@ -197,6 +299,11 @@ def sentences(text: str, found: list[Region] | None = None) -> list[Span]:
     return out
 
 
-def sentence_at(all_of: list[Span], point: int) -> Span | None:
-    at = bisect_right([s.start for s in all_of], point) - 1
+def starts(all_of: list[Span]) -> list[int]:
+    return [s.start for s in all_of]
+
+
+def sentence_at(all_of: list[Span], point: int, begins: list[int] | None = None) -> Span | None:
+    """The sentence at an offset; ``begins`` are the ``starts``, for callers that ask more than once."""
+    at = bisect_right(starts(all_of) if begins is None else begins, point) - 1
     return all_of[at] if at >= 0 and point < all_of[at].end else None
