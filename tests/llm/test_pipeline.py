@@ -39,10 +39,10 @@ def test_run_and_registration(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if not n.startswith(("op11", "op12"))))
 def test_queries_keep_every_row(spark, name):
     table = {"op1": "pages", "op6": "pages", "op4": "embeddings"}.get(name.split("_")[0], "documents")
     got, rows = queries.queries()[name](spark, SF), spark.read.parquet(f"{SF}/{table}.parquet").count()
