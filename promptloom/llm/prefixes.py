@@ -26,7 +26,7 @@ empty one, without a root; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -117,48 +117,66 @@ def prefixes(rows: DataFrame) -> DataFrame:
     return here.select("conv", "depth", "last", "bytes", upto["bytes"].alias("cum"), *names)
 
 
-def _rows_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
 
+def _batches(rows: Iterator[tuple], names: list[str], size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """Rows of longs, but for a last column of bytes or text, in batches of about ``CHUNK`` bytes."""
+    held, filled = [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True))
+        last = pa.binary() if isinstance(columns[-1][0], bytes) else pa.string()
+        kinds = [pa.int64()] * (len(names) - 1) + [last]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    for row in rows:
+        held.append(row)
+        filled += size(row)
+        if filled >= CHUNK:
+            yield batch()
+            held, filled = [], 0
+    if held:
+        yield batch()
+
+
 def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (node, conv) rows to (node, first, ids) chunks."""
-    names, key, ids, size = [*NODE, "first", "ids"], None, [], 0
 
-    def chunk() -> pa.RecordBatch:
-        values = [*key, ids[0], ",".join(map(str, ids)).encode()]
-        return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], names=names)
+    def chunks() -> Iterator[tuple]:
+        key, ids, size = None, [], 0
+        for *own, conv in _rows(batches):
+            if ids and (own != key or size >= CHUNK):
+                yield (*key, int(ids[0]), ",".join(ids).encode())
+                ids, size = [], 0
+            key = own
+            ids.append(str(conv))
+            size += len(ids[-1]) + 1
+        if ids:
+            yield (*key, int(ids[0]), ",".join(ids).encode())
 
-    for *own, conv in _rows_by_key(batches):
-        if ids and (own != key or size >= CHUNK):
-            yield chunk()
-            ids, size = [], 0
-        key = own
-        ids.append(conv)
-        size += len(str(conv)) + 1
-    if ids:
-        yield chunk()
+    yield from _batches(chunks(), [*NODE, "first", "ids"], lambda r: 60 + len(r[-1]))
 
 
 def _hash_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, first, ids) chunks in order to (node, ends_sha256)."""
-    names, key, digest = [*NODE, "ends_sha256"], None, None
-
-    def done() -> pa.RecordBatch:
-        values = [*key, digest.hexdigest()]
-        return pa.RecordBatch.from_arrays([pa.array([v], pa.string() if isinstance(v, str) else pa.int64()) for v in values], names=names)
-
-    for *own, _, ids in _rows_by_key(batches):
-        if own != key:
-            if key is not None:
-                yield done()
-            key, digest = own, hashlib.sha256()
-        else:
-            digest.update(b",")
-        digest.update(ids)
-    if key is not None:
-        yield done()
+
+    def digests() -> Iterator[tuple]:
+        key, digest = None, None
+        for *own, _, ids in _rows(batches):
+            if own == key:
+                digest.update(b",")
+            else:
+                if key is not None:
+                    yield (*key, digest.hexdigest())
+                key, digest = own, hashlib.sha256()
+            digest.update(ids)
+        if key is not None:
+            yield (*key, digest.hexdigest())
+
+    yield from _batches(digests(), [*NODE, "ends_sha256"], lambda r: 120)
 
 
 def ends(rows: DataFrame) -> DataFrame:
