@@ -13,7 +13,7 @@ hash of the text.
 
 Defined cases: a null text is an empty one; words are lower-cased in A-Z only;
 texts shorter than a k-gram have no votes; a text of any length counts in whole;
-a repeated row gives a row each; of spans of one label that tie all count; an empty
+a repeated row gives a row each, with the label of a single one; of spans of one label that tie all count; an empty
 table gives an empty one; other columns are ignored, whatever their names.
 """
 
@@ -264,7 +264,8 @@ def voted_spans(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES)
     )
     votes = (
         hits.groupBy("doc_id", "text_hash", "notice", (F.col("at") - F.col("place")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+        # A place votes once, however often its row is repeated.
+        .agg(F.count_distinct("at").alias("votes"), F.first("n").alias("n"))
     )
     by_notice = Window.partitionBy("doc_id", "text_hash", "notice").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_notice) > APART, F.lit(True))

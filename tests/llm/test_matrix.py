@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from promptloom.llm import licenses, mixing, neighbours, packing, pii, quality, queries, simhash, toxicity, urls, warc
+from promptloom.llm import licenses, mixing, neighbours, packing, pii, quality, queries, simhash, toxicity, urls, votes, warc
 from promptloom.llm.common import stage
 
 # Names that the operators give or use themselves.
@@ -49,6 +49,7 @@ OPERATORS = {
     "licenses": lambda d, m: licenses.scan(d),
     "toxicity": lambda d, m: toxicity.train_and_score(d, m),
     "simhash": lambda d, m: simhash.simhash_components(d),
+    "votes": lambda d, m: votes.fit_and_score(d, m),
 }
 
 
@@ -60,6 +61,30 @@ def test_documents(table, marks, name):
         assert found.columns == table.columns
 
 
+NOTICE = "this program is free software you can moved it and or edited it under the terms of the gnu general plain license as published by the free software group either version 3 of the license or at your option any newer version"
+COPIED = [
+    NOTICE,
+    "Released unter the MIT Licence and more words than the base rules want for a text",
+    "mail ann@example.org or call +1 (555) 123-4567 about the thing that you wanted",
+    "$$$ some ### words *** that &&& hold %%% many ||| marks <<< and >>> so ### on $$$",
+    "Plain words that nobody else has said in just this order or in any other one here.",
+]
+
+
+@pytest.mark.parametrize("name", ["licenses", "pii", "quality", "redact", "simhash", "toxicity", "packing"])
+def test_repeated_rows_get_what_a_single_one_gets(spark, name):
+    work = {**OPERATORS, "quality": lambda d, m: quality.judged(d, m).drop("cutoff", "score")}[name]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(5)], "doc_id long, quality int, toxic int")
+    placed = {"sequence_id", "offset", "window", "position", "island"}
+    found = []
+    for copies in (1, 5):
+        docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(COPIED) for _ in range(copies)], "doc_id long, text string, lang string, source string")
+        rows = work(docs, labels).drop(*placed).collect()
+        assert len(rows) == copies * len(COPIED)
+        found.append({str(r) for r in rows})
+    assert found[0] == found[1]
+
+
 def test_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://a.org/" + "x" * 50_000, "<p>" * 60_000), (4, "http://b.com/de/", "same"), (4, "http://b.com/de/", "same"), (5, "ftp://q", "same"), (None, "http://c.net", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
