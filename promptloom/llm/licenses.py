@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import give_back, stage
 
 K = 3
 # Diagonals at most so far apart are merged.
@@ -38,7 +38,7 @@ APART = 4
 VOTES = 0.4
 # Share of the notice and of the span that the common words must cover.
 OF_NOTICE, OF_SPAN = 0.75, 0.6
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 PHRASES = (
@@ -201,6 +201,7 @@ def base_scan(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), *columns],
                 names=["doc_id", "text_hash", "n_words", "n_base", "first_word", "last_word", "base"],
             )
+        give_back()
 
     schema = "doc_id long, text_hash long, n_words long, n_base long, first_word long, last_word long, base array<string>"
     return docs.mapInArrow(run, schema)
@@ -225,7 +226,7 @@ def gram_hashes(texts: list[str | None]) -> list[np.ndarray]:
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, hashes): the k-gram hashes of each row in order."""
+    """(doc_id, text_hash, row, hashes): the k-gram hashes of each row in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,10 +239,12 @@ def grams(docs: DataFrame) -> DataFrame:
                 values = pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
                 own = batch.slice(at, end - at)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists], names=["doc_id", "text_hash", "hashes"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), lists], names=["doc_id", "text_hash", "row", "hashes"])
                 at = end
+        give_back()
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>")
+    numbered = docs.select("doc_id", "text_hash", "text", F.monotonically_increasing_id().alias("row"))
+    return numbered.mapInArrow(run, "doc_id long, text_hash long, row long, hashes array<long>")
 
 
 def notice_positions(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
@@ -258,21 +261,19 @@ def voted_spans(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES)
     """(doc_id, text_hash, notice, low, high): merged diagonals with enough votes, to be verified."""
     hits = (
         grams(docs)
-        .select("doc_id", "text_hash", F.posexplode("hashes").alias("at", "hash"))
+        .select("doc_id", "text_hash", "row", F.posexplode("hashes").alias("at", "hash"))
         # The notices are a fixed table of a few hundred k-grams.
         .join(F.broadcast(notice_positions(docs, notices)), "hash")
     )
-    votes = (
-        hits.groupBy("doc_id", "text_hash", "notice", (F.col("at") - F.col("place")).alias("diagonal"))
-        # A place votes once, however often its row is repeated.
-        .agg(F.count_distinct("at").alias("votes"), F.first("n").alias("n"))
-    )
-    by_notice = Window.partitionBy("doc_id", "text_hash", "notice").orderBy("diagonal")
+    # Each row votes for itself; what repeated rows give alike is one span in the end.
+    own = ["doc_id", "text_hash", "row", "notice"]
+    votes = hits.groupBy(*own, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.first("n").alias("n"))
+    by_notice = Window.partitionBy(*own).orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_notice) > APART, F.lit(True))
     merged = (
         votes.withColumn("new", apart.cast("int"))
         .withColumn("group", F.sum("new").over(by_notice))
-        .groupBy("doc_id", "text_hash", "notice", "group")
+        .groupBy(*own, "group")
         .agg(F.sum("votes").alias("votes"), F.first("n").alias("n"), F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     )
     return merged.where(F.col("votes") >= F.greatest(F.lit(1), VOTES * F.col("n"))).select(
@@ -326,8 +327,9 @@ def verified(docs: DataFrame, spans: DataFrame, notices: tuple[tuple[str, str],
                 [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
                 names=["doc_id", "text_hash", "notice", "start", "end", "score"],
             )
+        give_back()
 
-    asked = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("notice", "low", "high")).alias("asked"))
+    asked = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("notice", "low", "high")).alias("asked"))
     texts = docs.alias("d").join(
         asked.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_hash") == F.col("a.text_hash"))
     )
