@@ -59,6 +59,11 @@ def with_segments(docs: DataFrame, text: str = "text") -> DataFrame:
     return _columns(docs, [text], f"segments array<{SEGMENT}>", lambda t: ([dict(zip(names, s, strict=True)) for s in scan.segments(t)],))
 
 
+def with_sentences(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``sentences``: those of the prompt, without the space around them."""
+    return _columns(docs, [text], "sentences array<struct<text:string,start:int,end:int>>", lambda t: ([s._asdict() for s in scan.sentences(t)],))
+
+
 def with_rewrite(
     docs: DataFrame,
     level: str = "balanced",

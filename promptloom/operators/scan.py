@@ -307,3 +307,11 @@ def sentence_at(all_of: list[Span], point: int, begins: list[int] | None = None)
     """The sentence at an offset; ``begins`` are the ``starts``, for callers that ask more than once."""
     at = bisect_right(starts(all_of) if begins is None else begins, point) - 1
     return all_of[at] if at >= 0 and point < all_of[at].end else None
+
+
+SEPARATOR = re.compile(r"(?m)^[ \t\r\f]*---[ \t\r\f]*$")
+
+
+def batch(text: str) -> list[str]:
+    """The prompts that lines of three dashes separate, trimmed, empty ones dropped."""
+    return [p for p in (part.strip(" \t\n\x0b\f\r") for part in SEPARATOR.split(text.replace("\r\n", "\n"))) if p]

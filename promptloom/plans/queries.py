@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,37 +11,12 @@ from ..operators import frames, ledger
 from ..operators.rules import RULES
 from . import cases, reports
 from .prompts import PROMPTS, WORKLOADS, prompts, spread, table, workloads
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(function: Query) -> Query:
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return keep
-
-
-def _value(x) -> str:
-    if x is None:
-        return "NULL"
-    if isinstance(x, bool):
-        return str(x).upper()
-    if isinstance(x, str):
-        return "'" + x.replace("'", "''") + "'"
-    if isinstance(x, list):
-        return "[" + ", ".join(map(_value, x)) + "]"
-    return f"{x}::DOUBLE" if isinstance(x, float) else str(x)
-
-
-def _rows(rows) -> str:
-    return ", ".join("(" + ", ".join(map(_value, r)) + ")" for r in rows)
-
+from .registry import QUERIES, SQL, query
+from .registry import TOKENS as _TOKENS
+from .registry import canonical_sql as _canonical
+from .registry import rows_sql as _rows
+from .registry import tokens_sql as _tokens_sql
+from .registry import value as _value
 
 _BEHAVIOUR = {p: (r, s) for p, r, s in data.PROVIDERS}
 MODELS = (
@@ -55,12 +28,6 @@ MODELS = (
     + _rows(data.TTLS)
     + ")), priced AS (SELECT *, COALESCE(cache_read_per_mtok, cached_input_per_mtok, input_per_mtok) AS read_price FROM models)"
 )
-# Estimated tokens of {0}.
-_TOKENS = (
-    "CAST(CASE WHEN COALESCE(length({0}), 0) = 0 THEN 0 "
-    "WHEN len(regexp_extract_all({0}, '\\S+')) = 0 THEN greatest(1, floor(length({0}) / 4.0::DOUBLE + 0.5)) "
-    "ELSE greatest(1, floor((len(regexp_extract_all({0}, '\\S+')) / 0.75::DOUBLE + length({0}) / 4.0::DOUBLE) / 2 + 0.5)) END AS BIGINT)"
-)
 
 
 def _write(ttl: str) -> str:
@@ -70,21 +37,6 @@ def _write(ttl: str) -> str:
     )
 
 
-def _canonical(column: str) -> str:
-    out = f"lower(translate({column}, '‘’‛“”‟–—' || chr(160) || chr(8199) || chr(8239), '''''''\"\"\"--   '))"
-    for name, _, _, pattern, _, new in RULES:
-        if name.startswith("sub."):
-            new = "us\\1" if new.startswith("use:") else new
-            out = f"regexp_replace({out}, {_value(pattern)}, {_value(new)}, 'g')"
-    for _, pattern, _ in patterns.FILLERS:
-        out = f"regexp_replace({out}, {_value(pattern)}, ' ', 'g')"
-    return out
-
-
-def _tokens_sql(column: str) -> str:
-    return f"regexp_extract_all({_canonical(column)}, {_value(patterns.TOKEN)})"
-
-
 # Tokens and prices.
 
 
@@ -276,7 +228,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _dealt_sql(rows, columns: str) -> str:
+def dealt_sql(rows, columns: str) -> str:
     return (
         f"cases({columns}, number) AS (SELECT * FROM (VALUES {_rows([(*r, i) for i, r in enumerate(rows)])})), "
         f"dealt AS (SELECT e.event_id, e.event_type, c.* FROM events e JOIN cases c ON e.event_id % {len(rows)} = c.number)"
@@ -299,7 +251,7 @@ def _case_prompts(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: s
 
 
 @query(
-    f"WITH {_dealt_sql(cases.RULES, 'rule_id, given, want')} SELECT event_id, rule_id, {_filled_sql('want')} AS output, TRUE AS undoable FROM dealt"
+    f"WITH {dealt_sql(cases.RULES, 'rule_id, given, want')} SELECT event_id, rule_id, {_filled_sql('want')} AS output, TRUE AS undoable FROM dealt"
 )
 def rules_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = cases.dealt(spark, spread(table(spark, sf_dir, "events").select("event_id", "event_type")), list(cases.RULES), "rule string, given string, want string")
@@ -312,7 +264,7 @@ _REGION_ROWS = [(kind, *cases.parts(prompt)) for kind, prompt in cases.REGIONS]
 
 
 @query(
-    f"WITH {_dealt_sql(_REGION_ROWS, 'kind, ' + _CUT_SQL)} SELECT event_id, kind, CAST({_START} AS INTEGER) AS start, "
+    f"WITH {dealt_sql(_REGION_ROWS, 'kind, ' + _CUT_SQL)} SELECT event_id, kind, CAST({_START} AS INTEGER) AS start, "
     f"CAST({_END} AS INTEGER) AS \"end\", {_filled_sql('it')} AS text, 3 AS pieces FROM dealt"
 )
 def regions_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +274,7 @@ def regions_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONSTRAINT_ROWS = [(t, severity, label, *cases.parts(prompt)) for t, severity, label, prompt in cases.CONSTRAINTS]
-_CONSTRAINT_SQL = f"WITH {_dealt_sql(_CONSTRAINT_ROWS, 'type, severity, label, ' + _CUT_SQL)} "
+_CONSTRAINT_SQL = f"WITH {dealt_sql(_CONSTRAINT_ROWS, 'type, severity, label, ' + _CUT_SQL)} "
 
 
 def _case_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +300,7 @@ _MARKER_ROWS = [(kind, *cases.parts(prompt)) for kind, prompt in cases.MARKERS]
 
 
 @query(
-    f"WITH {_dealt_sql(_MARKER_ROWS, 'kind, ' + _CUT_SQL)} SELECT event_id, kind, CAST({_START} AS INTEGER) AS start, CAST({_END} AS INTEGER) AS \"end\", "
+    f"WITH {dealt_sql(_MARKER_ROWS, 'kind, ' + _CUT_SQL)} SELECT event_id, kind, CAST({_START} AS INTEGER) AS start, CAST({_END} AS INTEGER) AS \"end\", "
     f"it AS text, CAST(length(before_it) - length(replace(before_it, chr(10), '')) AS INTEGER) AS line FROM dealt"
 )
 def markers_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,7 +345,7 @@ _FIRST = "split_part(text, chr(10), 1)"
 _DATE = "split_part(text, chr(10), 2)"
 _STABLE = "split_part(text, chr(10), 3) || chr(10)"
 _VARIED = f"{_FIRST} || chr(10) || {_DATE} || chr(10) || substr(text, strpos(text, 'User: what'))"
-_BALANCED = "replace(replace(text, 'Please process', 'Process'), ' in order to ', ' to ')"
+BALANCED = "replace(replace(text, 'Please process', 'Process'), ' in order to ', ' to ')"
 _MONTH = "{0} / 1e6 * 5 * 1000 * 30"
 _STATED_ROWS = [
     ("prohibition", "critical", 'prohibition ("never")', "'Never exceed 5 retries'", "'Never exceed 5 retries.'"),
@@ -407,7 +359,7 @@ _STATED_ROWS = [
     ("variable", "critical", "template variable", "'{{topic}}'", "'User: what about {{topic}}?'"),
     ("literal", "critical", "JSON string", "'\"k\"'", "'Props: ' || props"),
 ]
-_STATED = (
+STATED = (
     "stated AS ("
     + " UNION ALL ".join(
         f"SELECT event_id, text, {_value(t)} AS type, {_value(s)} AS severity, {_value(label)} AS label, {anchor} AS anchor, {sentence} AS sentence FROM whole"
@@ -415,7 +367,7 @@ _STATED = (
     )
     + "), placed AS (SELECT *, strpos(text, anchor) - 1 AS start, strpos(text, anchor) - 1 + length(anchor) AS \"end\" FROM stated)"
 )
-_STATED = "whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)), " + _STATED
+STATED = "whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)), " + STATED
 
 
 # Batches, markers, counts.
@@ -454,7 +406,7 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PROMPTS}, {_STATED}, keyed AS (SELECT event_id, type, anchor, array_to_string({_tokens_sql('anchor')}, ' ') AS tokens FROM placed WHERE type IN ('prohibition', 'requirement', 'format')) "
+    f"WITH {PROMPTS}, {STATED}, keyed AS (SELECT event_id, type, anchor, array_to_string({_tokens_sql('anchor')}, ' ') AS tokens FROM placed WHERE type IN ('prohibition', 'requirement', 'format')) "
     "SELECT type, tokens, COUNT(DISTINCT event_id) AS prompts, MIN(anchor) AS example FROM keyed GROUP BY type, tokens HAVING COUNT(DISTINCT event_id) >= 2"
 )
 def shared_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -588,14 +540,14 @@ def _rewritten(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PROMPTS} SELECT event_id, {_BALANCED} AS output, 2 AS changes, 0 AS blocked, 0 AS critical_lost, TRUE AS undoable FROM prompts"
+    f"WITH {PROMPTS} SELECT event_id, {BALANCED} AS output, 2 AS changes, 0 AS blocked, 0 AS critical_lost, TRUE AS undoable FROM prompts"
 )
 def compress_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir, "balanced")
 
 
 @query(
-    f"WITH {PROMPTS} SELECT event_id, {_BALANCED} AS output, 2 AS changes, 0 AS blocked, 0 AS critical_lost, TRUE AS undoable FROM prompts"
+    f"WITH {PROMPTS} SELECT event_id, {BALANCED} AS output, 2 AS changes, 0 AS blocked, 0 AS critical_lost, TRUE AS undoable FROM prompts"
 )
 def compress_aggressive_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rewritten(spark, sf_dir, "aggressive")
@@ -611,7 +563,7 @@ def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PROMPTS}, {_STATED} SELECT event_id, type || ':' || start || '-' || \"end\" AS id, type, severity, anchor, CAST(start AS INTEGER) AS start, "
+    f"WITH {PROMPTS}, {STATED} SELECT event_id, type || ':' || start || '-' || \"end\" AS id, type, severity, anchor, CAST(start AS INTEGER) AS start, "
     "CAST(\"end\" AS INTEGER) AS \"end\", sentence, CAST(strpos(text, sentence) - 1 AS INTEGER) AS sentence_start, "
     "CAST(strpos(text, sentence) - 1 + length(sentence) AS INTEGER) AS sentence_end, label FROM placed"
 )
@@ -621,7 +573,7 @@ def extract_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PROMPTS}, {_STATED} SELECT type, COUNT(*) AS total, COUNT(*) AS kept, CAST(list_position({_value(list(ledger.TYPES))}, type) AS BIGINT) AS place "
+    f"WITH {PROMPTS}, {STATED} SELECT type, COUNT(*) AS total, COUNT(*) AS kept, CAST(list_position({_value(list(ledger.TYPES))}, type) AS BIGINT) AS place "
     "FROM placed GROUP BY type"
 )
 def checklist_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -686,7 +638,7 @@ def diff_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {PROMPTS}, counted AS (SELECT event_id, {_TOKENS.format('text')} AS tokens, {_TOKENS.format(_BALANCED)} AS after FROM prompts), "
+    f"WITH {PROMPTS}, counted AS (SELECT event_id, {_TOKENS.format('text')} AS tokens, {_TOKENS.format(BALANCED)} AS after FROM prompts), "
     "files AS (SELECT a.*, b.tokens AS base_tokens FROM counted a LEFT JOIN counted b ON a.event_id = b.event_id + 1) "
     "SELECT COUNT(*) AS files, CAST(SUM(tokens) AS BIGINT) AS tokens, CAST(SUM(base_tokens) AS BIGINT) AS base_tokens, "
     "CAST(SUM(tokens - base_tokens) AS BIGINT) AS delta_tokens, COUNT(*) FILTER (tokens > 60) AS over_budget, "
@@ -704,7 +656,7 @@ def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {PROMPTS}, levels AS (SELECT event_type AS corpus, 'light' AS level, text, text AS output FROM prompts UNION ALL "
-    f"SELECT event_type, unnest(['balanced', 'aggressive']), text, {_BALANCED} FROM prompts), counted AS (SELECT corpus, level, "
+    f"SELECT event_type, unnest(['balanced', 'aggressive']), text, {BALANCED} FROM prompts), counted AS (SELECT corpus, level, "
     f"{_TOKENS.format('text')} AS before, {_TOKENS.format('output')} AS after FROM levels) SELECT corpus, level, COUNT(*) AS prompts, "
     "round(AVG(1 - after / before), 9) AS avg_reduction, round(1 - SUM(after) / SUM(before), 9) AS aggregate_reduction, "
     "COUNT(*) * 9 AS critical, COUNT(*) * 9 AS critical_kept, CAST(0 AS BIGINT) AS blocked FROM counted GROUP BY corpus, level"

@@ -1,0 +1,186 @@
+"""Queries that join, group or undo across prompts, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tables
+from ..functions import text as T
+from ..operators import frames, ledger, native
+from . import asof, cases, similar
+from .prompts import PROMPTS, prompts, spread, table
+from .queries import BALANCED, STATED, dealt_sql
+from .registry import query, tokens_sql
+
+# Components of a table links(a, b) over nodes(id), by walking.
+_WALK = (
+    "reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other), "
+    "rooted AS (SELECT id, MIN(other) AS root FROM reach GROUP BY id)"
+)
+_LINKS = (
+    "links AS (SELECT a.id AS a, b.id AS b FROM nodes a JOIN nodes b ON a.kind IS NOT DISTINCT FROM b.kind AND a.id <> b.id "
+    "AND len(list_intersect(a.s, b.s)) >= 0.6 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) - 1e-9)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {PROMPTS}, {STATED}, worded AS (SELECT event_id, type AS kind, anchor, {tokens_sql('anchor')} AS t FROM placed "
+    "WHERE type IN ('prohibition', 'requirement', 'format', 'instruction')), "
+    "keyed AS (SELECT event_id, kind, anchor, list_sort(list_distinct(t)) AS s FROM worded WHERE len(t) >= 3), "
+    f"nodes AS (SELECT kind, s, array_to_string(s, ' ') || kind AS id FROM keyed GROUP BY ALL), {_LINKS}, {_WALK}, "
+    "grouped AS (SELECT k.kind, r.root, k.s, k.event_id, k.anchor FROM keyed k JOIN rooted r ON r.id = array_to_string(k.s, ' ') || k.kind) "
+    "SELECT kind AS type, COUNT(DISTINCT s) AS demands, COUNT(DISTINCT event_id) AS prompts, "
+    "arg_min(anchor, {'n': length(anchor), 'a': anchor}) AS suggestion FROM grouped GROUP BY kind, root HAVING COUNT(DISTINCT s) > 1"
+)
+def near_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = frames.with_constraints(prompts(spark, sf_dir).select("event_id", "text"))
+    each = found.select(F.col("event_id").alias("id"), F.explode("constraints").alias("c")).select("id", "c.type", "c.anchor")
+    return similar.near_demands(each, ledger.COMPARED, T.tokens(F.col("anchor")))
+
+
+@query(
+    f"WITH RECURSIVE keyed AS (SELECT conv_id, turn, role AS kind, list_sort(list_distinct({tokens_sql('text')})) AS s FROM conversations), "
+    "nodes AS (SELECT kind, s, md5(array_to_string(s, ' ') || kind) AS id FROM keyed WHERE len(s) > 0 GROUP BY ALL), "
+    f"{_LINKS}, {_WALK}, firsts AS (SELECT r.root, MIN(n.s) AS first, COUNT(*) AS texts FROM rooted r JOIN nodes n USING (id) GROUP BY r.root) "
+    "SELECT k.conv_id, k.turn, f.texts, md5(array_to_string(f.first, ' ')) AS group_digest "
+    "FROM keyed k JOIN rooted r ON r.id = md5(array_to_string(k.s, ' ') || k.kind) JOIN firsts f USING (root)"
+)
+def near_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("set"))
+    groups = similar.near_groups(turns, "role", "set")
+    sizes = groups.groupBy("kind", "group").agg(F.count(F.lit(1)).alias("texts"))
+    named = groups.join(sizes, ["kind", "group"]).select(F.col("kind").alias("role"), "set", "texts", F.md5(F.array_join("group", " ").cast("binary")).alias("group_digest"))
+    return turns.join(named, ["role", "set"]).select("conv_id", "turn", "texts", "group_digest")
+
+
+_SPOT = "strpos(text, 'in order to') - 1"
+_POLITE = "replace(text, 'Please process', 'Process')"
+_SHORT = "replace(text, ' in order to ', ' to ')"
+
+
+@query(
+    f"WITH {PROMPTS} SELECT event_id, CASE event_id % 4 WHEN 0 THEN {BALANCED} WHEN 1 THEN {_SHORT} WHEN 2 THEN {_POLITE} ELSE text END AS projected, "
+    f"CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'politeness.please:0:8' WHEN 2 THEN 'sub.in-order-to:' || ({_SPOT}) || ':' || ({_SPOT} + 11) "
+    f"ELSE 'politeness.please:0:8,sub.in-order-to:' || ({_SPOT}) || ':' || ({_SPOT} + 11) END AS undone FROM prompts"
+)
+def undo_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = prompts(spark, sf_dir).select("event_id", "text")
+    out = frames.with_rewrite(given, "balanced")
+    # Readers switch off no, the first, the second or all changes; some keys are those of no change.
+    spot = F.expr("instr(text, 'in order to') - 1")
+    second = F.concat_ws(":", F.lit("sub.in-order-to"), spot, spot + 11)
+    turn = F.col("event_id") % 4
+    keys = F.array_compact(F.array(F.when(turn.isin(1, 3), F.lit("politeness.please:0:8")), F.when(turn >= 2, second), F.when(turn == 0, F.lit("politeness.please:1:9"))))
+    disabled = given.select("event_id", F.explode(F.concat(keys, keys)).alias("change"))
+    found = native.with_choices(out, disabled, "event_id")
+    return found.select("event_id", "projected", F.array_join("undone", ",").alias("undone"))
+
+
+def _case_texts(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    return cases.dealt(spark, spread(table(spark, sf_dir, "events").select("event_id", "event_type")), rows, schema)
+
+
+_LIGHT = [r for r in cases.RULES if r[0].startswith(("ws.", "md.", "punct."))]
+_BOTH = [r for r in cases.RULES if r[0].startswith(("sub.", "politeness.", "ws.", "md.", "punct.")) or r[0] in ("frame.polite-request", "frame.task-is-to", "frame.you-are-asked-to")]
+
+
+def _native_sql(rows: list[tuple]) -> str:
+    return f"WITH {dealt_sql(rows, 'rule_id, given, want')} SELECT event_id, rule_id, replace(want, '◊', event_type) AS output FROM dealt"
+
+
+def _native(spark: SparkSession, sf_dir: str, rows: list[tuple], level: str) -> DataFrame:
+    given = _case_texts(spark, sf_dir, rows, "rule_id string, given string, want string").select("event_id", cases.filled("given").alias("text"))
+    out = native.with_native_rewrite(given, level)
+    return out.select("event_id", F.array_join(F.transform("changes", lambda c: c["rule_id"]), ",").alias("rule_id"), "output")
+
+
+@query(_native_sql(_LIGHT))
+def native_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _native(spark, sf_dir, _LIGHT, "light")
+
+
+@query(_native_sql(_BOTH))
+def native_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _native(spark, sf_dir, _BOTH, "balanced")
+
+
+@query("SELECT doc_id, TRUE AS whole, TRUE AS alike FROM documents")
+def native_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents at balanced: pieces join to the text, and both ways of rewriting give one result."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    quick = native.with_rewrite(docs, "balanced").select("doc_id", F.col("output").alias("quick"))
+    slow = frames.with_rewrite(docs, "balanced")
+    pieces = docs.select("doc_id", native.segments(F.col("text"), native.regions(F.col("text"))).alias("s"))
+    joined = pieces.select("doc_id", F.array_join(F.transform("s", lambda s: s["text"]), "").alias("joined"))
+    both = slow.join(quick, "doc_id").join(joined, "doc_id")
+    return both.select("doc_id", (F.col("joined") == F.col("text")).alias("whole"), (F.col("quick") == F.col("output")).alias("alike"))
+
+
+# Reviewers' marks: three offsets a prompt, some between sentences and behind the end.
+_MARKS = "SELECT event_id, mark, CAST((event_id * 7 + mark * 53) % (length(text) + 5) AS INTEGER) AS at FROM (SELECT *, unnest([0, 1, 2]) AS mark FROM prompts) x"
+_SENTENCES = (
+    "('Please process event ' || event_id || ' in order to ' || event_type || '.'), ('Never exceed 5 retries.'), ('You must answer in JSON for user_id ' || user_id || '.'), "
+    "('Current date: ' || strftime(ts, '%Y-%m-%d')), ('See https://example.org/e/' || event_id || '.'), ('User: what about {{topic}}?'), ('Props: ' || props)"
+)
+_REGIONS = "('https://example.org/e/' || event_id, 'url'), ('{{topic}}', 'variable'), (props, 'json')"
+
+
+@query(
+    f"WITH {PROMPTS}, whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)), "
+    f"sentences AS (SELECT event_id, s.sentence, strpos(text, s.sentence) - 1 AS start FROM whole, LATERAL (VALUES {_SENTENCES}) s(sentence)), "
+    f"regions AS (SELECT event_id, r.kind, strpos(text, r.it) - 1 AS start, strpos(text, r.it) - 1 + length(r.it) AS stop FROM whole, LATERAL (VALUES {_REGIONS}) r(it, kind)), "
+    f"marks AS ({_MARKS}) "
+    "SELECT m.event_id, m.mark, m.at, CASE WHEN m.at < s.start + length(s.sentence) THEN s.sentence END AS sentence, CASE WHEN m.at < r.stop THEN r.kind END AS region "
+    "FROM marks m ASOF LEFT JOIN sentences s ON m.event_id = s.event_id AND m.at >= s.start ASOF LEFT JOIN regions r ON m.event_id = r.event_id AND m.at >= r.start"
+)
+def marks_in_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = prompts(spark, sf_dir).select("event_id", "text")
+    marks = given.select("event_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("mark"), F.length("text").alias("n"))
+    marks = marks.select("event_id", "mark", ((F.col("event_id") * 7 + F.col("mark") * 53) % (F.col("n") + 5)).cast("int").alias("at"))
+    cut = frames.with_segments(frames.with_sentences(given))
+    sentences = cut.select("event_id", F.explode("sentences").alias("s")).select("event_id", "s.*")
+    regions = cut.select("event_id", F.explode("segments").alias("s")).where("s.kind IS NOT NULL").select("event_id", "s.kind", "s.start", "s.end")
+    # Narrow bins, so that a prompt has several.
+    said = asof.holder(marks, sentences, "event_id", width=64).select("event_id", "mark", "at", F.col("span.text").alias("sentence"))
+    return asof.holder(said, regions, "event_id", width=64).select("event_id", "mark", "at", "sentence", F.col("span.kind").alias("region"))
+
+
+_PIECES = (
+    "SELECT event_id, place, CAST(from_ AS INTEGER) AS start, kind, substr(text, from_ + 1, to_ - from_) AS text FROM (SELECT event_id, text, unnest([0, 1, 2, 3, 4, 5]) AS place, "
+    "unnest([0, u, u + ul, v, v + 9, j]) AS from_, unnest([u, u + ul, v, v + 9, j, length(text)]) AS to_, unnest([NULL, 'url', NULL, 'variable', NULL, 'json']) AS kind FROM ("
+    "SELECT event_id, text, strpos(text, 'https://') - 1 AS u, length('https://example.org/e/' || event_id) AS ul, strpos(text, '{{topic}}') - 1 AS v, "
+    "strpos(text, 'Props: ') + 6 AS j FROM prompts) y) x"
+)
+
+
+@query(f"WITH {PROMPTS} {_PIECES}")
+def sql_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    prompts(spark, sf_dir).createOrReplaceTempView("given_prompts")
+    return spark.sql(
+        "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY start) - 1 AS INT) AS place, start, kind, text "
+        "FROM (SELECT p.event_id, s.* FROM given_prompts p, LATERAL segments(p.text) s)"
+    )
+
+
+@query(
+    f"WITH {PROMPTS}, {STATED} SELECT event_id, type || ':' || start || '-' || \"end\" AS id, type, anchor, label FROM placed WHERE type NOT IN ('entity', 'literal')"
+)
+def sql_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    prompts(spark, sf_dir).createOrReplaceTempView("given_prompts")
+    return spark.sql("SELECT p.event_id, c.id, c.type, c.anchor, c.label FROM given_prompts p, LATERAL constraints(p.text, 'entity, literal') c")
+
+
+@query(
+    "SELECT event_id, 0 AS place, 'First ' || event_type AS prompt, 1 AS sentences FROM events UNION ALL SELECT event_id, 1, 'Second ' || user_id || '. Done.', 2 FROM events"
+)
+def sql_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables.register(spark)
+    table(spark, sf_dir, "events").createOrReplaceTempView("given_events")
+    return spark.sql(
+        "SELECT event_id, place, prompt, CAST(COUNT(*) AS INT) AS sentences FROM (SELECT e.event_id, b.place, b.prompt, s.start "
+        "FROM (SELECT event_id, concat('First ', event_type, '\\r\\n --- \\n\\n---\\nSecond ', user_id, '. Done.\\n') AS text FROM given_events) e, "
+        "LATERAL batch(e.text) b, LATERAL prompt_sentences(b.prompt) s) GROUP BY event_id, place, prompt"
+    )
