@@ -72,15 +72,15 @@ def with_rewrite(
     disabled: Iterable[str] = (),
     enforce: bool | None = None,
 ) -> DataFrame:
-    """Adds output, changes and blocked; and, where the ledger ran, checks."""
+    """Adds output, changes, blocked and the ledger's rounds; and, where the ledger ran, checks."""
     rules, off = tuple(rules), tuple(disabled)
 
     def work(t: str) -> tuple:
         r = rewrite(t, level, rules, off, enforce)
         checks = None if r.checks is None else [_check(k) for k in r.checks]
-        return r.output, [_change(c) for c in r.changes], [_change(c) for c in r.blocked], checks
+        return r.output, [_change(c) for c in r.changes], [_change(c) for c in r.blocked], checks, r.rounds
 
-    return _columns(docs, [text], f"output string, changes array<{CHANGE}>, blocked array<{CHANGE}>, checks array<{CHECK}>", work)
+    return _columns(docs, [text], f"output string, changes array<{CHANGE}>, blocked array<{CHANGE}>, checks array<{CHECK}>, rounds int", work)
 
 
 def with_levels(docs: DataFrame, text: str = "text", levels: Iterable[str] = LEVELS) -> DataFrame:

@@ -113,6 +113,54 @@ MARKERS = (
     ("identifier", "Do it for ⟦{{trace}}⟧ ◊"),
 )
 
+# (prompt, all constraints as type|label|anchor in order): forms of constraints that the ones above leave out.
+INVENTORIES = (
+    ("Give ◊ as a YAML list response.", ("instruction|imperative instruction|Give ◊ as a YAML list response", "format|serialisation format|YAML list")),
+    ("Respond about ◊ as a markdown table.", ("format|output shape|Respond about ◊ as a markdown", "instruction|imperative instruction|Respond about ◊ as a markdown table", "format|output shape|markdown table")),
+    ("So list ◊ in bullet points.", ("format|output shape|bullet points",)),
+    ("So put ◊ in 40 words.", ("format|length limit|40 words",)),
+    ("For ◊ use at most 3 fluffy clouds.", ("format|output budget|at most 3 fluffy",)),
+    # A budget of units of measure is a quantity, not a format.
+    ("For ◊ wait at most 3 hours.", ("quantity|count limit|at most 3", "quantity|measurement|3 hours")),
+    ("So tell ◊ in the user's language.", ("format|output language|in the user's language",)),
+    ("So give ◊ and nothing else.", ("format|output shape|nothing else",)),
+    # Patterns of length and budget know small letters only.
+    ("At most 5 words for ◊.", ("quantity|count limit|At most 5", "format|length limit|5 words")),
+    # Markers inside a filler demand nothing.
+    ("It should be noted that ◊ works.", ()),
+    ("Do not open ◊, and then stop.", ('prohibition|prohibition ("do not")|Do not open ◊', "instruction|imperative instruction|Do not open ◊, and then stop")),
+    ("Never open ◊ - ever.", ('prohibition|prohibition ("never")|Never open ◊',)),
+    # A clause is cut at a word where it gets long.
+    ("Never open it " + "word " * 50 + "then ◊.", ('prohibition|prohibition ("never")|Never open it' + " word" * 41,)),
+    ("Ask Dr.X, e.g. about ◊. Then go.", ("instruction|imperative instruction|Ask Dr.X, e.g. about ◊",)),
+    ("1. Never stop ◊. 2. Go.", ('prohibition|prohibition ("never")|Never stop ◊',)),
+    ("# Never open ◊!!", ('prohibition|prohibition ("never")|Never open ◊',)),
+    ("Due 3/4/2024 for ◊.", ("quantity|date|3/4/2024",)),
+    ("So take 7 of the ◊.", ()),
+    ("Use of ◊ is fine.", ()),
+    ("Mix ◊.", ()),
+    ("So set MAX_ROWS and maxRows for ◊.", ("entity|identifier|MAX_ROWS", "entity|identifier|maxRows")),
+    ("So ask JSON, NASA and NASA for ◊.", ("entity|acronym|NASA",)),
+    ("Berlin asks Berlin about ◊.", ("entity|proper noun|Berlin",)),
+)
+
+# (prompt, kinds of the regions in order, rewritten): regions that overlap, rules that overlap, rules inside regions.
+OVERLAPS = (
+    ('Say "go please to https://a.b/◊" now', "url", 'Say "go to https://a.b/◊" now'),
+    ("| a `please b` |\n|---|---|\n| ◊ | 1 |\n\nend", "table", "| a `please b` |\n|---|---|\n| ◊ | 1 |\n\nend"),
+    ('Use {"k": "{{◊}} please x"} here', "json", 'Use {"k": "{{◊}} please x"} here'),
+    ('Mail "please a@b.org ◊" here', "email", 'Mail "a@b.org ◊" here'),
+    ("See ${https://a.b/please } ◊", "url", "See ${https://a.b/please } ◊"),
+    ("Example: please ◊ x\n\n`please y` end", "example,inline-code", "Example: please ◊ x\n\n`please y` end"),
+    ("```\nExample: please ◊\n```\nplease go", "code-fence", "```\nExample: please ◊\n```\ngo"),
+    ("See https://a.b/please ◊", "url", "See https://a.b/please ◊"),
+    ("Fill <please ◊> please now", "variable", "Fill <please ◊> now"),
+    ("Say “please ◊” please now", "quoted-string", "Say “please ◊” now"),
+    ("Could you please open ◊ now?", "", "Open ◊ now?"),
+    ("Go in order to   ◊.", "", "Go to   ◊."),
+    ("Please kindly open ◊.", "", "Open ◊."),
+)
+
 
 def parts(prompt: str) -> tuple[str, str, str]:
     """Before, in and after the brackets."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import data, patterns, pricing
 from ..functions import text as T
-from ..operators import frames, ledger
+from ..operators import frames, ledger, rewrite
 from ..operators.rules import RULES
 from . import cases, reports
 from .prompts import PROMPTS, WORKLOADS, prompts, spread, table, workloads
@@ -62,14 +62,20 @@ def monthly_cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return priced.select("model_id", "lang", "tokens", F.round(cost, 6).alias("monthly_cost"))
 
 
-@query(
-    f"WITH {MODELS}, each AS (SELECT *, unnest(ttl_ids) AS ttl_id FROM priced) "
-    f"SELECT model_id, ttl_id, read_price, {_write('ttl_id')} AS write_price FROM each"
-)
-def cache_price_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workloads beside each cache lifetime of each model."""
     each = data.models(spark).withColumn("ttl_id", F.explode("ttl_ids"))
-    return each.select(
-        "model_id", "ttl_id", pricing.read_price().alias("read_price"), pricing.write_price(F.col("ttl_id")).alias("write_price")
+    return workloads(spark, sf_dir).join(F.broadcast(each))
+
+
+_EACH = f"WITH {MODELS}, {WORKLOADS}, each AS (SELECT * FROM workloads, (SELECT *, unnest(ttl_ids) AS ttl_id FROM priced) m) "
+
+
+@query(_EACH + f"SELECT c_custkey, model_id, ttl_id, prefix_tokens / 1e6 * read_price AS read_cost, prefix_tokens / 1e6 * {_write('ttl_id')} AS write_cost FROM each")
+def cache_price_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = lambda price: F.col("prefix_tokens") / F.lit(1e6) * price
+    return _by_lifetime(spark, sf_dir).select(
+        "c_custkey", "model_id", "ttl_id", cost(pricing.read_price()).alias("read_cost"), cost(pricing.write_price(F.col("ttl_id"))).alias("write_cost")
     )
 
 
@@ -79,13 +85,10 @@ _BREAK_EVEN = (
 )
 
 
-@query(
-    f"WITH {MODELS}, each AS (SELECT *, unnest(ttl_ids) AS ttl_id FROM priced) "
-    f"SELECT model_id, ttl_id, {_BREAK_EVEN.format(_write('ttl_id'))} AS calls FROM each"
-)
+@query(_EACH + f"SELECT c_custkey, model_id, ttl_id, {_BREAK_EVEN.format(_write('ttl_id'))} AS calls, calls_per_day >= {_BREAK_EVEN.format(_write('ttl_id'))} AS reached FROM each")
 def break_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = data.models(spark).withColumn("ttl_id", F.explode("ttl_ids"))
-    return each.select("model_id", "ttl_id", pricing.break_even_calls(F.col("ttl_id")).alias("calls"))
+    calls = pricing.break_even_calls(F.col("ttl_id"))
+    return _by_lifetime(spark, sf_dir).select("c_custkey", "model_id", "ttl_id", calls.alias("calls"), (F.col("calls_per_day") >= calls).alias("reached"))
 
 
 _PER_HOUR = (
@@ -94,9 +97,11 @@ _PER_HOUR = (
 )
 
 
-@query(f"WITH {MODELS} SELECT model_id, CAST({_PER_HOUR} AS DOUBLE) AS calls_per_hour FROM priced")
+@query(f"WITH {MODELS}, {WORKLOADS} SELECT c_custkey, model_id, CAST({_PER_HOUR} AS DOUBLE) AS calls_per_hour, calls_per_day / 24.0::DOUBLE >= {_PER_HOUR} AS reached FROM workloads, priced")
 def min_calls_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.models(spark).select("model_id", pricing.min_calls_per_hour().alias("calls_per_hour"))
+    both = workloads(spark, sf_dir).join(F.broadcast(data.models(spark)))
+    least = pricing.min_calls_per_hour()
+    return both.select("c_custkey", "model_id", least.alias("calls_per_hour"), (F.col("calls_per_day") / F.lit(24.0) >= least).alias("reached"))
 
 
 _GAP = "COALESCE(interval_seconds, CASE WHEN calls_per_day > 0 THEN 86400::DOUBLE / calls_per_day ELSE 'Infinity'::DOUBLE END)"
@@ -167,9 +172,60 @@ def best_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+def _usd_sql(v: str) -> str:
+    return (
+        f"CASE WHEN abs({v}) < 0.00005 THEN '$0' ELSE CASE WHEN {v} < 0 THEN '-' ELSE '' END || '$' || CASE WHEN abs({v}) < 0.01 THEN printf('%.4f', abs({v})) "
+        f"WHEN abs({v}) < 10 THEN printf('%.2f', CASE WHEN abs({v}) * 8 = floor(abs({v}) * 8) AND (abs({v}) * 8) % 2 = 1 THEN abs({v}) + 0.001 ELSE abs({v}) END) ELSE format('{{:,}}', CAST(floor(abs({v}) + 0.5) AS BIGINT)) END END"
+    )
+
+
+def _interval_sql(v: str) -> str:
+    return (
+        f"CASE WHEN isinf({v}) THEN 'a very long time' WHEN {v} < 90 THEN CAST(floor({v} + 0.5) AS BIGINT) || ' s' "
+        f"WHEN {v} < 5400 THEN CAST(floor({v} / 60 + 0.5) AS BIGINT) || ' min' ELSE printf('%.1f h', CASE WHEN {v} / 900 = floor({v} / 900) AND ({v} / 900) % 2 = 1 THEN {v} / 3600 + 0.01 ELSE {v} / 3600 END) END"
+    )
+
+
+def _share_sql(v: str) -> str:
+    return f"CAST(floor(CASE WHEN as_is > 0 THEN ({v}) / as_is ELSE 0 END * 100 + 0.5) AS BIGINT) || '%'"
+
+
+_SAVES = {"compress": "(as_is - compress)", "cache": "(as_is - cache)"}
+_PREFIX_SQL = "format('{:,}', prefix_tokens) || ' tokens'"
+
+
+@query(
+    _ADVICE + " SELECT c_custkey, model_id, best, CASE WHEN best = 'cache' THEN 'Cache the static prefix (' || " + _PREFIX_SQL + " || ').' "
+    f"WHEN best = 'compress' THEN 'Compress: ' || {_usd_sql(_SAVES['compress'])} || '/month (' || {_share_sql(_SAVES['compress'])} || '). Caching isn''t worth it here.' "
+    "WHEN as_is = 0 THEN 'Nothing to save yet.' ELSE 'Leave it as it is: neither compressing nor caching is cheaper.' END AS headline, "
+    "CASE WHEN COALESCE(prefix_tokens < min_cacheable_tokens, FALSE) THEN label || ' caches nothing under ' || format('{:,}', min_cacheable_tokens) || ' tokens; the static prefix has ' || " + _PREFIX_SQL + " "
+    f"WHEN {_FITTING.format('gap')} IS NULL THEN 'Calls are about ' || {_interval_sql('gap')} || ' apart, too far for any cache lifetime.' "
+    "WHEN ttl_id IS NULL THEN 'At this call rate a cache costs more than it saves.' "
+    "ELSE 'Caching pays from call ' || CASE WHEN isinf(break_even_calls) THEN 'Infinity' ELSE printf('%.0f', break_even_calls) END || ' on within one lifetime of ' || ttl_id END || chr(10) || "
+    f"'Compressing saves ' || {_usd_sql(_SAVES['compress'])} || '/month (' || {_share_sql(_SAVES['compress'])} || '); reordering and caching saves ' || {_usd_sql(_SAVES['cache'])} || '/month (' "
+    f"|| {_share_sql(_SAVES['cache'])} || ').' AS reasons FROM advised"
+)
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.recommend(_advised(spark, sf_dir)).select("c_custkey", "model_id", "best", "headline", "reasons")
+    found = pricing.recommend(_advised(spark, sf_dir))
+    return found.select("c_custkey", "model_id", "best", "headline", F.array_join("reasons", "\n").alias("reasons"))
+
+
+@query(
+    f"WITH {MODELS}, {WORKLOADS} SELECT c_custkey, model_id, CAST(CASE WHEN original_tokens <= 0 THEN 0 ELSE floor(dynamic_tokens * (compressed_tokens / original_tokens) + 0.5) END AS BIGINT) AS dynamic_after, "
+    f"{_usd_sql('(original_tokens / 1e6 * input_per_mtok)')} AS call_cost, {_usd_sql('(original_tokens / 1e6 * input_per_mtok * calls_per_day * 30)')} AS month_cost, {_interval_sql(_GAP)} AS gap FROM workloads, models"
+)
+def workload_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = workloads(spark, sf_dir).join(F.broadcast(data.models(spark)))
+    gap = F.coalesce("interval_seconds", pricing.default_interval(F.col("calls_per_day")))
+    call = F.col("original_tokens") / F.lit(1e6) * F.col("input_per_mtok")
+    return both.select(
+        "c_custkey",
+        "model_id",
+        pricing.scaled_tokens(F.col("dynamic_tokens"), F.col("original_tokens"), F.col("compressed_tokens")).cast("long").alias("dynamic_after"),
+        pricing.usd(call).alias("call_cost"),
+        pricing.usd(call * F.col("calls_per_day") * 30).alias("month_cost"),
+        pricing.interval(gap).alias("gap"),
+    )
 
 
 # Normalised text.
@@ -308,17 +364,23 @@ def markers_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("event_id", F.explode("markers").alias("m")).select("event_id", "m.kind", "m.start", "m.end", "m.text", "m.line")
 
 
+_LEVELS = "levels(level, up_to) AS (SELECT * FROM (VALUES ('light', 1), ('balanced', 2), ('aggressive', 3)))"
+
+
 @query(
-    f"WITH rules(id, level) AS (SELECT * FROM (VALUES {_rows([r[:2] for r in RULES])})), "
-    "ranked AS (SELECT *, CASE level WHEN 'light' THEN 1 WHEN 'balanced' THEN 2 ELSE 3 END AS rank FROM rules) "
-    "SELECT a.level, CAST((SELECT COUNT(*) FROM ranked b WHERE b.rank <= a.rank) AS INTEGER) AS rules FROM (SELECT DISTINCT level, rank FROM ranked) a"
+    f"WITH {dealt_sql(cases.RULES, 'rule_id, given, want')}, {_LEVELS}, rules(rule_id, level) AS (SELECT * FROM (VALUES {_rows([r[:2] for r in RULES])})) "
+    "SELECT l.level, COUNT(DISTINCT d.rule_id) AS rules, COUNT(*) AS prompts FROM levels l JOIN rules r ON (SELECT up_to FROM levels o WHERE o.level = r.level) <= l.up_to "
+    "JOIN dealt d ON d.rule_id = r.rule_id GROUP BY l.level"
 )
 def level_cumulative_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.array_position(F.array(F.lit("light"), F.lit("balanced"), F.lit("aggressive")), F.col("level"))
-    rules = spark.createDataFrame([(r[0], r[1]) for r in RULES], "id string, level string")
-    levels = rules.select("level").distinct().withColumn("up_to", order)
-    ranked = rules.select(order.alias("rank"))
-    return levels.join(F.broadcast(ranked), F.col("rank") <= F.col("up_to")).groupBy("level").agg(F.count(F.lit(1)).cast("int").alias("rules"))
+    dealt = cases.dealt(spark, spread(table(spark, sf_dir, "events").select("event_id", "event_type")), list(cases.RULES), "rule string, given string, want string")
+    given = dealt.select(cases.filled("given").alias("text"))
+    fired = [
+        frames.with_rewrite(given, level, enforce=False).select(F.lit(level).alias("level"), F.get(F.transform("changes", lambda c: c["rule_id"]), F.lit(0)).alias("rule"))
+        for level in rewrite.LEVELS
+    ]
+    every = fired[0].unionByName(fired[1]).unionByName(fired[2]).where("rule IS NOT NULL")
+    return every.groupBy("level").agg(F.count_distinct("rule").alias("rules"), F.count(F.lit(1)).alias("prompts"))
 
 
 _SENTENCE = "'Work on ' || event_type || ' prior to ' || user_id || ' for the purpose of ' || event_id"
@@ -429,10 +491,14 @@ def extractor_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.accuracy(gold.unionByName(missed), found).withColumn("recall", F.round("recall", 9))
 
 
-@query(f"SELECT * FROM (VALUES {_rows([(w, p, p) for w, _, p in data.DISCARDED])}) t(wording, prompt, output)")
+_DISCARDED = [(w, p) for w, _, p in data.DISCARDED]
+
+
+@query(f"WITH {dealt_sql(_DISCARDED, 'wording, prompt')} SELECT event_id, wording, prompt || ' About ' || event_type || '.' AS output FROM dealt")
 def discarded_wordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = spark.createDataFrame([(w, p) for w, _, p in data.DISCARDED], "wording string, prompt string")
-    return frames.with_rewrite(given, "aggressive", text="prompt", enforce=False).select("wording", "prompt", "output")
+    dealt = cases.dealt(spark, spread(table(spark, sf_dir, "events").select("event_id", "event_type")), _DISCARDED, "wording string, prompt string")
+    given = dealt.select("event_id", "wording", F.concat("prompt", F.lit(" About "), "event_type", F.lit(".")).alias("text"))
+    return frames.with_rewrite(given, "aggressive", enforce=False).select("event_id", "wording", "output")
 
 
 _NAMES = ["{{today}}", "{req_id}", "${topic}", "{{user.timestamp}}", "[SESSION]"]

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..functions import text as T
 from ..operators import frames, ledger, native
+from ..operators.rewrite import SHIPPED, Rule
 from . import asof, cases, similar
 from .prompts import PROMPTS, prompts, spread, table
 from .queries import BALANCED, STATED, dealt_sql
-from .registry import query, tokens_sql
+from .registry import query, rows_sql, tokens_sql, value
 
 # Components of a table links(a, b) over nodes(id), by walking.
 _WALK = (
@@ -184,3 +185,47 @@ def sql_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "FROM (SELECT event_id, concat('First ', event_type, '\\r\\n --- \\n\\n---\\nSecond ', user_id, '. Done.\\n') AS text FROM given_events) e, "
         "LATERAL batch(e.text) b, LATERAL prompt_sentences(b.prompt) s) GROUP BY event_id, place, prompt"
     )
+
+
+# Forms of constraints and regions, and the ledger's veto.
+
+
+_INVENTORIES = [(prompt, ";".join(found)) for prompt, found in cases.INVENTORIES]
+
+
+@query(f"WITH {dealt_sql(_INVENTORIES, 'given, want')} SELECT event_id, replace(want, '◊', event_type) AS found FROM dealt")
+def inventory_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _case_texts(spark, sf_dir, _INVENTORIES, "given string, want string").select("event_id", cases.filled("given").alias("text"))
+    told = F.transform("constraints", lambda c: F.concat_ws("|", c["type"], c["label"], c["anchor"]))
+    return frames.with_constraints(given).select("event_id", F.array_join(told, ";").alias("found"))
+
+
+@query(f"WITH {dealt_sql(list(cases.OVERLAPS), 'given, kinds, want')} SELECT event_id, kinds, replace(want, '◊', event_type) AS output FROM dealt")
+def overlaps_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _case_texts(spark, sf_dir, list(cases.OVERLAPS), "given string, kinds string, want string").select("event_id", cases.filled("given").alias("text"))
+    out = frames.with_rewrite(frames.with_segments(given), "balanced")
+    kinds = F.array_compact(F.transform("segments", lambda s: s["kind"]))
+    return out.select("event_id", F.array_join(kinds, ",").alias("kinds"), "output")
+
+
+# Rules that lose constraints: one deletes a demand, one glues words after an anchor, one glues sentences, which shows only once the first is taken back.
+_HARMFUL = (
+    Rule("cut.limit", "aggressive", True, r"\bNever exceed 5 retries", "g", ""),
+    Rule("glue.word", "aggressive", True, r" for user_id", "g", "x"),
+    Rule("glue.stop", "aggressive", True, r"\. (?=You must)", "g", "z"),
+)
+_LOST = [("cut.limit", "Never", ["prohibition", "quantity"]), ("glue.word", " for user_id", ["requirement", "format"]), ("glue.stop", ". You must", ["prohibition", "quantity"])]
+_BLOCKED = " UNION ALL ".join(
+    f"SELECT event_id, {value(rule)} AS rule_id, strpos(text, {value(mark)}) - 1 AS start, {value(types)} AS types FROM prompts" for rule, mark, types in _LOST
+)
+
+
+@query(
+    f"WITH {PROMPTS}, {STATED}, hit AS ({_BLOCKED}), named AS (SELECT h.event_id, h.rule_id, h.start, string_agg(p.type || ':' || p.start || '-' || p.\"end\", ',' ORDER BY p.start, p.\"end\") AS ids "
+    "FROM hit h JOIN placed p ON p.event_id = h.event_id AND list_contains(h.types, p.type) AND p.label <> 'date' GROUP BY ALL) "
+    f"SELECT n.event_id, n.rule_id, CAST(n.start AS INTEGER) AS start, n.ids, 2 AS rounds, {BALANCED} AS output FROM named n JOIN prompts USING (event_id)"
+)
+def veto_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frames.with_rewrite(prompts(spark, sf_dir).select("event_id", "text"), "aggressive", rules=(*_HARMFUL, *SHIPPED))
+    each = out.select("event_id", "rounds", "output", F.explode("blocked").alias("b"))
+    return each.select("event_id", "b.rule_id", "b.start", F.array_join("b.constraint_ids", ",").alias("ids"), "rounds", "output")

@@ -127,3 +127,16 @@ def test_table_functions(spark):
     assert one("SELECT * FROM segments(CAST(NULL AS STRING))") == []
     with pytest.raises(Exception, match="must be a string"):
         one("SELECT * FROM segments(1)")
+
+
+def test_decimals_round_by_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from promptloom.functions import pricing
+
+    rng = random.Random(1)
+    values = [round(rng.random() * 10 ** rng.randrange(-4, 5), rng.randrange(1, 7)) for _ in range(2000)] + [0.125, 4.305, 1.15, 0.00005, 9.995, 1024.05, 16.0]
+    given = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2, 4):
+        for r in given.select("v", pricing.fixed(F.col("v"), digits).alias("s")).collect():
+            assert r["s"] == str(Decimal(r["v"]).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
