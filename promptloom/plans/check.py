@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import data
 from ..operators.rewrite import LEVELS
-from ..sources import files
+from ..sources import files, promptfiles
+from ..sources.staging import staged
 from . import reports
 
 GATES = ("budget", "regression", "duplicates")
@@ -57,15 +58,19 @@ def parser() -> argparse.ArgumentParser:
 
 
 def table(spark: SparkSession, paths: list[str], folder: str, ref: str | None) -> DataFrame:
-    """(path, content, base_content) of files, their base read from git on the driver."""
+    """(path, content, base_content) of files; the base is read by tasks, each from one git process."""
     whole = {"file:" + os.path.realpath(os.path.join(folder, p)): p for p in paths}
     names = spark.createDataFrame(list(whole.items()), "at string, name string")
     read = files.read_prompts(spark, list(whole))
     even = F.regexp_replace("path", "^file:/+", "file:/")
     joined = read.withColumn("at", even).join(F.broadcast(names), "at").select(F.col("name").alias("path"), "content")
-    base = [(p, files.at_ref(folder, ref, p)) for p in paths] if ref else []
-    known = spark.createDataFrame([(p, c) for p, c in base if c is not None], "path string, content string")
-    return files.with_base(joined, known)
+    at = files.base_ref(folder, ref) if ref and files.is_repository(folder) else None
+    if at is None:
+        return joined.withColumn("base_content", F.lit(None).cast("string"))
+    promptfiles.register(spark)
+    # Names of files that are asked for; a pattern may be one of them.
+    base = spark.read.format("prompt_files").option("ref", at[1]).option("patterns", json.dumps(["**/*"])).load(os.path.realpath(folder))
+    return files.with_base(joined, base)
 
 
 def rendered(rows: list[dict], total: dict, failed: list[str], form: str, model_id: str) -> str:
@@ -92,16 +97,13 @@ def check(spark: SparkSession, options: argparse.Namespace) -> tuple[str, int]:
     if not paths:
         raise SystemExit("no files match")
     found = reports.analyse(table(spark, paths, options.cwd, options.base), options.model, options.level, options.budget, options.calls_per_day)
-    found = found.withColumn("duplicate_groups", F.size("duplicates")).cache()
-    try:
-        rows = [r.asDict() for r in found.select(COLUMNS).orderBy("path").collect()]
-        total, failed = reports.totals(found).first().asDict(), reports.failures(found, options.gates)
-        if options.write:
-            for r in found.where("verified").select("path", "output").toLocalIterator():
-                with open(os.path.join(options.cwd, r["path"]), "w", encoding="utf-8") as f:
-                    f.write(r["output"])
-    finally:
-        found.unpersist()
+    found = staged(found.withColumn("duplicate_groups", F.size("duplicates")), "check")
+    rows = [r.asDict() for r in found.select(COLUMNS).orderBy("path").collect()]
+    total, failed = reports.totals(found).first().asDict(), reports.failures(found, options.gates)
+    if options.write:
+        promptfiles.register(spark)
+        verified = found.where("verified").select("path", F.col("output").alias("content"))
+        verified.write.format("prompt_files").mode("append").option("manifest", "no").save(os.path.realpath(options.cwd))
     said = rendered(rows, total, failed, options.format, options.model)
     if options.out:
         os.makedirs(os.path.dirname(os.path.abspath(options.out)), exist_ok=True)

@@ -745,7 +745,7 @@ def local_ml_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {PROMPTS}, whole AS (SELECT p.*, e.props FROM prompts p JOIN events e USING (event_id)) SELECT event_id, text, 'Please process event ' || event_id || ' in order to ' || event_type || "
     "'.' || chr(10) || 'You must answer in JSON for user_id ' || user_id || '.' || chr(10) || 'See https://example.org/e/' || event_id || '.' || chr(10) || 'Props: ' || props || chr(10) || "
     "'Never exceed 5 retries.' || chr(10) || 'Never exceed 5 retries.' || chr(10) || 'Current date: ' || strftime(ts, '%Y-%m-%d') || chr(10) || 'User: what about {{topic}}?' AS output, "
-    "1 AS repairs, 3 AS calls, 0 AS lost, CAST(NULL AS VARCHAR) AS error FROM whole"
+    "1 AS repairs, 4 AS calls, 0 AS lost, CAST(NULL AS VARCHAR) AS error FROM whole"
 )
 def ai_pipeline_fake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.model_pipeline(prompts(spark, sf_dir).select("event_id", "text"), reports.HalvingClient())

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,21 +111,37 @@ def failures(files: DataFrame, gates: Iterable[str] = ("budget",)) -> list[str]:
     return said
 
 
-def bench(docs: DataFrame, levels: Iterable[str] = rewrite.LEVELS) -> DataFrame:
-    """Mean and aggregate token reduction, critical constraints kept and blocked changes by corpus and level."""
+def _levels(docs: DataFrame, levels: Iterable[str]) -> DataFrame:
+    """(corpus, level, before, after, ratio, critical, kept, blocked): a row per prompt and level."""
     worked = frames.with_levels(docs.select("corpus", "text"), levels=levels)
     every = worked.select("corpus", T.estimated_tokens(F.col("text")).alias("before"), F.inline("levels")).withColumn(
         "after", T.estimated_tokens(F.col("output"))
     )
-    ratio = F.when(F.col("before") > 0, 1 - F.col("after") / F.col("before")).otherwise(0.0)
-    return every.groupBy("corpus", "level").agg(
+    return every.withColumn("ratio", F.when(F.col("before") > 0, 1 - F.col("after") / F.col("before")).otherwise(0.0))
+
+
+def _reductions() -> list[Column]:
+    """The mean of prompts' reductions, and the reduction of all tokens, which long prompts decide."""
+    return [
         F.count(F.lit(1)).alias("prompts"),
-        F.avg(ratio).alias("avg_reduction"),
+        F.avg("ratio").alias("avg_reduction"),
         (1 - F.sum("after") / F.sum("before")).alias("aggregate_reduction"),
         F.sum("critical").alias("critical"),
         F.sum("kept").alias("critical_kept"),
         F.sum("blocked").alias("blocked"),
-    )
+    ]
+
+
+def bench(docs: DataFrame, levels: Iterable[str] = rewrite.LEVELS) -> DataFrame:
+    """Mean and aggregate token reduction, critical constraints kept and blocked changes by corpus and level."""
+    return _levels(docs, levels).groupBy("corpus", "level").agg(*_reductions())
+
+
+def bench_report(docs: DataFrame, levels: Iterable[str] = rewrite.LEVELS) -> DataFrame:
+    """``bench`` by corpus and level, by level, and of everything, in one pass; ``depth`` is 0, 2 and 3 of these."""
+    every = _levels(docs, levels)
+    sets = [[F.col("corpus"), F.col("level")], [F.col("level")], []]
+    return every.groupingSets(sets, "corpus", "level").agg(F.grouping_id().alias("depth"), *_reductions())
 
 
 def batch_rows(docs: DataFrame, level: str = "balanced", text: str = "text") -> DataFrame:
@@ -168,8 +183,8 @@ def accuracy(gold: DataFrame, found: DataFrame) -> DataFrame:
 
     Both are (id, type, anchor). Sides meet on (id, type), which bounds each match to one prompt.
     """
-    g = gold.select("id", "type", F.concat(F.lit(" "), F.array_join(T.tokens(F.col("anchor")), " "), F.lit(" ")).alias("g")).withColumn("gid", F.monotonically_increasing_id())
-    f = found.select("id", "type", F.concat(F.lit(" "), F.array_join(T.tokens(F.col("anchor")), " "), F.lit(" ")).alias("f")).withColumn("fid", F.monotonically_increasing_id())
+    g = gold.select("id", "type", F.concat(F.lit(" "), F.array_join(T.tokens(F.col("anchor")), " "), F.lit(" ")).alias("g"))
+    f = found.select("id", "type", F.concat(F.lit(" "), F.array_join(T.tokens(F.col("anchor")), " "), F.lit(" ")).alias("f"))
     holds = lambda a, b: (a["id"] == b["id"]) & (a["type"] == b["type"]) & (F.contains(a["g"], b["f"]) | F.contains(b["f"], a["g"]))
     hit_gold = g.join(f, holds(g, f), "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("recalled"))
     hit_found = f.join(g, holds(g, f), "left_semi").groupBy("type").agg(F.count(F.lit(1)).alias("right"))
@@ -190,14 +205,23 @@ class Client(Protocol):
 
 
 class HalvingClient:
-    """A deterministic stand-in: drops every other sentence, judges by words, repairs by appending."""
+    """A deterministic stand-in: drops every other sentence, judges by words, repairs by appending.
+
+    It denies constraints of the types in ``doubted`` and says nothing of those in ``ignored``.
+    """
+
+    def __init__(self, doubted: Iterable[str] = (), ignored: Iterable[str] = ()):
+        self.doubted, self.ignored = frozenset(doubted), frozenset(ignored)
 
     def complete(self, task: str, fields: dict) -> str:
         if task == "compress":
-            return json.dumps({"compressed": "\n".join(s.text for s in scan.sentences(fields["text"])[::2]) or fields["text"]})
+            short = "\n".join(s.text for s in scan.sentences(fields["text"])[::2]) or fields["text"]
+            there = [(i, a.lower() in short.lower()) for i, a in fields.get("anchors", ())]
+            return json.dumps({"compressed": short, "kept": [i for i, found in there if found], "dropped": [i for i, found in there if not found]})
         if task == "verify":
             said = fields["output"].lower()
-            return json.dumps({"results": [{"id": i, "preserved": a.lower() in said, "evidence": ""} for i, a in fields["anchors"]]})
+            asked = [(i, a, i.partition(":")[0]) for i, a in fields["anchors"]]
+            return json.dumps({"results": [{"id": i, "preserved": a.lower() in said and t not in self.doubted, "evidence": ""} for i, a, t in asked if t not in self.ignored]})
         return json.dumps({"compressed": "\n".join([fields["output"], *(s for _, s in fields["missing"])])})
 
 
@@ -224,7 +248,8 @@ def critical_lost(checks: Column) -> Column:
     return F.filter(checks, lambda k: (k["severity"] == "critical") & ~k["preserved"])
 
 
-def _payload(answer: str) -> dict:
+def payload(answer: str) -> dict:
+    """An answer's JSON object; an empty one if it is none."""
     try:
         said = json.loads(answer)
     except ValueError:
@@ -232,51 +257,26 @@ def _payload(answer: str) -> dict:
     return said if isinstance(said, dict) else {}
 
 
-def _compressed(answer: str) -> str:
-    said = _payload(answer).get("compressed")
+def compressed_in(answer: str) -> str:
+    """The text of a compression or repair; ValueError if there is none."""
+    said = payload(answer).get("compressed")
     if not isinstance(said, str) or not said.strip():
         raise ValueError("the model returned an empty prompt")
     return said.strip()
 
 
-def _verdicts(answer: str) -> dict[str, bool]:
-    rows = _payload(answer).get("results")
+def verdicts_in(answer: str) -> dict[str, dict]:
+    """Verdicts of a verification by constraint; rows without an id or a verdict go."""
+    rows = payload(answer).get("results")
     good = (r for r in rows if isinstance(r, dict)) if isinstance(rows, list) else ()
-    return {r["id"]: r["preserved"] for r in good if isinstance(r.get("id"), str) and isinstance(r.get("preserved"), bool)}
-
-
-def run_model(text: str, client: Client, repairs: int = MAX_REPAIRS) -> tuple[str, int, int, int, str | None]:
-    """Compress, verify with both verifiers, repair what either calls lost; (output, repairs, calls, lost, error)."""
-    inventory = [c for c in ledger.extract(text)]
-    critical = [c for c in inventory if c.severity == "critical"]
-    try:
-        output = _compressed(client.complete("compress", {"text": text, "max_tokens": output_budget(len(text))}))
-    except ValueError as e:
-        return text, 0, 1, 0, str(e)
-    calls, done = 2, 0
-    try:
-        judged = _verdicts(client.complete("verify", {"text": text, "output": output, "anchors": [(c.id, c.anchor) for c in inventory]}))
-    except ValueError:
-        judged = {}
-    own = {k.constraint.id for k in ledger.verify(text, output, critical) if not k.preserved}
-    missing = [c for c in critical if c.id in own or judged.get(c.id) is False]
-    while missing and done < repairs:
-        done, calls = done + 1, calls + 1
-        try:
-            output = _compressed(client.complete("repair", {"output": output, "missing": [(c.id, c.sentence) for c in missing]}))
-        except ValueError:
-            break
-        missing = [k.constraint for k in ledger.verify(text, output, critical) if not k.preserved]
-    return output, done, calls, len(missing), None
+    fine = (r for r in good if isinstance(r.get("id"), str) and isinstance(r.get("preserved"), bool))
+    return {r["id"]: {"preserved": r["preserved"], "evidence": r["evidence"] if isinstance(r.get("evidence"), str) else ""} for r in fine}
 
 
 def model_pipeline(docs: DataFrame, client: Client, text: str = "text", repairs: int = MAX_REPAIRS) -> DataFrame:
-    """Adds output, repairs, calls, lost and error of a run per prompt, one client per partition's worker."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = [run_model(t or "", client, repairs) for t in frame[text]]
-            yield pd.concat([frame, pd.DataFrame(rows, columns=["output", "repairs", "calls", "lost", "error"], index=frame.index)], axis=1)
+    """Adds output, repairs, calls, lost and error of a run per prompt; ``runs.with_run`` has the whole record."""
+    from .runs import with_run
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, fields + ", output string, repairs int, calls int, lost int, error string")
+    names = ("output", "repairs", "calls", "lost", "error")
+    done = with_run(docs, client, text, repairs)
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], *[F.col(f"run.{n}").alias(n) for n in names])

@@ -24,3 +24,21 @@ def spend(stream: DataFrame, text: str = "text", at: str = "ts", window: str = "
     counted = stream.withWatermark(at, late).withColumn("tokens", T.estimated_tokens(F.col(text)))
     summed = counted.groupBy(F.window(at, window)).agg(F.count(F.lit(1)).alias("prompts"), F.sum("tokens").alias("tokens"))
     return summed.select("window.start", "prompts", "tokens", (F.col("tokens") / 1e6 * per_mtok).alias("dollars"))
+
+
+def spent(stream: DataFrame, checkpoint: str, out: str, **how: str) -> None:
+    """Write ``spend`` of what has arrived to ``out`` and stop; a later call goes on where this one has ended.
+
+    A window is written once, when the watermark has passed it. The checkpoint and the files
+    belong together and must lie where all executors reach them.
+    """
+    query = (
+        spend(stream, **how)
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
