@@ -1,19 +1,21 @@
 """Personal data: fixed formats, and identifiers found by bootstrapped contexts.
 
 The base kinds are regular expressions with a check of each match. Their matches are
-seeds of the bootstrap, whole, with the spaces inside them; so are long words that mix
-digits and letters, as keys and tokens do (``STRONG`` characters or more). Every other
-word with a digit or an at sign, ``SHORTEST`` characters or more without the marks
-around it, is an instance too. The word before an instance (with the one before that,
-if it has no letter, as in ``token =``), the word after it, or both are its contexts; a
-context is a pattern with the instance's shape, with its classes of characters, and, if
-it has both words, with anything (marks without a letter only with the shape), so that
-formats no seed has are found where seeds stand. Over the graph of distinct patterns
-and instances, each round scores a pattern by the mean confidence of its instances and
-an instance outside the seeds by the mean of its contexts, each by its best pattern, so
-trust spreads from the seeds. A pattern with a high score, enough instances and enough
-seeds discovers its instances outside the base kinds, and what is discovered is an
-``other`` span wherever it stands.
+seeds of the bootstrap, whole, with the spaces inside them; so are some of the long words
+that mix digits and letters, as keys and tokens do (``STRONG`` characters or more): one of
+``SEED_SHARE`` by a hash of the word, so that the others are for the patterns to find, and
+how many of them are found tells what the patterns are worth. Every other word with a
+digit or an at sign, ``SHORTEST`` characters or more without the marks around it, is an
+instance too. The word before an instance (with the one before that, if it has no letter,
+as in ``token =``), the word after it, or both are its contexts; a context is a pattern
+with the instance's shape, with its classes of characters, and, if it has both words, with
+anything (marks without a letter only with the shape), so that formats no seed has are
+found where seeds stand. Over the graph of distinct patterns and instances, each round
+scores a pattern by the mean confidence of its instances, but for strong words outside the
+seeds, which count neither for nor against it, and an instance outside the seeds by the
+mean of its contexts, each by its best pattern, so trust spreads from the seeds. A pattern
+with a high score, enough instances and enough seeds discovers its instances outside the
+base kinds, and what is discovered is an ``other`` span wherever it stands.
 
 All of it is DataFrame functions. Offsets are running totals over the matches and the
 gaps between them, in code points, ends exclusive. Every pass over a text is linear or
@@ -56,6 +58,8 @@ INSTANCE = rf"(?<![^{SPACE}])[^{SPACE}]*[0-9@][^{SPACE}]*+"
 EDGE = "\"'.,;:!?()[]{}<>|*#$%&"
 # Characters of the shortest word that may be an identifier, and of a word that is a seed by its form.
 SHORTEST, STRONG = 4, 20
+# One strong word of so many is a seed.
+SEED_SHARE = 2
 
 # Characters of a text that masking cuts at a time.
 BLOCK = 4096
@@ -271,7 +275,7 @@ def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return stage(found, "pii")
 
 
-def occurrences(found: DataFrame) -> DataFrame:
+def occurrences(found: DataFrame, seed_share: int = SEED_SHARE) -> DataFrame:
     """One row per instance in a text, with its (context, pattern), whether it is a seed, and whether it is of a base kind."""
     x = F.col("x")
     one = found.select("doc_id", "text_hash", F.explode("instances").alias("x"))
@@ -298,7 +302,8 @@ def occurrences(found: DataFrame) -> DataFrame:
         x["end"].alias("end"),
         x["core"].alias("core"),
         F.array_compact(F.array(*patterns)).alias("patterns"),
-        ((x["kind"] == 0) | strong(x["core"])).alias("seed"),
+        ((x["kind"] == 0) | (strong(x["core"]) & (F.pmod(F.xxhash64(x["core"]), F.lit(seed_share)) == 0))).alias("seed"),
+        ((x["kind"] != 0) & strong(x["core"]) & (F.pmod(F.xxhash64(x["core"]), F.lit(seed_share)) != 0)).alias("open"),
         (x["kind"] == 0).alias("base"),
     )
 
@@ -312,19 +317,20 @@ def trusted_patterns(
 ) -> DataFrame:
     """(pattern) that passes after ``rounds`` of scoring the pattern-instance graph."""
     edges = stage(
-        occurred.select("core", "seed", F.inline("patterns"))
+        occurred.select("core", "seed", "open", F.inline("patterns"))
         .groupBy("context", "pattern", "core")
-        .agg(F.max("seed").alias("seed")),
+        .agg(F.max("seed").alias("seed"), (F.max("open") & ~F.max("seed")).alias("open")),
         "graph",
     )
     trust = edges.groupBy("core").agg(F.max("seed").cast("double").alias("trust")).withColumn("is_seed", F.col("trust") == 1)
     for _ in range(rounds):
         scored = (
-            edges.select("pattern", "core")
+            edges.select("pattern", "core", "open")
             .join(trust, "core")
             .groupBy("pattern")
             .agg(
-                (F.sum("trust") / (F.count(F.lit(1)) + 1)).alias("score"),
+                # Strong words outside the seeds speak neither for a pattern nor against it.
+                (F.coalesce(F.sum(F.when(~F.col("open"), F.col("trust"))), F.lit(0.0)) / (F.count_if(~F.col("open")) + 1)).alias("score"),
                 F.count(F.lit(1)).alias("n"),
                 F.count_if("is_seed").alias("n_seed"),
             )
@@ -349,22 +355,21 @@ def trusted_patterns(
     ).select("pattern")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: float) -> DataFrame:
+def discovered(occurred: DataFrame, **bounds: float) -> DataFrame:
+    """(core, seed): what trusted patterns find outside the base kinds, and whether it was a seed itself."""
+    patterns = trusted_patterns(occurred, **bounds)
+    fresh = occurred.where(~F.col("base")).select("core", "seed", F.explode("patterns.pattern").alias("pattern")).distinct()
+    return fresh.join(patterns, "pattern", "left_semi").groupBy("core").agg(F.max("seed").alias("seed"))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed_share: int = SEED_SHARE, **bounds: float) -> DataFrame:
     """(doc_id, text_hash, email, ip, card, phone, other): arrays of (start, end), one row per row of ``docs``."""
     found = extracted(docs, id_col, text_col)
-    occurred = occurrences(found)
-    patterns = trusted_patterns(occurred, **bounds)
-    fresh = occurred.where(~F.col("base"))
-    discovered = (
-        fresh.select("core", F.explode("patterns.pattern").alias("pattern"))
-        .distinct()
-        .join(patterns, "pattern", "left_semi")
-        .select("core")
-        .distinct()
-    )
+    occurred = occurrences(found, seed_share)
     new = (
-        fresh.select("doc_id", "text_hash", "core", F.struct("start", "end").alias("span"))
-        .join(discovered, "core", "left_semi")
+        occurred.where(~F.col("base"))
+        .select("doc_id", "text_hash", "core", F.struct("start", "end").alias("span"))
+        .join(discovered(occurred, **bounds), "core", "left_semi")
         .groupBy("doc_id", "text_hash")
         .agg(F.array_sort(F.collect_set("span")).alias(LEARNED))
     )

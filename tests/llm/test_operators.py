@@ -537,21 +537,34 @@ def test_keys_are_discovered_where_their_context_is_trusted(spark):
     rows = [(i, f'see token = "{key(i)}" and x{i}') for i in range(20)] + [(50, 'the token = "ab12cd" here'), (51, f"alone {key(3)}"), (52, f"alone {key(99)} too")]
     got = {r["doc_id"]: [t[slice(*s)] for s in r["other"]] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() for t in [dict(rows)[r["doc_id"]]]}
     assert all(got[i] == [key(i)] for i in range(20)) and got[50] == ["ab12cd"] and got[51] == [key(3)] and got[52] == []
+    # About half of the keys are no seeds, and are found by the patterns of the others.
+    found = pii.discovered(pii.occurrences(pii.extracted(spark.createDataFrame(rows, "doc_id long, text string")))).collect()
+    assert {r["core"] for r in found} == {key(i) for i in range(20)} | {"ab12cd"} and 5 < sum(not r["seed"] for r in found) < 17
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_planted_keys_are_found_without_being_seeds(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    found = {r["core"]: r["seed"] for r in pii.discovered(pii.occurrences(pii.extracted(docs))).collect()}
+    planted = {k.lower() for r in docs.select("text").collect() for k in re.findall(r'(?i)token = "([0-9a-f]{40})', r["text"] or "")}
+    assert planted and set(found) == planted and sum(not s for s in found.values()) > len(planted) / 3
 
 
 def test_graph_scores_equal_a_plain_loop(spark):
     rng = np.random.default_rng(4)
     words = "call mail near from until today soon".split()
-    rows = [(i, " ".join([*rng.choice(words, 2), str(rng.choice(["+49 30 1234567", f"10.0.0.{i % 9}", "x77", "a-1234", f"n{i % 7}00"])), *rng.choice(words, 2)])) for i in range(400)]
+    rows = [(i, " ".join([*rng.choice(words, 2), str(rng.choice(["+49 30 1234567", f"10.0.0.{i % 9}", "x77", "a-1234", f"n{i % 7}00", f"k3y{i % 8}bcdefgh1234567890"])), *rng.choice(words, 2)])) for i in range(400)]
     occurred = pii.occurrences(pii.extracted(spark.createDataFrame(rows, "doc_id long, text string"))).cache()
     edges = {(p["context"], p["pattern"], r["core"]) for r in occurred.collect() for p in r["patterns"]}
     seeds = {r["core"] for r in occurred.collect() if r["seed"]}
+    unsaid = {r["core"] for r in occurred.collect() if r["open"]}
+    assert seeds & unsaid == set() and unsaid
     trust = {c: float(c in seeds) for _, _, c in edges}
     for _ in range(pii.ROUNDS):
         of = {}
         for _, p, c in edges:
             of.setdefault(p, set()).add(c)
-        score = {p: sum(trust[c] for c in v) / (len(v) + 1) for p, v in of.items()}
+        score = {p: sum(trust[c] for c in v - unsaid) / (len(v - unsaid) + 1) for p, v in of.items()}
         best = {}
         for x, p, c in edges:
             best.setdefault(c, {})[x] = max(best.get(c, {}).get(x, 0), score[p])
