@@ -8,29 +8,28 @@ candidates come from overlapping cells of the shard, and are robustly pruned, so
 neighbour hides what lies closer to it than to the vertex. The lists that a vertex has
 from its shards are united and go back to each of them. There every vertex is searched
 for: a beam search from the medoid and from its own place, then an expansion along edges
-through all that is within reach of the range and not yet known to be linked. Only
-vectors that a search meets are compared.
-
-What it finds is verified by cosine in double precision and gives a spanning forest, and
-so the components. Links only stand inside components, so they are counted there, every
-two blocks of a component, exactly: a link that the search missed is lost only if it was
-the one that held two components together. A shard or component that is too full is cut
-into blocks, and every two blocks are a task, so no pair of it is lost and a task's
-memory stays bounded. Recall is audited after every pass, on a bounded sample of vectors
-against all vectors of their label. Labels below the target, or all of them if the whole
-sample is, run again with more overlap; where that isn't enough they are compared whole,
-every two blocks, without a graph, which is exact and takes time with the square of the
-label.
+through all that is within reach of the range. Only vectors that a search meets are
+compared.
+
+What it finds is verified by cosine in double precision; these pairs are the links that are
+counted, each in one task, that of the first shard that holds both vectors, and the links
+of the components. A shard that is too full is cut into blocks, and every two blocks are a
+task, so a task's memory stays bounded. Recall is audited after every pass, on a bounded
+sample of vectors against all vectors of their label; it is logged, and stands in the
+result. Labels below the target, or all of them if the whole sample is, run again with
+more overlap; where that isn't enough they are compared whole, every two blocks, without a
+graph, which is exact and takes time with the square of the label.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and
-vectors of a null label or id, link with nothing and are kept; vectors of different
-lengths don't link; repeated rows, and rows that share an id, count as rows of their
+vectors of a null label, link with nothing and are kept; a vector with a null id links like
+any other and names no component that has another id; vectors of different lengths don't link; repeated rows, and rows that share an id, count as rows of their
 own; ties don't matter, for every link counts; an empty table gives an empty one; other
 columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import stage
 from .components import connected_components
 
+LOG = logging.getLogger(__name__)
 COSINE = 0.93
 # Vectors of a shard, about, and at most before it is cut into blocks.
 SHARD, FULL = 640, 4096
@@ -55,6 +55,8 @@ CELL, CELLS = 48, 3
 # Candidates of a vertex, its neighbours after pruning, and the pruning's stretch.
 CANDIDATES, DEGREE, STRETCH = 64, 24, 1.2
 BEAM = 10
+# Places that an expansion goes on from at a time.
+STEP = 1 << 14
 # How far under the range the expansion still walks.
 SLACK = 0.06
 AUDIT, RECALL = 256, 0.97
@@ -79,7 +81,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
     """Distinct vectors of each label: (space, print0, print1, vector, id, n, key)."""
     sound = F.forall(_vector(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(_vector(vector_col), lambda x: x != 0)
-    ok = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()
+    ok = F.col(label_col).isNotNull() & F.col(vector_col).isNotNull()
     rows = vectors.where(ok & F.coalesce(sound & some, F.lit(False))).select(
         _space(vector_col, label_col).alias("space"), *_prints(vector_col), _vector(vector_col).alias("vector"), F.col(id_col).cast("long").alias("id")
     )
@@ -252,21 +254,21 @@ def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def search(x: np.ndarray, lists: np.ndarray, cosine: float, slack: float = SLACK) -> np.ndarray:
-    """For each vertex the least one that links found by the search lead to."""
+def search(x: np.ndarray, lists: np.ndarray, cosine: float, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs (a, b), a < b, that searches for all vertices find, each once."""
     n, width = lists.shape
     low = x.astype(np.float32)
     rows = np.arange(n)
+    found: list[np.ndarray] = []
 
-    def joined(root: np.ndarray, a: np.ndarray, b: np.ndarray, like: np.ndarray) -> np.ndarray:
-        # Double precision decides; pairs that are joined already needn't be asked.
-        near = np.flatnonzero((like >= cosine - 1e-4) & (root[a] != root[b]))
-        sure = near[_dots(x, a[near], b[near]) >= cosine]
-        return _roots(root, a[sure], b[sure])
+    def keep(a: np.ndarray, b: np.ndarray, like: np.ndarray) -> None:
+        # Double precision decides, once for each pair.
+        near = np.flatnonzero(like >= cosine - 1e-4)
+        found.append(np.unique(np.minimum(a[near], b[near]) * n + np.maximum(a[near], b[near])))
 
     a, b = np.repeat(rows, width), lists.ravel()
     a, b = a[b >= 0], b[b >= 0]
-    root = joined(rows.copy(), a, b, _dots(low, a, b))
+    keep(a, b, _dots(low, a, b))
     # Beam search, all vertices at once.
     medoid = int((low @ low.mean(0)).argmax())
     seen = np.zeros((n, n), dtype=bool)
@@ -276,7 +278,10 @@ def search(x: np.ndarray, lists: np.ndarray, cosine: float, slack: float = SLACK
     beam[:, 0], value[:, 0] = medoid, low @ low[medoid]
     beam[:, 1], value[:, 1] = np.where(rows == medoid, -1, rows), np.where(rows == medoid, -3, 1)
     opened = beam < 0
-    hits = []
+    own = np.flatnonzero(value[:, 0] >= cosine - slack)
+    own = own[own != medoid]
+    waiting = [(own, np.full(len(own), medoid))]
+    keep(own, waiting[0][1], value[own, 0])
     while True:
         closed = np.where(opened, -3, value)
         best = closed.argmax(1)
@@ -289,28 +294,37 @@ def search(x: np.ndarray, lists: np.ndarray, cosine: float, slack: float = SLACK
         at, q, v = fresh % width, q[fresh], v[fresh]
         seen[q, v] = True
         like = _dots(low, q, v)
-        hits.append((q[like >= cosine - slack], v[like >= cosine - slack], like[like >= cosine - slack]))
-        new, found = np.full((n, width), -1), np.full((n, width), -3, dtype=np.float32)
-        new[q, at], found[q, at] = v, like
-        both, score = np.concatenate([beam, new], 1), np.concatenate([value, found], 1)
+        near = like >= cosine - slack
+        waiting.append((q[near], v[near]))
+        keep(q, v, like)
+        new, score = np.full((n, width), -1), np.full((n, width), -3, dtype=np.float32)
+        new[q, at], score[q, at] = v, like
+        both, score = np.concatenate([beam, new], 1), np.concatenate([value, score], 1)
         done = np.concatenate([opened, new < 0], 1)
         top = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
         beam, value, opened = (np.take_along_axis(m, top, 1) for m in (both, score, done))
-    # Expansion: along edges, through everything within reach that isn't joined yet.
-    q, v, like = (np.concatenate(part) for part in zip(*hits, strict=True)) if hits else (np.zeros(0, int),) * 3
-    root = joined(root, q, v, like)
-    while len(q):
-        apart = root[q] != root[v]
-        q, v = np.repeat(q[apart], width), lists[v[apart]].ravel()
-        fresh = (v >= 0) & ~seen[q, v]
+    # Expansion: along edges, through everything within reach of the range, some at a time.
+    while waiting:
+        q, v = waiting.pop()
+        if len(q) > STEP:
+            waiting.append((q[STEP:], v[STEP:]))
+            q, v = q[:STEP], v[:STEP]
+        q, v = np.repeat(q, width), lists[v].ravel()
+        fresh = v >= 0
+        q, v = q[fresh], v[fresh]
+        fresh = ~seen[q, v]
         code = np.unique(q[fresh] * n + v[fresh])
         q, v = code // n, code % n
         seen[q, v] = True
         like = _dots(low, q, v)
         near = like >= cosine - slack
-        q, v, like = q[near], v[near], like[near]
-        root = joined(root, q, v, like)
-    return root
+        if near.any():
+            waiting.append((q[near], v[near]))
+            keep(q, v, like)
+    code = np.unique(np.concatenate(found))
+    a, b = code // n, code % n
+    sure = _dots(x, a, b) >= cosine
+    return a[sure], b[sure]
 
 
 def _lists_frame(frame: pd.DataFrame) -> pd.DataFrame:
@@ -320,17 +334,41 @@ def _lists_frame(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": keys, "near": [keys[r[r >= 0]].tolist() for r in lists]})
 
 
+def least_common(shards: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least shard that both vectors of each pair are in."""
+    most = max(map(len, shards))
+    padded = np.full((len(shards), most), -1)
+    for i, s in enumerate(shards):
+        padded[i, : len(s)] = s
+    out = np.full(len(a), -1)
+    # Shards are sorted, so the last one that is written is the least.
+    for k in reversed(range(most)):
+        mine = padded[a, k]
+        met = (mine >= 0) & (padded[b] == mine[:, None]).any(1)
+        out[met] = mine[met]
+    return out
+
+
 def _searched_frame(cosine: float):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key", ignore_index=True)
-        keys, n = frame["key"].to_numpy(), len(frame)
+        keys, weight, block, n = frame["key"].to_numpy(), frame["n"].to_numpy(), frame["block"].to_numpy(), len(frame)
         x = _normed(np.stack(frame["vector"].to_numpy()))
         near = [np.searchsorted(keys, r) for r in frame["near"]]
         near = [p[(p < n) & (keys[np.minimum(p, n - 1)] == r)] for p, r in zip(near, frame["near"], strict=True)]
         lists = np.full((n, max(1, max(map(len, near)))), -1)
         for i, r in enumerate(near):
             lists[i, : len(r)] = r
-        return pd.DataFrame({"space": frame["space"], "key": keys, "links": 0, "to": keys[search(x, lists, cosine)]})
+        a, b = search(x, lists, cosine)
+        root = _roots(np.arange(n), a, b)
+        # Each pair counts in one task: that of its own two blocks in the first shard that holds both.
+        first, last = int(frame["low"].iloc[0]), int(frame["high"].iloc[0])
+        mine = (np.minimum(block[a], block[b]) == first) & (np.maximum(block[a], block[b]) == last)
+        a, b = a[mine], b[mine]
+        mine = least_common(list(frame["shards"]), a, b) == int(frame["shard"].iloc[0])
+        a, b = a[mine], b[mine]
+        links = np.bincount(a, weight[b], n).astype(np.int64) + np.bincount(b, weight[a], n).astype(np.int64)
+        return pd.DataFrame({"space": frame["space"], "key": keys, "links": links, "to": keys[root]})
 
     return run
 
@@ -363,10 +401,10 @@ def _whole_frame(cosine: float):
 def linked(deal: DataFrame, cosine: float, full: int = FULL, whole: bool = False) -> DataFrame:
     """(space, key, links, to): a row per vector, shard and block pair, with the least key it reaches there.
 
-    ``whole`` compares all pairs of each shard, whose shards mustn't overlap, and counts
-    the links; otherwise the graph is searched and ``links`` is 0.
+    ``links`` are the vector's links of which this is the task. ``whole`` compares all pairs
+    of each shard, whose shards mustn't overlap; otherwise the graph is searched.
     """
-    spread = deal.select("space", "key", "n", "vector", F.explode("shards").alias("shard"))
+    spread = deal.select("space", "key", "n", "vector", "shards", F.explode("shards").alias("shard"))
     fill = spread.groupBy("space", "shard").agg(F.count(F.lit(1)).alias("rows"))
     blocks = fill.select("space", "shard", F.ceil(F.col("rows") * 2 / full).cast("int").alias("blocks"))
     blocks = blocks.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks")))
@@ -375,7 +413,7 @@ def linked(deal: DataFrame, cosine: float, full: int = FULL, whole: bool = False
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    paired = placed.select("*", other).select("space", "shard", low, high, "block", "key", "n", "vector")
+    paired = placed.select("*", other).select("space", "shard", low, high, "block", "key", "n", "vector", "shards")
     task = ["space", "shard", "low", "high"]
     out = "space string, key long, links long, to long"
     if whole:
@@ -386,12 +424,6 @@ def linked(deal: DataFrame, cosine: float, full: int = FULL, whole: bool = False
     return paired.join(united, "key").groupBy(*task).applyInPandas(_searched_frame(cosine), out)
 
 
-def counted(classes: DataFrame, components: DataFrame, cosine: float, full: int = FULL) -> DataFrame:
-    """(key, links): links of each vector of a component of two or more, counted inside it."""
-    deal = classes.join(components, "key").select("space", "key", "n", "vector", F.array("component").alias("shards"))
-    return linked(deal, cosine, full, whole=True).groupBy("key").agg(F.sum("links").alias("links"))
-
-
 def audit(classes: DataFrame, counted: DataFrame, cosine: float, sample: int = AUDIT) -> dict[str, tuple[int, int]]:
     """By space, how many links of a hashed sample of vectors ``counted`` (key, links) has, and how many there are."""
     queries = classes.orderBy(F.xxhash64("vector"), "key").limit(sample).select("space", "key", "vector").collect()
@@ -431,7 +463,7 @@ def near_duplicates(
     label_col: str = "label",
     recall: float = RECALL,
 ) -> DataFrame:
-    """(id, n_links, component_id) of every row."""
+    """(id, n_links, component_id, recall) of every row; ``recall`` is the share of its label's links that the audit found."""
     classes = stage(valid(vectors, id_col, vector_col, label_col), "vectors")
     centres = pivots(classes)
     todo, parts, overlap = classes, [], OVERLAP
@@ -441,15 +473,17 @@ def near_duplicates(
         forest = found.select(F.col("key").alias("src"), F.col("to").alias("dst"))
         components = connected_components(forest).select(F.col("id").alias("key"), F.col("component_id").alias("component"))
         components = stage(components.join(todo.select("key", "space"), "key"), "components")
-        if overlap == 0:
-            links = found.groupBy("key").agg(F.sum("links").alias("links"))
-        else:
-            links = counted(todo.drop("id"), components.drop("space"), cosine)
+        links = found.groupBy("key").agg(F.sum("links").alias("links"))
         links = stage(links.join(todo.select("key", "space"), "key"), "counted")
         if overlap == 0:
-            parts.append((components, links))
+            parts.append((components, links.withColumn("recall", F.lit(1.0))))
             break
         checked = audit(todo, links, cosine)
+        rates = {s: g / e if e else 1.0 for s, (g, e) in checked.items()}
+        for s, rate in sorted(rates.items()):
+            LOG.info("recall of %s with %d shards a vector: %.4f", s, overlap, rate)
+        measured = F.coalesce(F.create_map(*[F.lit(v) for pair in rates.items() for v in pair])[F.col("space")], F.lit(1.0)) if rates else F.lit(1.0)
+        links = links.withColumn("recall", measured)
         got, exact = (sum(v[k] for v in checked.values()) for k in (0, 1))
         low = [s for s, (g, e) in checked.items() if g < recall * e]
         short = F.lit(True) if got < recall * exact else F.col("space").isin(low)
@@ -462,7 +496,7 @@ def near_duplicates(
         if overlap == 0:
             centres = {}
     components = reduce(DataFrame.unionByName, [c for c, _ in parts]).select("key", "component")
-    links = reduce(DataFrame.unionByName, [k for _, k in parts]).select("key", "links")
+    links = reduce(DataFrame.unionByName, [k for _, k in parts]).select("key", "links", "recall")
     # A component is named by its least id, which its least key needn't have.
     least = components.join(classes.select("key", "id"), "key").groupBy("component").agg(F.min("id").alias("least"))
     named = (
@@ -475,13 +509,17 @@ def near_duplicates(
             "print1",
             F.coalesce("least", "id").alias("component_id"),
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+            "recall",
         )
     )
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"),
-        F.when(F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), _space(vector_col, label_col)).alias("space"),
+        F.when(F.col(label_col).isNotNull(), _space(vector_col, label_col)).alias("space"),
         *_prints(vector_col),
     )
     return rows.join(named, ["space", "print0", "print1"], "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+        "id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("recall", F.lit(1.0)).alias("recall"),
     )

@@ -48,7 +48,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(
-        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "recall"
     )
 
 

@@ -317,19 +317,24 @@ def test_tiny_vectors_and_shared_ids(spark):
     rows = [(1, a, 1), (2, a, 1), (3, [1.0, 1.0], 1), (4, b, 1), (4, c, 1), (5, b, 1), (6, [0.0, 1.0], 1), (None, b, 1), (7, None, 1), (8, b, None)]
     got = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     assert sorted((r["id"] or 0, r["n_links"], r["component_id"] or 0) for r in got.collect()) == [
-        (0, 0, 0), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (4, 1, 4), (5, 1, 4), (6, 1, 4), (7, 0, 7), (8, 0, 8)
+        (0, 2, 4), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (4, 2, 4), (5, 2, 4), (6, 1, 4), (7, 0, 7), (8, 0, 8)
     ]
 
 
-def test_search_finds_components_on_its_graph():
+def test_search_finds_all_links_on_its_graph():
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(60, 24))
     x = neighbours._normed(np.concatenate([centres + rng.normal(size=centres.shape) * s for s in (0.05, 0.1, 0.2, 0.25, 0.3, 0.5) for _ in range(2)]))
     lists = neighbours.build(x)
     assert lists.shape == (len(x), 2 * neighbours.DEGREE) and all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(lists))
     a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
-    want = groups(list(zip(a.tolist(), b.tolist(), strict=True)), range(len(x)))
-    assert neighbours.search(x, lists, 0.93).tolist() == [want[i] for i in range(len(x))]
+    assert set(zip(*(v.tolist() for v in neighbours.search(x, lists, 0.93)), strict=True)) == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_pairs_count_in_the_first_shard_of_both():
+    shards = [np.array(s) for s in ([1, 4, 9], [4, 9], [2, 9], [7])]
+    a, b = np.array([0, 0, 1, 0]), np.array([1, 2, 2, 3])
+    assert neighbours.least_common(shards, a, b).tolist() == [4, 9, 9, -1]
 
 
 @pytest.mark.parametrize("whole", [True, False])
@@ -344,7 +349,7 @@ def test_full_shards_are_cut_into_blocks(spark, whole):
     want, got = Counter(i for p in pairs for i in p), Counter()
     for r in found:
         got[id_of[r["key"]]] += r["links"]
-    assert {i: n for i, n in got.items() if n} == (dict(want) if whole else {})
+    assert {i: n for i, n in got.items() if n} == dict(want)
 
 
 @pytest.mark.parametrize("merge", [True, False])
@@ -361,6 +366,10 @@ def test_dense_groups_are_compared_whole(spark, monkeypatch, merge):
     got = {r["id"]: r for r in neighbours.near_duplicates(frame).collect()}
     pairs = brute_links(rows)
     want = Counter(i for p in pairs for i in p)
+    assert all(0.97 <= r["recall"] <= 1 for r in got.values())
+    if not merge:
+        # The whole label was compared in the end.
+        assert {r["recall"] for r in got.values()} == {1.0}
     assert len(pairs) > 40_000 and {i: r["n_links"] for i, r in got.items()} == {r[0]: want[r[0]] for r in rows}
     assert {i: r["component_id"] for i, r in got.items()} == groups(pairs, [r[0] for r in rows])
 
