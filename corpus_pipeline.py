@@ -42,8 +42,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, in windows of the order in which the rows lie in their Parquet files. Null texts are one separator."""
-    # The stage before writes its range-sorted partitions as numbered files.
-    part = F.coalesce(F.regexp_extract("_metadata.file_name", "^part-([0-9]+)", 1).try_cast("long"), F.lit(0))
+    # The stage before writes its range-sorted partitions as numbered files, a partition as one or more in turn.
+    name = F.col("_metadata.file_name")
+    numbers = [F.coalesce(F.regexp_extract(name, p, 1).try_cast("long"), F.lit(0)) for p in ("^part-([0-9]+)", "-c([0-9]+)[^-]*$")]
+    part = numbers[0] * (1 << 20) + numbers[1]
     return pack_in_order(docs, public_tokenizer(), part, F.col("_metadata.row_index"))
 
 

@@ -47,3 +47,11 @@ def test_queries_keep_every_row(spark, name):
     table = {"op1": "pages", "op6": "pages", "op4": "embeddings"}.get(name.split("_")[0], "documents")
     got, rows = queries.queries()[name](spark, SF), spark.read.parquet(f"{SF}/{table}.parquet").count()
     assert got.count() >= rows if name.startswith("op3") else got.count() == rows
+
+
+def test_order_of_training_over_several_files_a_partition(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.option("maxRecordsPerFile", 9).parquet(str(tmp_path / "docs"))
+    packed = corpus_pipeline.packing(spark, spark.read.parquet(str(tmp_path / "docs")), SF).where("piece = 0").collect()
+    order = sorted((r["position"], r["doc_id"]) for r in packed)
+    assert [p for p, _ in order] == list(range(len(order))) and [d for _, d in order] == sorted(d for _, d in order)
