@@ -6,8 +6,8 @@ log of how much likelier bad texts are than good ones to have that much of the s
 Those ratios come from a third of the labels. The others certify, per stratum, a cutoff
 of the score that with probability ``1 - DELTA`` over all strata rejects at most
 ``ALPHA`` of the stratum's good texts: cutoffs of a fixed grid are tested from the
-strictest on, each by the exact binomial tail over the stratum's good texts at the level
-``DELTA / strata``, and testing stops at the first that isn't certified. A chain of
+strictest on, each by the exact binomial tail over the stratum's distinct good texts at the
+level ``DELTA / strata``, and testing stops at the first that isn't certified. A chain of
 tests in fixed order needs no further correction, and all certificates hold together, so
 any certified cutoff may be taken: the strictest of those that part bad from good texts
 best. A stratum with too few labels for any certificate (under about 107 good ones, with
@@ -204,9 +204,10 @@ def score(found: dict[str, list[float]]) -> Column:
 
 def cutoffs(rows: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, cutoff) from labelled rows with a ``score``."""
+    # Copies of one text are one trial, for the bound takes trials to be independent.
+    trials = rows.where("NOT for_fit").groupBy("stratum", "text_hash", "score").agg(F.min("good").alias("good"))
     counts = (
-        rows.where("NOT for_fit")
-        .groupBy("stratum", grid_step(F.col("score")).alias("step"))
+        trials.groupBy("stratum", grid_step(F.col("score")).alias("step"))
         .agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") == 0).alias("bad"))
     )
     counts = stage(counts, "steps")
