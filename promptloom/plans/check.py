@@ -22,7 +22,7 @@ from . import reports
 
 GATES = ("budget", "regression", "duplicates")
 MODEL = "claude-opus-5"
-COLUMNS = ["path", "tokens", "base_tokens", "delta_tokens", "monthly_cost", "over_by", "duplicate_groups", "saved_tokens", "verified"]
+COLUMNS = ["path", "tokens", "exact", "base_tokens", "delta_tokens", "monthly_cost", "over_by", "duplicate_groups", "saved_tokens", "verified"]
 
 
 def _positive(value: str) -> int:
@@ -50,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-base", dest="base", action="store_const", const=None)
     p.add_argument("--calls-per-day", type=_positive, default=reports.CALLS_PER_DAY)
     p.add_argument("--write", action="store_true")
+    p.add_argument("--vocabulary", help="a tokenizer file for models whose vocabulary is public; others are estimated")
     p.add_argument("--format", default="text", choices=("text", "markdown", "json"))
     p.add_argument("--out")
     p.add_argument("--fail-on", dest="gates", type=_gates, default=["budget"])
@@ -81,7 +82,7 @@ def rendered(rows: list[dict], total: dict, failed: list[str], form: str, model_
     for r in rows:
         delta = "" if r["delta_tokens"] is None else f"{r['delta_tokens']:+,}"
         saves = "" if r["saved_tokens"] is None else f"{r['saved_tokens']:,}" + ("" if r["verified"] else " (unverified)")
-        lines.append([r["path"], f"~{r['tokens']:,}" + (f" (+{r['over_by']:,} over)" if r["over_by"] else ""), delta, f"${r['monthly_cost']:,.2f}", str(r["duplicate_groups"]), saves])
+        lines.append([r["path"], f"{'' if r['exact'] else '~'}{r['tokens']:,}" + (f" (+{r['over_by']:,} over)" if r["over_by"] else ""), delta, f"${r['monthly_cost']:,.2f}", str(r["duplicate_groups"]), saves])
     foot = f"{total['files']} files, ~{total['tokens'] or 0:,} tokens, ${total['monthly_cost'] or 0:,.2f} a month with {model_id}"
     if form == "markdown":
         body = ["| " + " | ".join(x) + " |" for x in (head, ["-"] * len(head), *lines)]
@@ -96,7 +97,7 @@ def check(spark: SparkSession, options: argparse.Namespace) -> tuple[str, int]:
     paths = files.expand(options.patterns, options.cwd)
     if not paths:
         raise SystemExit("no files match")
-    found = reports.analyse(table(spark, paths, options.cwd, options.base), options.model, options.level, options.budget, options.calls_per_day)
+    found = reports.analyse(table(spark, paths, options.cwd, options.base), options.model, options.level, options.budget, options.calls_per_day, options.vocabulary)
     found = staged(found.withColumn("duplicate_groups", F.size("duplicates")), "check")
     rows = [r.asDict() for r in found.select(COLUMNS).orderBy("path").collect()]
     total, failed = reports.totals(found).first().asDict(), reports.failures(found, options.gates)

@@ -10,7 +10,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import data, pricing
+from ..functions import counting, data, pricing
 from ..functions import text as T
 from ..operators import frames, ledger, rewrite, scan
 
@@ -56,21 +56,29 @@ def analyse(
     level: str = "balanced",
     budget: int | None = None,
     calls_per_day: int = CALLS_PER_DAY,
+    vocabulary: str | None = None,
+    service: counting.Counter | None = None,
 ) -> DataFrame:
     """(path, content, base_content) -> tokens, growth, cost, duplicates and a vetted suggestion per file.
 
-    Every level is vetted by the ledger, since nobody watches the diff.
+    Every level is vetted by the ledger, since nobody watches the diff. Tokens are counted
+    by the model's ``vocabulary`` or ``service`` where there is one; ``exact`` says whether
+    all counts of a file are, estimates stand in for the others.
     """
     price = F.lit(data.model(model_id)[3])
     month = lambda tokens: pricing.monthly_cost(tokens, price, F.lit(calls_per_day))
     found = frames.with_duplicates(frames.with_rewrite(files, level, text="content", enforce=True), text="content")
-    counted = found.withColumns(
+    count = lambda c: counting.counted(F.col(c), model_id, vocabulary, service)
+    both = found.withColumns({"_now": count("content"), "_base": count("base_content"), "_new": count("output")})
+    based = F.col("base_content").isNotNull()
+    counted = both.withColumns(
         {
-            "tokens": T.estimated_tokens(F.col("content")),
-            "base_tokens": F.when(F.col("base_content").isNotNull(), T.estimated_tokens(F.col("base_content"))),
-            "new_tokens": T.estimated_tokens(F.col("output")),
+            "tokens": F.col("_now.tokens"),
+            "base_tokens": F.when(based, F.col("_base.tokens")),
+            "new_tokens": F.col("_new.tokens"),
+            "exact": F.col("_now.exact") & F.col("_new.exact") & (~based | F.col("_base.exact")),
         }
-    )
+    ).drop("_now", "_base", "_new")
     lost = F.size(F.filter("checks", lambda c: (c["severity"] == "critical") & ~c["preserved"]))
     saved = F.col("tokens") - F.col("new_tokens")
     suggested = (F.size("changes") > 0) & (F.col("output") != F.col("content")) & (saved > 0)

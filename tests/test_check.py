@@ -23,6 +23,14 @@ def test_check_command(spark, folder):
     assert said.startswith("| file |") and (folder / "one.md").read_text() == "Write it to win. Never share keys."
 
 
+def test_exact_counts_are_told_from_estimates(spark, folder):
+    import public_tokenizers
+
+    run = lambda model: check.check(spark, check.parser().parse_args(["*.md", "--cwd", str(folder), "--no-base", "--model", model, "--vocabulary", public_tokenizers.path("word_bpe_49k.json"), "--format", "json"]))
+    assert all(f["exact"] for f in json.loads(run("gpt-5")[0])["files"])
+    assert not any(f["exact"] for f in json.loads(run("claude-opus-5")[0])["files"])
+
+
 @pytest.mark.parametrize("args", [["x", "--budget", "0"], ["x", "--level", "none"], ["x", "--fail-on", "luck"], []])
 def test_wrong_usage(args):
     with pytest.raises(SystemExit) as e:
