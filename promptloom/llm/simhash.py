@@ -133,6 +133,11 @@ def _near(looks: DataFrame, residents: DataFrame, radius: int) -> DataFrame:
     )
 
 
+def _full(residents: DataFrame, cell: int) -> DataFrame:
+    """The cells of more than ``cell`` residents; staged, so that no branch counts them again and few of them need no shuffle."""
+    return stage(residents.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("cell"), "full")
+
+
 def fingerprint_links(prints: DataFrame, radius: int = 2, cell: int = CELL) -> DataFrame:
     """Distinct ``fp`` -> links (src, dst) whose components are those of all pairs within ``radius``.
 
@@ -157,7 +162,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, cell: int = CELL) -> D
         F.col("counts").alias("src_counts"),
         F.explode(F.array_compact(F.array(*own, *steps))).alias("cell"),
     )
-    full = residents.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("cell")
+    full = _full(residents, cell)
     near = _near(looks, residents.join(full, "cell", "left_anti"), radius)
     # The same once more in the full cells, by a quarter of the other half.
     inside = residents.join(full, "cell", "left_semi")
@@ -168,7 +173,7 @@ def fingerprint_links(prints: DataFrame, radius: int = 2, cell: int = CELL) -> D
         moved = [m for j in range(8) for m in (_step(part, j), _back(part, j))] if radius == 2 else []
         finer += [_finer(F.col("cell"), q, p) for p in (part, *moved)]
     looks = looks.join(full, "cell", "left_semi").select("src", "src_counts", F.explode(F.array_compact(F.array(*finer))).alias("cell"))
-    full = residents.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).select("cell")
+    full = _full(residents, cell)
     near = near.union(_near(looks, residents.join(full, "cell", "left_anti"), radius))
     crowded = looks.join(full, "cell", "left_semi").select(F.col("src").alias("fp")).distinct()
     around = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("long"), j)) for j in range(64)]
