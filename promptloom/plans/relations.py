@@ -11,7 +11,7 @@ from ..functions import counting, data, tables
 from ..functions import text as T
 from ..operators import frames, ledger, native
 from ..operators.rewrite import SHIPPED, Rule
-from ..sources import promptfiles, share
+from ..sources import corpora, promptfiles, share
 from ..sources.staging import shared_dir
 from ..streaming import streams
 from . import asof, cases, reports, runs, similar
@@ -437,6 +437,36 @@ def prompt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(again.select("path", F.col("content").alias("rewritten")), "path")
 
 
+_ANNOTATED = [(t, *cases.parts(prompt)) for t, _, _, prompt in cases.CONSTRAINTS]
+
+
+@query(
+    f"WITH cases(type, before_it, it, after_it, number) AS (SELECT * FROM (VALUES {rows_sql([(*r, i) for i, r in enumerate(_ANNOTATED)])})), "
+    f"gold AS (SELECT c_custkey % 7 = 0 AS misses, c.type FROM customer JOIN cases c ON c_custkey % {len(_ANNOTATED)} = c.number) "
+    "SELECT type, COUNT(*) + COUNT(*) FILTER (misses) AS gold, COUNT(*) FILTER (misses) AS misplaced, round(COUNT(*) / (COUNT(*) + COUNT(*) FILTER (misses)), 9) AS recall FROM gold GROUP BY type"
+)
+def annotated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered prompts and their annotations as files, read again and held against what the ledger finds."""
+    promptfiles.register(spark)
+    folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    given = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("event_id"), F.col("c_mktsegment").alias("event_type"))
+    dealt = cases.dealt(spark, spread(given), _ANNOTATED, "type string, before_it string, it string, after_it string")
+    name = F.concat(F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit("-case"))
+    text = F.concat(*[cases.filled(c) for c in ("before_it", "it", "after_it")])
+    right = F.struct("type", cases.filled("it").alias("anchor"))
+    # Every seventh prompt has an annotation that stands nowhere in it.
+    wrong = F.when(F.col("event_id") % 7 == 0, F.struct("type", F.lit("words that stand nowhere").alias("anchor")))
+    marks = F.struct(name.alias("id"), F.lit("case").alias("category"), F.lit("own").alias("source"), F.array_compact(F.array(right, wrong)).alias("constraints"))
+    pair = F.array(F.struct(F.concat(name, F.lit(".md")).alias("path"), text.alias("content")), F.struct(F.concat(name, F.lit(".constraints.json")).alias("path"), F.to_json(marks).alias("content")))
+    dealt.select(F.inline(pair)).write.format("prompt_files").mode("append").save(folder)
+    texts, annotations = corpora.read_numbered(spark, folder), corpora.read_annotations(spark, folder)
+    found = frames.with_constraints(texts).select("id", F.explode("constraints").alias("c")).select("id", "c.type", "c.anchor")
+    gold = annotations.select("id", "type", "anchor")
+    lost = corpora.misplaced(texts, annotations).groupBy("type").agg(F.count(F.lit(1)).alias("misplaced"))
+    told = reports.accuracy(gold, found).where("gold > 0").join(lost, "type", "left")
+    return told.select("type", "gold", F.coalesce("misplaced", F.lit(0)).alias("misplaced"), F.round("recall", 9).alias("recall"))
+
+
 @query(
     f"WITH counted AS (SELECT conv_id, turn, to_timestamp(conv_id * 600 + turn * 60) AT TIME ZONE 'UTC' AS ts, {TOKENS.format('text')} AS tokens FROM conversations), "
     "windows AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, COUNT(*) AS prompts, CAST(SUM(tokens) AS BIGINT) AS tokens FROM counted GROUP BY 1) "

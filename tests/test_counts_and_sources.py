@@ -12,7 +12,7 @@ from promptloom.functions import text as T
 from promptloom.functions.dialect import compiled, needles
 from promptloom.operators import frames, ledger
 from promptloom.operators.rules import RULES
-from promptloom.plans import cases, reports
+from promptloom.plans import cases, relations, reports
 from promptloom.plans import queries as library
 from promptloom.sources import corpora, files, share
 
@@ -133,4 +133,4 @@ def test_cases_cover_all_rules_regions_and_markers():
     assert [c[0] for c in cases.RULES] == [r[0] for r in RULES]
     assert {k for k, _ in cases.REGIONS} == {"code-fence", "example", "table", "json", "inline-code", "url", "email", "variable", "quoted-string"}
     assert {t for t, *_ in cases.CONSTRAINTS} == set(ledger.TYPES)
-    assert set(library.QUERIES) - set(library.SQL) <= {"recommendations"}
+    assert relations.annotated_corpus is library.QUERIES["annotated_corpus"] and set(library.QUERIES) == set(library.SQL)

@@ -162,4 +162,6 @@ def test_entry_without_the_optional_parts(tmp_path, left_out):
         elif (tmp_path / name).exists():
             (tmp_path / name).unlink()
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and 'extract_constraints' in q"
+    # And one of the queries runs.
+    code += "; from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); assert q['prompt_files'](s, e.SMOKE).count() > 0 and e.entry(s).count() > 0"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
