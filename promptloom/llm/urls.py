@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 # Labelled URLs that training looks at, at most.
 TRAIN_ROWS = 20_000
@@ -252,7 +254,8 @@ def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, judge: J
 
 def train(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rows: int = TRAIN_ROWS) -> Judge:
     """Trees from at most ``rows`` distinct urls that rules decide, by a hash of the url."""
-    labelled = ruled(pages, rules).where("rule is not null").select("verdict", "url", F.xxhash64("url").alias("hash"))
+    # Staged, so that pages are judged once for the counts and the draws.
+    labelled = stage(ruled(pages, rules).where("rule is not null").select("verdict", "url", F.xxhash64("url").alias("hash")), "labelled")
     kinds = {r["verdict"]: r["n"] for r in labelled.groupBy("verdict").agg(F.approx_count_distinct("url").alias("n")).collect()}
     whole, some = sum(kinds.values()), []
     for verdict, n in sorted(kinds.items()):
