@@ -89,9 +89,10 @@ def with_levels(docs: DataFrame, text: str = "text", levels: Iterable[str] = LEV
 
     def work(t: str) -> tuple:
         # What a prompt states doesn't depend on the level.
-        inventory, out = ledger.extract(t), []
+        found, out = scan.regions(t), []
+        kept_by = ledger.Ledger(t, ledger.extract(t, found))
         for level in levels:
-            r = rewrite(t, level, enforce=True, constraints=inventory)
+            r = rewrite(t, level, enforce=True, found=found, ledger=kept_by)
             told = ledger.summary(r.checks or [])
             out.append({"level": level, "output": r.output, "blocked": len(r.blocked), "critical": told["critical_total"], "kept": told["critical_preserved"]})
         return (out,)

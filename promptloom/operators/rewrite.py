@@ -174,18 +174,25 @@ def rewrite(
     disabled: Iterable[str] = (),
     enforce: bool | None = None,
     constraints: list | None = None,
+    found: list[Region] | None = None,
+    ledger=None,
 ) -> Rewritten:
-    """Rewrite one prompt; with ``enforce`` (by itself at aggressive), changes that lose a critical constraint go."""
+    """Rewrite one prompt; with ``enforce`` (by itself at aggressive), changes that lose a critical constraint go.
+
+    ``found`` are its regions and ``ledger`` its constraints' ``Ledger``, for callers that
+    rewrite it more than once.
+    """
     from .ledger import Ledger, extract
 
-    found = regions(text)
+    found = regions(text) if found is None else found
     kept = select(text, level, found, rules, disabled)
     if not (level == "aggressive" if enforce is None else enforce):
         changes = capitalise(text, kept, found)
         return Rewritten(apply(text, changes), changes, [], None, None, found)
-    inventory = extract(text, found) if constraints is None else constraints
+    if ledger is None:
+        ledger = Ledger(text, extract(text, found) if constraints is None else constraints)
     # The prompt's own tokens and the index of its anchors serve all rounds.
-    kept_by = Ledger(text, inventory)
+    inventory, kept_by = ledger.constraints, ledger
     blocked: list[Change] = []
     rounds = 0
     while True:
