@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,13 @@ def glob_pattern(pattern: str) -> str:
     return "".join(one(p) for p in GLOB.findall(pattern))
 
 
+@lru_cache(maxsize=256)
+def _glob(pattern: str) -> re.Pattern:
+    return re.compile(glob_pattern(pattern), re.S)
+
+
 def matches(pattern: str, path: str) -> bool:
-    return re.fullmatch(glob_pattern(pattern), path, re.S) is not None
+    return _glob(pattern).fullmatch(path) is not None
 
 
 def root_of(pattern: str) -> str:

@@ -28,7 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from .files import EXTENSIONS, SKIPPED, matches, root_of
 
 SCHEMA = "path string, content string"
-PER_TASK = 200
+# Files of a task, and about how many tasks there are at most where nothing is said of the files of each.
+PER_TASK, MOST_TASKS = 200, 1000
 MANIFESTS = "_manifests"
 
 
@@ -40,22 +41,51 @@ def _hidden(path: str) -> bool:
     return any(part.startswith((".", "_")) or part in SKIPPED for part in path.split("/"))
 
 
-def listed(folder: str, patterns: list[str]) -> list[tuple[str, int]]:
-    """(path under the folder, time of change in ns) of the files that a pattern takes, sorted; no pattern takes all prompt files.
+def _taken(patterns: list[str], path: str) -> bool:
+    return any(matches(p, path) for p in patterns) if patterns else path.endswith(EXTENSIONS)
+
+
+def _entries(store: fs.FileSystem, at: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what a folder holds; of one on this machine one name at a time, with no look at the files."""
+    if isinstance(store, fs.LocalFileSystem):
+        if os.path.isdir(at):
+            with os.scandir(at) as held:
+                for entry in held:
+                    if entry.is_dir() or entry.is_file():
+                        yield entry.name, entry.is_dir()
+        return
+    for info in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+        if info.type in (fs.FileType.File, fs.FileType.Directory):
+            yield info.base_name, info.type == fs.FileType.Directory
+
+
+def named(folder: str, patterns: list[str]) -> list[str]:
+    """Paths under the folder of the files that a pattern takes, sorted; no pattern takes all prompt files.
 
     Walks begin at the folder before a pattern's first wildcard; hidden and build folders
-    are skipped.
+    are skipped. Only names that are taken are kept.
     """
     store, base = _store(folder)
-    found: dict[str, int] = {}
-    for root in {root_of(p) for p in patterns} or {""}:
-        chosen = fs.FileSelector(f"{base}/{root}".rstrip("/"), recursive=True, allow_not_found=True)
-        for info in store.get_file_info(chosen):
-            path = info.path.removeprefix(base).lstrip("/")
-            if info.type == fs.FileType.File and not _hidden(path):
-                if any(matches(p, path) for p in patterns) if patterns else path.endswith(EXTENSIONS):
-                    found[path] = info.mtime_ns or 0
-    return sorted(found.items())
+    found: set[str] = set()
+    waiting = [r for r in {root_of(p) for p in patterns} or {""} if not _hidden(r)] if patterns else [""]
+    while waiting:
+        under = waiting.pop()
+        for name, is_folder in _entries(store, f"{base}/{under}".rstrip("/")):
+            path = f"{under}/{name}" if under else name
+            if _hidden(name):
+                continue
+            if is_folder:
+                waiting.append(path)
+            elif _taken(patterns, path):
+                found.add(path)
+    return sorted(found)
+
+
+def listed(folder: str, patterns: list[str]) -> list[tuple[str, int]]:
+    """``named`` files with the time of their last change in ns, for streams."""
+    store, base = _store(folder)
+    infos = ((path, store.get_file_info(f"{base}/{path}")) for path in named(folder, patterns))
+    return [(path, info.mtime_ns or 0) for path, info in infos if info.type == fs.FileType.File]
 
 
 @dataclass
@@ -63,7 +93,8 @@ class Files(InputPartition):
     paths: list[str]
 
 
-def _dealt(paths: list[str], per_task: int) -> list[Files]:
+def _dealt(paths: list[str], per_task: int | None) -> list[Files]:
+    per_task = per_task or max(PER_TASK, -(-len(paths) // MOST_TASKS))
     return [Files(paths[i : i + per_task]) for i in range(0, len(paths), per_task)]
 
 
@@ -91,15 +122,14 @@ def _read_at(folder: str, ref: str, paths: list[str]) -> Iterator[tuple[str, str
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder, self.patterns, self.ref = options["path"], _patterns(options), options.get("ref")
-        self.per_task = int(options.get("per_task", PER_TASK))
+        self.per_task = int(options.get("per_task", 0)) or None
 
     def partitions(self) -> list[Files]:
         if self.ref:
             said = subprocess.run(["git", "-C", self.folder, "ls-tree", "-r", "-z", "--name-only", self.ref], capture_output=True, check=True).stdout
             names = [n for n in said.decode("utf-8", "replace").split("\0") if n and not _hidden(n)]
-            taken = [n for n in names if (any(matches(p, n) for p in self.patterns) if self.patterns else n.endswith(EXTENSIONS))]
-            return _dealt(sorted(taken), self.per_task)
-        return _dealt([path for path, _ in listed(self.folder, self.patterns)], self.per_task)
+            return _dealt(sorted(n for n in names if _taken(self.patterns, n)), self.per_task)
+        return _dealt(named(self.folder, self.patterns), self.per_task)
 
     def read(self, partition: Files) -> Iterator[tuple[str, str]]:
         paths = partition.paths if partition else []
@@ -111,7 +141,7 @@ class _StreamReader(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.folder, self.patterns = options["path"], _patterns(options)
-        self.per_task = int(options.get("per_task", PER_TASK))
+        self.per_task = int(options.get("per_task", 0)) or None
 
     def initialOffset(self) -> dict:
         return {"time": -1, "path": ""}
@@ -141,15 +171,20 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         store, base = _store(self.folder)
         count = size = 0
+        made: set[str] = set()
         for row in rows:
             path = row["path"]
             if path is None or row["content"] is None or path.startswith("/") or ".." in path.split("/"):
                 raise ValueError(f"no file can have the path {path!r}")
             raw = row["content"].encode("utf-8", "surrogatepass")
             at = f"{base}/{path}"
-            store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            within = at.rsplit("/", 1)[0]
+            if within not in made:
+                store.create_dir(within, recursive=True)
+                # Folders of few files each are not all kept in mind.
+                made = {*made, within} if len(made) < PER_TASK else {within}
             # Hidden until it is whole; a file of that name is replaced in one step.
-            held = f"{at.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.part"
+            held = f"{within}/.{uuid.uuid4().hex}.part"
             with store.open_output_stream(held) as f:
                 f.write(raw)
             store.move(held, at)

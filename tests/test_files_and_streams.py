@@ -5,6 +5,7 @@ import os
 import subprocess
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from promptloom.plans import reports, runs
@@ -135,3 +136,25 @@ def test_git_and_folder_of_the_check(spark, tmp_path):
     assert code == 1 and rows["p/a.md"]["delta_tokens"] > 0 and rows["p/b.md"]["delta_tokens"] is None
     assert (tmp_path / "p" / "a.md").read_text() == "Go to win the long and very old game.\n" and (tmp_path / "p" / "b.md").read_text() == "Go.\n"
     assert sorted(os.listdir(tmp_path)) == [".git", "p"]
+
+
+def test_listing_keeps_only_the_names_it_takes(tmp_path, monkeypatch):
+    for name in ("a/1-x.md", "a/b/2-y.md", "a/3.json", ".h/4.md", "a/_m/5.md", "node_modules/6.md", "7.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("t")
+    told = {(): ["7.md", "a/1-x.md", "a/b/2-y.md"], ("a/*.md",): ["a/1-x.md"], ("**/*.md", "*.md"): ["7.md", "a/1-x.md", "a/b/2-y.md"], (".h/*.md",): [], ("none/*.md",): []}
+    local = promptfiles._entries
+    by_store = lambda store, at: local(fs.SubTreeFileSystem("/", store), at.lstrip("/"))
+    for patterns, names in told.items():
+        assert promptfiles.named(str(tmp_path), list(patterns)) == names
+        monkeypatch.setattr(promptfiles, "_entries", by_store)
+        assert promptfiles.named(str(tmp_path), list(patterns)) == names
+        monkeypatch.setattr(promptfiles, "_entries", local)
+    assert [p for p, _ in promptfiles.listed(str(tmp_path), [])] == told[()]
+
+
+def test_tasks_are_bounded_however_many_the_files():
+    for n in (0, 1, 200, 200_001, 5_000_000):
+        dealt = promptfiles._dealt(range(n), None)
+        assert sum(len(f.paths) for f in dealt) == n and len(dealt) <= promptfiles.MOST_TASKS
+    assert len(promptfiles._dealt(list(range(10)), 2)) == 5
