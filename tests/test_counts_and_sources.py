@@ -3,6 +3,7 @@
 import json
 import random
 import subprocess
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,15 @@ def test_cases_cover_all_rules_regions_and_markers():
     assert {k for k, _ in cases.REGIONS} == {"code-fence", "example", "table", "json", "inline-code", "url", "email", "variable", "quoted-string"}
     assert {t for t, *_ in cases.CONSTRAINTS} == set(ledger.TYPES)
     assert relations.annotated_corpus is library.QUERIES["annotated_corpus"] and set(library.QUERIES) == set(library.SQL)
+
+
+def test_packing_takes_time_in_proportion_to_a_text():
+    text = "a" * 2_000_000
+    began = time.process_time()
+    packed = share.pack(text)
+    assert time.process_time() - began < 8 and share.unpack(packed) == text
+
+
+def test_the_letter_of_filling_stands_for_zeros():
+    packed = share.pack("abcabc")
+    assert "A" in packed and share.unpack(packed.replace("A", "$")) == "abcabc"
