@@ -12,43 +12,69 @@ the last ones may be left out, because a similar set must share one before them.
 that more than ``HOT`` classes have in their prefixes is split: its classes meet on that
 token and a second one from prefixes one token longer, for similar sets share two tokens,
 unless they are so small that one will do; those keep the single token among themselves.
-Nothing is dropped: what meets is compared exactly.
+What meets is a row of numbers whose width doesn't depend on the set: two bounds, by what
+is left behind the met token and by a bitmap of the tokens, drop pairs that can't be
+similar. The others are compared exactly, so nothing is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import staged
 
-SIMILAR, HOT = 0.6, 200
+SIMILAR, HOT = 0.6, 4000
 MAX_ROUNDS = 60
+# Words of 64 bits that a class's bitmap has.
+WORDS = 4
+BITMAP = [f"bits{i}" for i in range(WORDS)]
+
+
+def set_name(kind: Column, tokens: Column) -> Column:
+    """The name of a token set of a kind; null if there are no tokens."""
+    return F.md5(F.concat(F.coalesce(kind, F.lit("\u0003")), F.lit("\u0001"), F.array_join(tokens, "\u0002")).cast("binary"))
 
 
 def token_sets(items: DataFrame, kind: str, tokens: str) -> DataFrame:
     """(kind, set, id, n): the distinct token sets of ``items`` and how many items have each; empty ones have none."""
     own = items.select(F.col(kind).cast("string").alias("kind"), F.array_sort(F.array_distinct(F.array_compact(tokens))).alias("set"))
     sets = own.where(F.size("set") > 0).groupBy("kind", "set").agg(F.count(F.lit(1)).alias("n"))
-    name = F.md5(F.concat(F.coalesce("kind", F.lit("\u0003")), F.lit("\u0001"), F.array_join("set", "\u0002")).cast("binary"))
-    return sets.withColumn("id", name)
+    return sets.withColumn("id", set_name(F.col("kind"), F.col("set")))
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """(kind, id, class, core, size) of ``token_sets``: shared tokens from the rarest on, and the set's size.
+    """(kind, no, class, core, size) of numbered ``token_sets``: shared tokens from the rarest on, and the set's size.
 
     Sets of one class have the same core and size; their other tokens are in no other set.
     """
-    each = sets.select("kind", "id", F.explode("set").alias("token"))
+    each = sets.select("kind", "no", F.explode("set").alias("token"))
     # A token that many sets hold is a hot key of this join, whose other side has it once.
     held = each.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("held"))
     known = each.alias("e").join(held.alias("h"), F.col("e.kind").eqNullSafe(F.col("h.kind")) & (F.col("e.token") == F.col("h.token")))
-    ranked = known.groupBy("e.kind", "e.id").agg(
+    ranked = known.groupBy("e.kind", "e.no").agg(
         F.array_sort(F.collect_list(F.when(F.col("held") > 1, F.struct("held", "e.token")))).alias("shared"), F.count(F.lit(1)).cast("int").alias("size")
     )
     core = F.transform("shared", lambda x: x["token"])
     name = F.md5(F.concat(F.coalesce("kind", F.lit("\u0003")), F.lit("\u0001"), F.array_join("core", "\u0002"), F.lit("\u0001"), "size").cast("binary"))
-    return ranked.select("kind", "id", core.alias("core"), "size").withColumn("class", name)
+    return ranked.select("kind", "no", core.alias("core"), "size").withColumn("class", name)
+
+
+def numbered(placed: DataFrame) -> DataFrame:
+    """(kind, class, core, size, node, bits..): the classes, each with a number and a bitmap of its core."""
+    nodes = placed.groupBy("kind", "class", "core", "size").agg(F.count(F.lit(1)).alias("members"))
+
+    def bits(word: int) -> Column:
+        def one(acc: Column, token: Column) -> Column:
+            own = F.pmod(F.xxhash64(token), F.lit(64 * WORDS))
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(own, F.lit(64)).cast("int"))
+            return F.when(F.floor(own / 64) == word, acc.bitwiseOR(bit)).otherwise(acc)
+
+        return F.aggregate("core", F.lit(0).cast("long"), one)
+
+    return nodes.select("kind", "class", "core", "size", F.monotonically_increasing_id().alias("node"), *[bits(i).alias(c) for i, c in enumerate(BITMAP)])
 
 
 def least_shared(size: Column, threshold: float) -> Column:
@@ -61,36 +87,48 @@ def similar_enough(shared: Column, one: Column, other: Column, threshold: float)
 
 
 def _keys(nodes: DataFrame, threshold: float, hot: int) -> DataFrame:
-    """(kind, class, core, size, one, two, small): each class with each key at which it may meet a similar one."""
+    """(key, node, size, shared, left, bits..): each class with each key at which it may meet a similar one; numbers only.
+
+    ``shared`` is the size of its core, ``left`` how many tokens of that stand from the
+    key's first token on. Keys are hashes, of which equal ones bring too many together, not too few.
+    """
     least = least_shared(F.col("size"), threshold)
     # Tokens that no other set holds come first in the order, and are met by none.
     length = F.greatest(F.lit(0), F.col("size") - least + 1 - (F.col("size") - F.size("core")))
-    open_ = nodes.select("*", F.slice("core", F.lit(1), length).alias("prefix"), F.slice("core", F.lit(1), F.least(length + 1, F.size("core"))).alias("longer"))
-    open_ = open_.where(F.size("prefix") > 0).withColumn("small", least < 2)
+    told = nodes.select("node", "size", F.size("core").alias("shared"), *BITMAP, F.transform("core", lambda t: F.xxhash64("kind", t)).alias("hashes"), length.alias("length"))
+    prefix, longer = F.slice("hashes", F.lit(1), F.col("length")), F.slice("hashes", F.lit(1), F.least(F.col("length") + 1, F.col("shared")))
+    open_ = told.select("node", "size", "shared", *BITMAP, prefix.alias("prefix"), longer.alias("longer")).where(F.size("prefix") > 0).withColumn("small", least < 2)
+    crowded = open_.select(F.explode("prefix").alias("one")).groupBy("one").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") > hot)
+    crowded = staged(crowded.select("one", F.lit(True).alias("crowded")), "crowded")
+    columns = ["node", "size", "shared", (F.col("shared") - F.col("at")).alias("left"), *BITMAP]
+    if crowded.isEmpty():
+        single = open_.select("*", F.posexplode("prefix").alias("at", "one"))
+        return single.select(F.xxhash64("one", F.lit(0)).alias("key"), *columns)
     single = open_.select("*", F.posexplode("prefix").alias("at", "one"))
-    crowded = single.groupBy("kind", "one").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") > hot).select("kind", "one")
-    crowded = crowded.withColumn("crowded", F.lit(True))
-    told = single.alias("s").join(crowded.alias("c"), F.col("s.kind").eqNullSafe(F.col("c.kind")) & (F.col("s.one") == F.col("c.one")), "left")
-    told = told.select("s.*", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    columns = ["kind", "class", "core", "size", "one"]
-    alone = told.where(~F.col("crowded") | F.col("small")).select(*columns, F.lit("").alias("two"), (F.col("crowded") & F.col("small")).alias("small"))
+    known = single.join(crowded, "one", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    alone = known.where(~F.col("crowded") | F.col("small")).select(F.xxhash64("one", F.lit(0)).alias("key"), *columns)
     later = F.slice("longer", F.col("at") + 2, F.size("longer"))
-    pairs = told.where("crowded").select(*columns, F.explode(later).alias("two"), F.lit(False).alias("small"))
+    pairs = known.where("crowded").select("*", F.explode(later).alias("two")).select(F.xxhash64("one", "two").alias("key"), *columns)
     return alone.unionByName(pairs)
 
 
 def links(nodes: DataFrame, threshold: float = SIMILAR, hot: int = HOT) -> DataFrame:
-    """(a, b) of distinct classes (kind, class, core, size) that are similar, a before b."""
+    """(a, b) of distinct classes, by number, that are similar, a before b."""
     keys = _keys(nodes, threshold, hot)
     a, b = keys.alias("a"), keys.alias("b")
-    meet = F.col("a.kind").eqNullSafe(F.col("b.kind"))
-    for c in ("one", "two", "small"):
-        meet = meet & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     lengths = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
-    both = a.join(b, meet & (F.col("a.class") < F.col("b.class")) & lengths)
-    shared = F.size(F.array_intersect("a.core", "b.core"))
-    found = both.where(similar_enough(shared, F.col("a.size"), F.col("b.size"), threshold))
-    return found.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    # What two classes share, if the met token is the first one that they do.
+    behind = similar_enough(F.least("a.left", "b.left"), F.col("a.size"), F.col("b.size"), threshold)
+    # A bit that only one of them has is a token that only one of them has.
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in BITMAP])
+    alike = similar_enough((F.col("a.shared") + F.col("b.shared") - apart) / 2, F.col("a.size"), F.col("b.size"), threshold)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & lengths & behind & alike)
+    maybe = met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    one = nodes.select(F.col("node").alias("a"), F.col("kind").alias("kind_a"), F.col("core").alias("core_a"), F.col("size").alias("size_a"))
+    other = nodes.select(F.col("node").alias("b"), F.col("kind").alias("kind_b"), F.col("core").alias("core_b"), F.col("size").alias("size_b"))
+    both = maybe.join(one, "a").join(other, "b").where(F.col("kind_a").eqNullSafe(F.col("kind_b")))
+    shared = F.size(F.array_intersect("core_a", "core_b"))
+    return both.where(similar_enough(shared, F.col("size_a"), F.col("size_b"), threshold)).select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -117,21 +155,27 @@ def components(pairs: DataFrame) -> DataFrame:
     raise RuntimeError("groups did not settle")
 
 
+def near_sets(items: DataFrame, kind: str, tokens: str, threshold: float = SIMILAR, hot: int = HOT) -> DataFrame:
+    """(kind, set, n, id, root): each distinct token set of ``items``, its ``set_name``, and a name that its group shares."""
+    sets = staged(token_sets(items, kind, tokens).withColumn("no", F.monotonically_increasing_id()), "sets")
+    placed = staged(classes(sets), "classes")
+    nodes = staged(numbered(placed), "nodes")
+    found = components(links(nodes, threshold, hot)).withColumnRenamed("id", "node")
+    # A class is connected if its own members are similar or if it has a link.
+    alike = similar_enough(F.size("core"), F.col("size"), F.col("size"), threshold)
+    told = nodes.select("class", "node", alike.alias("alike")).join(found, "node", "left")
+    group = F.coalesce("root", F.when(F.col("alike"), F.col("node")))
+    rooted = placed.select("no", "class").join(told, "class").select("no", F.coalesce(F.concat(F.lit("c"), group), F.concat(F.lit("s"), "no")).alias("root"))
+    return sets.join(staged(rooted, "rooted"), "no").select("kind", "set", "n", "id", "root")
+
+
 def near_groups(items: DataFrame, kind: str, tokens: str, threshold: float = SIMILAR, hot: int = HOT) -> DataFrame:
     """(kind, set, n, group): each distinct token set of ``items`` with the first set, in order, of its group.
 
     Sets of unequal ``kind`` are never linked; a null kind is one of its own. An empty
     table gives an empty one; items without tokens are in no group.
     """
-    sets = staged(token_sets(items, kind, tokens), "sets")
-    placed = staged(classes(sets), "classes")
-    nodes = placed.groupBy("kind", "class", "core", "size").agg(F.count(F.lit(1)).alias("members"))
-    found = components(links(nodes, threshold, hot))
-    # A class is connected if its own members are similar or if it has a link.
-    alike = similar_enough(F.size("core"), F.col("size"), F.col("size"), threshold)
-    joined = placed.join(found.withColumnRenamed("id", "class"), "class", "left")
-    rooted = joined.select("kind", "id", F.coalesce("root", F.when(alike, F.col("class")), F.col("id")).alias("root"))
-    named = sets.join(rooted.select("id", "root"), "id")
+    named = near_sets(items, kind, tokens, threshold, hot)
     first = named.groupBy("root").agg(F.min("set").alias("group"))
     return named.join(first, "root").select("kind", "set", "n", "group")
 
@@ -140,13 +184,17 @@ def near_demands(constraints: DataFrame, kinds: tuple[str, ...], tokens: Column,
     """(type, demands, prompts, suggestion) of (id, type, anchor): demands that prompts state in nearly the same words.
 
     A row per group with more than one token set; the suggestion is its shortest anchor,
-    the first in order of equal ones.
+    the first in order of equal ones. What depends on the words alone is worked out once
+    per set; only ids of groups that stay are told apart.
     """
-    worded = constraints.where(F.col("type").isin(*kinds)).select("id", "type", "anchor", F.array_sort(F.array_distinct(tokens)).alias("set"), F.size(tokens).alias("words"))
-    worded = staged(worded.where(F.col("words") >= least), "demands")
-    groups = near_groups(worded, "type", "set", threshold)
-    placed = worded.join(groups.select(F.col("kind").alias("type"), "set", "group"), ["type", "set"])
-    told = placed.groupBy("type", "group").agg(
-        F.count_distinct("set").alias("demands"), F.count_distinct("id").alias("prompts"), F.min_by("anchor", F.struct(F.length("anchor"), "anchor")).alias("suggestion")
-    )
-    return told.where(F.col("demands") > 1).drop("group")
+    worded = constraints.where(F.col("type").isin(*kinds)).select("id", "type", "anchor", tokens.alias("tokens"))
+    worded = worded.where(F.size("tokens") >= least).select("id", "type", "anchor", F.array_sort(F.array_distinct("tokens")).alias("set"))
+    worded = staged(worded.withColumn("of", set_name(F.col("type"), F.col("set"))), "demands")
+    anchors = worded.groupBy("type", "of", "anchor").agg(F.first("set").alias("set"))
+    sets = near_sets(anchors, "type", "set", threshold).select(F.col("id").alias("of"), "root")
+    several = sets.groupBy("root").agg(F.count(F.lit(1)).alias("demands")).where(F.col("demands") > 1)
+    kept = staged(sets.join(several, "root"), "kept")
+    said = anchors.join(kept, "of").groupBy("root", "type", "demands").agg(F.min_by("anchor", F.struct(F.length("anchor"), "anchor")).alias("suggestion"))
+    stated = worded.select("of", "id").join(kept, "of").select("root", "id").distinct()
+    prompts = stated.groupBy("root").agg(F.count("id").alias("prompts"))
+    return said.join(prompts, "root").select("type", "demands", "prompts", "suggestion")

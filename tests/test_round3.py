@@ -2,7 +2,37 @@
 
 from pyspark.sql import functions as F
 
-from promptloom.plans import prompts
+from promptloom.functions import text as T
+from promptloom.operators import frames, ledger
+from promptloom.plans import prompts, reports, similar
+
+
+def test_only_the_scanners_of_what_is_compared_run(monkeypatch):
+    text = 'Never exceed 5 retries. Reply in JSON to `a` at https://a.b/c for user_id 7. Open Berlin now.\n{"k": "v"}'
+    off = frozenset(ledger.TYPES) - frozenset(ledger.COMPARED)
+    want = [c for c in ledger.extract(text) if c.type in ledger.COMPARED]
+    ran = []
+    for name in ("entities", "protected", "names"):
+        monkeypatch.setattr(ledger._Inventory, name, lambda self, name=name: ran.append(name))
+    assert want and ledger.extract(text, exclude=off) == want and not ran
+
+
+def test_demands_are_the_inventory_s(spark):
+    texts = ["Never exceed 5 retries. You must answer in JSON.", None, "Open the door. Always be kind; never shout.", 'Say "no" 5 times in 10 ms.']
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = reports.demands(docs, "i").withColumn("java", T.tokens(F.col("anchor"))).collect()
+    want = [(i, c.type, c.anchor) for i, t in enumerate(texts) for c in ledger.extract(t or "") if c.type in ledger.COMPARED]
+    assert sorted((r["id"], r["type"], r["anchor"]) for r in found) == sorted(want) and all(r["tokens"] == r["java"] for r in found)
+
+
+def test_near_demands_tell_prompts_apart_once_per_group(spark):
+    rows = [(i % 7, "requirement", f"must answer in JSON for user {i % 5}") for i in range(70)]
+    rows += [(i, "prohibition", "never exceed 5 retries") for i in range(30)] + [(1, "requirement", "must go"), (None, "requirement", "must answer in json for user 0")]
+    given = spark.createDataFrame(rows, "id int, type string, anchor string")
+    found = similar.near_demands(given, ledger.COMPARED, T.tokens(F.col("anchor")))
+    assert [tuple(r) for r in found.collect()] == [("requirement", 5, 7, "must answer in JSON for user 0")]
+    # Ids are told apart by one aggregation over two columns; several distinct counts expand each row.
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_tasks_are_as_many_as_their_rows_ask_for(spark, tmp_path, monkeypatch):
