@@ -472,9 +472,8 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT type, tokens, COUNT(DISTINCT event_id) AS prompts, MIN(anchor) AS example FROM keyed GROUP BY type, tokens HAVING COUNT(DISTINCT event_id) >= 2"
 )
 def shared_demands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = frames.with_constraints(prompts(spark, sf_dir).select("event_id", "text"))
-    each = found.select("event_id", F.explode("constraints").alias("c"))
-    return reports.shared_demands(each.select(F.col("event_id").alias("id"), "c.type", "c.anchor"))
+    each = reports.demands(prompts(spark, sf_dir).select("event_id", "text"), "event_id")
+    return reports.shared_demands(each, tokens=F.col("tokens"))
 
 
 @query(
