@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..functions.dialect import for_java
+from ..functions.dialect import FOLDED, for_java, held
 from . import frames, scan
 from .rewrite import SHIPPED, rules_for
 from .rules import RULES
@@ -36,8 +36,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def spans(text: Column, pattern: str, groups: int = 0) -> Column:
-    """All matches of a Java pattern: array of (start, end, m, g1, .. g<groups>), in code points."""
+def folded(text: Column) -> Column:
+    """The text in lower case, with all that may match an ASCII letter as that letter."""
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def may_match(source: str, low: Column) -> Column:
+    """Whether a text, ``folded``, holds what any match of a pattern holds."""
+    some = held(source)
+    return reduce(Column.__or__, [F.contains(low, F.lit(h)) for h in some]) if some else F.lit(True)
+
+
+def spans(text: Column, pattern: str, groups: int = 0, possible: Column | None = None) -> Column:
+    """All matches of a Java pattern: array of (start, end, m, g1, .. g<groups>), in code points; none unless ``possible``."""
     found = F.struct(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"m{i}") for i in range(groups + 1)], F.split(text, pattern, -1).alias("gaps"))
 
     def placed(x: Column) -> Column:
@@ -58,7 +69,8 @@ def spans(text: Column, pattern: str, groups: int = 0) -> Column:
         )
 
     kind = "array<struct<start:int,end:int,m:string" + "".join(f",g{i}:string" for i in range(1, groups + 1)) + ">>"
-    return F.when(text.rlike(pattern), let(found, placed)).otherwise(F.array().cast(kind))
+    stands = text.rlike(pattern) if possible is None else possible & text.rlike(pattern)
+    return F.when(stands, let(found, placed)).otherwise(F.array().cast(kind))
 
 
 def covers(text: Column) -> Column:
@@ -66,16 +78,22 @@ def covers(text: Column) -> Column:
     return ~reduce(Column.__or__, [text.rlike(p) for p in _SCANNED])
 
 
-def regions(text: Column) -> Column:
-    """Accepted regions of the kinds that a pattern finds, by start: of overlapping ones that of the first kind, of one kind the first."""
-    def candidates(kind: str, at: int, pattern: str) -> Column:
+def regions(text: Column, low: Column | None = None) -> Column:
+    """Accepted regions of the kinds that a pattern finds, by start: of overlapping ones that of the first kind, of one kind the first.
+
+    ``low`` is the text ``folded``, where that is known already.
+    """
+    if low is None:
+        return let(folded(text), lambda known: regions(text, known))
+
+    def candidates(kind: str, at: int, source: str, flags: str) -> Column:
         def one(m: Column) -> Column:
             end = m["start"] + F.length(F.rtrim(m["m"], F.lit(scan.URL_TAIL))) if kind == "url" else m["end"]
             return F.struct(F.lit(at).alias("rank"), m["start"].alias("start"), (-end).alias("last"), F.lit(kind).alias("kind"))
 
-        return F.filter(F.transform(spans(text, pattern), one), lambda r: -r["last"] > r["start"])
+        return F.filter(F.transform(spans(text, for_java(source, flags), possible=may_match(source, low)), one), lambda r: -r["last"] > r["start"])
 
-    found = F.array_sort(F.concat(*[candidates(kind, scan.KINDS.index(kind), for_java(p, f)) for kind, p, f in patterns.REGIONS]))
+    found = F.array_sort(F.concat(*[candidates(kind, scan.KINDS.index(kind), p, f) for kind, p, f in patterns.REGIONS]))
 
     def take(acc: Column, r: Column) -> Column:
         free = ~F.exists(acc, lambda a: (a["start"] < -r["last"]) & (r["start"] < a["end"]))
@@ -117,8 +135,10 @@ def _replacement(rule: tuple, m: Column) -> tuple[Column, int]:
     return F.concat(*pieces), max([0, *(int(p[0]) for p in parts[1:] if p[0].isdigit())])
 
 
-def candidates(text: Column, found: Column, level: str) -> Column:
+def candidates(text: Column, found: Column, level: str, low: Column | None = None) -> Column:
     """What the level's rules would change outside the regions, by start, then rule, the longest first."""
+    if low is None:
+        return let(folded(text), lambda known: candidates(text, found, level, known))
     ids = [r.id for r in rules_for(level, SHIPPED)]
 
     def hits(order: int, rule: tuple) -> Column:
@@ -135,7 +155,7 @@ def candidates(text: Column, found: Column, level: str) -> Column:
                 F.lit(rule[2]).alias("lossy"),
             )
 
-        each = F.transform(spans(text, for_java(rule[3], rule[4]), groups), one)
+        each = F.transform(spans(text, for_java(rule[3], rule[4]), groups, may_match(rule[3], low)), one)
         return F.filter(each, lambda c: (c["original"] != c["replacement"]) & ~protected(found, c["start"], -c["last"]))
 
     return F.array_sort(F.concat(*[hits(i, rule) for i, rule in enumerate(r for r in RULES if r[0] in ids)]))
@@ -174,7 +194,8 @@ def capitalised(text: Column, changes: Column, found: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         c, after = x["c"], x["after"]
-        opens = F.left(text, c["start"]).rlike(OPENING) & c["original"].rlike(r"^\p{Lu}")
+        # What stands before a change is looked at only where a capital went.
+        opens = c["original"].rlike(r"^\p{Lu}") & F.left(text, c["start"]).rlike(OPENING)
 
         def decided(due: Column) -> Column:
             at = F.regexp_instr(c["replacement"], F.lit(r"\p{L}"))
@@ -233,8 +254,8 @@ def with_native_rewrite(docs: DataFrame, level: str = "balanced", text: str = "t
     said = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     # Each step is a column of its own, so none is worked out twice.
-    first = docs.select(row, said.alias("said")).select("*", regions(F.col("said")).alias("regions"))
-    chosen = first.select("*", winners(candidates(F.col("said"), F.col("regions"), level)).alias("raw"))
+    first = docs.select(row, said.alias("said")).select("*", folded(F.col("said")).alias("low")).select("*", regions(F.col("said"), F.col("low")).alias("regions"))
+    chosen = first.select("*", winners(candidates(F.col("said"), F.col("regions"), level, F.col("low"))).alias("raw"))
     changed = chosen.select("row", "said", "regions", capitalised(F.col("said"), F.col("raw"), F.col("regions")).alias("changes"))
     out = changed.select("*", spliced(F.col("said"), F.col("changes")).alias("output"))
     kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("regions", "changes", "output")]

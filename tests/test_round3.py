@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from promptloom.functions import dialect, patterns
 from promptloom.functions import text as T
-from promptloom.operators import frames, ledger
+from promptloom.operators import ledger, native
+from promptloom.operators.rewrite import SHIPPED, rules_for
+from promptloom.operators.rules import RULES
 from promptloom.plans import prompts, reports, similar
 
 
@@ -75,3 +78,20 @@ def test_tasks_are_as_many_as_their_rows_ask_for(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", with_splits)
     assert sum(sizes) == 9000 and len(sizes) == 18 and max(sizes) < 600
+
+
+def test_native_patterns_run_only_where_their_strings_stand(spark):
+    rules = [r for r in RULES if r[0] in {x.id for x in rules_for("balanced", SHIPPED)}]
+    sources = [p for _, p, _ in patterns.REGIONS] + [r[3] for r in rules]
+    parts = ["please", "Kindly, ", "IN ORDER TO", "ſhould", "İn", "ı", "Kindly", "{{v}}", "${v}", "a@b.co", "`c`", "“q”", "  ", ". ", "\n", "utilizing", "HTTP://y", "'q' "]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(5))) for _ in range(150)]
+    given = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    may = F.array(*[native.may_match(p, native.folded(F.col("text"))) for p in sources])
+    skipped = 0
+    for r in given.select("text", may.alias("may")).collect():
+        for p, m in zip(sources, r["may"], strict=True):
+            skipped += not m
+            # What Java's lower case adds to a letter is no ASCII letter.
+            assert m == dialect.may_match(p, dialect.fold(r["text"]))
+    assert skipped > len(texts) * len(sources) / 2
