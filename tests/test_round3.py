@@ -8,7 +8,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from promptloom.functions import dialect, patterns
 from promptloom.functions import text as T
-from promptloom.operators import ledger, native
+from promptloom.operators import layout, ledger, native
 from promptloom.operators.rewrite import SHIPPED, rules_for
 from promptloom.operators.rules import RULES
 from promptloom.plans import prompts, relations, reports, similar
@@ -104,3 +104,25 @@ def test_native_patterns_run_only_where_their_strings_stand(spark):
             # What Java's lower case adds to a letter is no ASCII letter.
             assert m == dialect.may_match(p, dialect.fold(r["text"]))
     assert skipped > len(texts) * len(sources) / 2
+
+
+def test_signs_that_cannot_stand_are_not_sought(monkeypatch):
+    plain = "Sort these words.\nBe brief, and be kind!\nWhat {{topic}} is it?"
+    dated = "Sort. Today is Monday.\nUser: see 2024-01-02 for session id 5.\n<user_query>x</user_query>"
+    sought = []
+
+    class Spy:
+        def __init__(self, label, sign):
+            self.label, self.sign = label, sign
+
+        def __getattr__(self, name):
+            sought.append((self.label, name))
+            return getattr(self.sign, name)
+
+    want = layout.split(dated)
+    monkeypatch.setattr(layout, "SIGN", {label: Spy(label, s) for label, s in layout.SIGN.items()})
+    assert layout.split(dated) == want and [m.kind for m in want.markers][:2] == ["date", "section"]
+    sought.clear()
+    assert [m.kind for m in layout.markers(plain)] == ["variable"]
+    # Before, each line and each sign was tried.
+    assert not [s for s in sought if s[1] in ("match", "finditer")]
