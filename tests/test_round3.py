@@ -84,7 +84,7 @@ def test_a_document_is_one_row_whatever_its_id(spark, tmp_path):
     texts = ["Please go in order to win.", "```\nplease\n```", "Please see `x` at https://a.b.", None]
     spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = relations.native_documents(spark, str(tmp_path))
-    # Joins by doc_id gave 27 rows for three documents of one id.
+    # Joins by doc_id multiplied documents of one id.
     assert sorted((r["whole"], r["alike"]) for r in found.where("whole IS NOT NULL").collect()) == [(True, True)] * 3 and found.count() == 4
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
